@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from codequarry.llm import handwritten
+    from codequarry.llm import docpairs, handwritten
 
-    return [handwritten]
+    return [handwritten, docpairs]
