@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,9 +140,9 @@ def pairs(symbols: DataFrame, files: DataFrame, template_count: int = TEMPLATE_C
     """
     fields = F.struct("symbol_id", "display_name", "documentation", "start_line", "parameters", "return_type", F.regexp_extract(F.coalesce("symbol", F.lit("")), r"([\w$]+)#", 1).alias("type_of"))
     own = symbols.where("kind = 'method' and symbol_id is not null").groupBy("repo_id", "file_path").agg(F.collect_set(fields).alias("symbols"))
-    texts = files.groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
-    met = own.join(texts.withColumnsRenamed({"repo_id": "r", "file_path": "p"}), F.col("repo_id").eqNullSafe(F.col("r")) & F.col("file_path").eqNullSafe(F.col("p")), "left")
-    judged = spread(met.select("file_path", "content", "symbols")).mapInPandas(partial(_pairs, texts=texts), _SCHEMA)
+    contents = files.groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
+    met = own.join(contents.withColumnsRenamed({"repo_id": "r", "file_path": "p"}), F.col("repo_id").eqNullSafe(F.col("r")) & F.col("file_path").eqNullSafe(F.col("p")), "left")
+    judged = spread(met.select("file_path", "content", "symbols")).mapInPandas(lambda batches: _pairs(batches, texts), _SCHEMA)
     return _settle(judged, template_count)
 
 
