@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from codequarry.llm import docpairs, handwritten
+    from codequarry.llm import defects, docpairs, handwritten
 
-    return [handwritten, docpairs]
+    return [handwritten, docpairs, defects]
