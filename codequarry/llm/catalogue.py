@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from codequarry.llm import defects, docpairs, handwritten, personal
+    from codequarry.llm import defects, docpairs, handwritten, leakage, personal
 
-    return [personal, handwritten, docpairs, defects]
+    return [personal, handwritten, docpairs, defects, leakage]
