@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from codequarry.llm import defects, docpairs, handwritten, leakage, personal
+    from codequarry.llm import defects, docpairs, handwritten, leakage, personal, tokens
 
-    return [personal, handwritten, docpairs, defects, leakage]
+    return [personal, handwritten, docpairs, defects, tokens, leakage]
