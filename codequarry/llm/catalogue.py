@@ -6,6 +6,6 @@ from types import ModuleType
 
 
 def modules() -> list[ModuleType]:
-    from codequarry.llm import defects, docpairs, handwritten, leakage, personal, reading, tokens
+    from codequarry.llm import defects, docpairs, handwritten, leakage, personal, quantiles, reading, tokens
 
-    return [personal, handwritten, docpairs, defects, tokens, leakage, reading]
+    return [personal, quantiles, handwritten, docpairs, defects, tokens, leakage, reading]
