@@ -71,6 +71,7 @@ def _scopes(bare: str, types: re.Pattern) -> tuple[list[tuple[int, int, str, str
 
 # Words that look like calls or names and are none.
 _WORDS = frozenset("if for while switch catch return new else do try throw synchronized super this assert case function await yield typeof with".split())
+_ACCESS = ("public", "protected", "private")
 _JAVA_TYPE = re.compile(r"\b(?P<kind>class|interface|enum|record|@interface)\s+(?P<name>[A-Za-z_$][\w$]*)")
 _JAVA_METHOD = re.compile(r"(?:^|[;{}])\s*(?P<ann>(?:@[\w.]+(?:\s*\([^()]*\))?\s+)*)(?P<mods>(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*)(?:<[^>{}()]*>\s+)?(?P<type>[A-Za-z_$][\w$.]*(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\])*)\s+(?P<name>[A-Za-z_$][\w$]*)\s*\((?P<params>[^(){};]*)\)\s*(?:throws\s+[\w.,\s]+)?(?=[{;])")
 _JAVA_FIELD = re.compile(r"(?:^|[;{}])\s*(?:@[\w.]+(?:\s*\([^()]*\))?\s+)*(?P<mods>(?:(?:public|protected|private|static|final|transient|volatile)\s+)+)(?P<type>[A-Za-z_$][\w$.]*(?:\s*<[^;{}()=]*>)?(?:\s*\[\s*\])*)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:=[^;]*)?(?=;)")
@@ -95,7 +96,8 @@ def java(text: str) -> Iterator[Fact]:
     for m in _JAVA_METHOD.finditer(bare):
         if m.group("type") in _WORDS or m.group("name") in _WORDS or not around(m.start("name")):
             continue
-        yield Fact("method", m.group("name"), around(m.start("name")), m.group("type"), re.sub(r"\s+", " ", text[m.start("params") : m.end("params")]).strip(), _line_of(starts, m.start("name")))
+        made = m.group("type") in _ACCESS  # no type of its own: a constructor
+        yield Fact("constructor" if made else "method", m.group("name"), around(m.start("name")), "" if made else m.group("type"), re.sub(r"\s+", " ", text[m.start("params") : m.end("params")]).strip(), _line_of(starts, m.start("name")))
     for m in _JAVA_FIELD.finditer(bare):
         if around(m.start("name")):
             yield Fact("field", m.group("name"), around(m.start("name")), m.group("type"), m.group("mods").strip(), _line_of(starts, m.start("name")))
