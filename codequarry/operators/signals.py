@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.tables import spread
+
 # For each signal its vector, its weight, what one hit adds, the sides on which lines count, and the patterns,
 # read without regard to case.
 SIGNALS: dict[str, tuple[str, float, float, str, tuple[str, ...]]] = {
@@ -67,7 +69,7 @@ def sides(line: Column) -> tuple[Column, Column, Column]:
 def hits(lines: DataFrame) -> DataFrame:
     """One row per commit with the number of hits of each signal. lines: commit_sha, line; null lines count for nothing."""
     added, removed, text = sides(F.col("line"))
-    own = lines.select("commit_sha", F.coalesce(added, F.lit(False)).alias("a"), F.coalesce(removed, F.lit(False)).alias("r"), text.alias("t"), F.regexp_extract("line", r"^diff --git a/.+ b/(.+)$", 1).alias("file"))
+    own = spread(lines).select("commit_sha", F.coalesce(added, F.lit(False)).alias("a"), F.coalesce(removed, F.lit(False)).alias("r"), text.alias("t"), F.regexp_extract("line", r"^diff --git a/.+ b/(.+)$", 1).alias("file"))
     on = {"added": F.col("a"), "removed": F.col("r"), "both": F.col("a") | F.col("r")}
     out = [F.count_if(on[side] & F.col("t").rlike(pattern(s))).alias(s) for s, (_, _, _, side, _) in SIGNALS.items()]
     out += [F.count_if((F.col("file") != "") & F.col("file").rlike(f"(?i){p}")).alias(s) for s, (_, _, _, p) in FILE_SIGNALS.items()]

@@ -102,7 +102,9 @@ def java(text: str) -> Iterator[Fact]:
         if around(m.start("name")):
             yield Fact("field", m.group("name"), around(m.start("name")), m.group("type"), m.group("mods").strip(), _line_of(starts, m.start("name")))
     for m in _CALL.finditer(bare):
-        if m.group("name") not in _WORDS and m.group("obj") not in ("new",) and not re.search(r"(?:[\w>\]]\s+|@)$", bare[max(0, m.start() - 20) : m.start()].rstrip("\n")[-12:]):
+        before = bare[max(0, m.start() - 24) : m.start()]
+        word = re.search(r"([\w>\]]+)[ \t]+$|(@)$", before)  # a type before the name makes it a declaration
+        if m.group("name") not in _WORDS and (not word or word.group(1) in ("return", "throw", "else", "case", "assert", "yield", "do")):
             yield Fact("edge", "CALLS", around(m.start()), f"{m.group('obj') or '?'}#{m.group('name')}", line=_line_of(starts, m.start()))
     yield from endpoints(text, bare, starts, around)
     yield from concurrency(bare, starts, around)
