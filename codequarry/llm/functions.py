@@ -16,6 +16,7 @@ from codequarry.llm.gll import Recogniser, Rules
 # Words that may stand before a definition, and words that never name one.
 MODIFIERS = frozenset("public private protected static final abstract synchronized native strictfp default async export declare readonly override get set sealed open internal virtual transient volatile".split())
 NEVER = frozenset("if for while switch catch return new else do try throw case with using synchronized await yield typeof super this delete void in of instanceof lock foreach elif except assert".split()) - {"synchronized"}
+NO_START = NEVER - {"void"}
 
 _TOKEN = re.compile(
     r"""(?P<ws>[ \t\f\v﻿]+)|(?P<nl>\r\n|\n|\r)
@@ -260,7 +261,7 @@ def _braced(text: str, lang: str) -> list[Function]:
             at += 2
             begins = False
             continue
-        if begins and (t.kind == "id" and t.text not in NEVER or t.text in "@<*#"):
+        if begins and (t.kind == "id" and t.text not in NO_START or t.text in "@<*#"):
             got = _header(lang, tokens, at)
             first = _after_annotations(tokens, at)
             if got and not (got[0] == first and lang == "java" and tokens[got[2] - 1].text == ";") and not (lang == "script" and tokens[got[2] - 1].text == ";" and (not owners or got[0] == first and tokens[got[1] + 1].text == ";")):
@@ -300,7 +301,7 @@ def _body(lang: str, tokens: list[Token], at: int, column: int) -> tuple[int, in
             depth -= 1
             if not depth:
                 return k, k + 1
-        if tokens[k].line != tokens[k - 1].line and tokens[k].column <= column and (tokens[k].kind == "id" or c == "@") and tokens[k].text not in NEVER and _header(lang, tokens, k):
+        if tokens[k].line != tokens[k - 1].line and tokens[k].column <= column and (tokens[k].kind == "id" or c == "@") and tokens[k].text not in NO_START and _header(lang, tokens, k):
             return k - 1, k
     return len(tokens) - 1, len(tokens)
 
