@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.times import iso_ms
-from codequarry.tables import spread
+from codequarry.tables import partitions
 
 # Spellings of levels, and English month names.
 LEVELS = {
@@ -350,5 +350,5 @@ def entries(scans: DataFrame) -> DataFrame:
     """
     own = scans.select(F.col("id").cast("long").alias("scan_id"), iso_ms(F.col("started_at")).alias("started"), F.col("finished_at").isNotNull().alias("done"), "logs")
     own = own.where("scan_id is not null and logs is not null and logs <> ''")
-    own = own.groupBy("scan_id").agg(F.max(F.struct("done", F.length("logs").alias("n"), "started", "logs")).alias("x"))
-    return spread(own.select("scan_id", "x.started", "x.logs")).mapInPandas(_entries, _SCHEMA)
+    own = own.repartition(partitions(scans.sparkSession), "scan_id").groupBy("scan_id").agg(F.max(F.struct("done", F.length("logs").alias("n"), "started", "logs")).alias("x"))
+    return own.select("scan_id", "x.started", "x.logs").mapInPandas(_entries, _SCHEMA)

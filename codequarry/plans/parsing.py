@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.sources import facts as facts_
-from codequarry.tables import read
+from codequarry.tables import partitions, read
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    files = read(spark, d, "source_files", "repo_id", F.col("file_path").alias("path"), "content").distinct()
+    files = read(spark, d, "source_files", "repo_id", F.col("file_path").alias("path"), "content").repartition(partitions(spark), "repo_id", "path").distinct()
     return facts_.facts(files)
 
 

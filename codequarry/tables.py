@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,23 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle that Python functions follow: as the session has it, but no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHUFFLING = re.compile(r"Aggregate|Join|Window|Sort|Distinct|Deduplicate|Repartition|Rebalance")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan that Python functions follow enough partitions for all cores.
 
     Small Parquet files make few splits. When the scan has fewer partitions than the cluster has cores, rows are dealt out
-    again; a table whose files already make enough splits is left alone, so large inputs get no shuffle.
+    again; a table whose files already make enough splits is left alone, so large inputs get no shuffle. A plan that shuffles
+    is left alone too: it sets its own number by ``partitions``, and to ask for its partitions would run its stages.
     """
+    if _SHUFFLING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
