@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.functions import extract
-from codequarry.tables import read, spread
+from codequarry.tables import cut, partitions, read
 
 #: Methods above which a template with the method's name must stand to be dropped.
 TEMPLATE_COUNT = 20
@@ -136,20 +136,19 @@ def pairs(symbols: DataFrame, files: DataFrame, template_count: int = TEMPLATE_C
     symbols: symbol_id, kind, symbol, display_name, documentation, repo_id, file_path, start_line, parameters, return_type;
     files: repo_id, file_path, content. Other columns play no part. Repeated symbols and files count once. A symbol without a
     line is looked up by name, owner and parameters; one whose file or content is missing is judged by its own documentation
-    and has null code. Empty tables give no rows. Without ``texts`` only symbol_id is filled.
+    and has null code, as is one without repo_id or file_path. Empty tables give no rows. Without ``texts`` only symbol_id is filled.
     """
     fields = F.struct("symbol_id", "display_name", "documentation", "start_line", "parameters", "return_type", F.regexp_extract(F.coalesce("symbol", F.lit("")), r"([\w$]+)#", 1).alias("type_of"))
-    own = symbols.where("kind = 'method' and symbol_id is not null").groupBy("repo_id", "file_path").agg(F.collect_set(fields).alias("symbols"))
-    contents = files.groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
-    met = own.join(contents.withColumnsRenamed({"repo_id": "r", "file_path": "p"}), F.col("repo_id").eqNullSafe(F.col("r")) & F.col("file_path").eqNullSafe(F.col("p")), "left")
-    judged = spread(met.select("file_path", "content", "symbols")).mapInPandas(lambda batches: _pairs(batches, texts), _SCHEMA)
+    n = partitions(symbols.sparkSession)
+    own = symbols.where("kind = 'method' and symbol_id is not null").select("repo_id", "file_path", fields.alias("symbol")).repartition(n, "repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.collect_set("symbol").alias("symbols"))
+    contents = files.select("repo_id", "file_path", "content").repartition(n, "repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
+    met = own.join(contents, ["repo_id", "file_path"], "left")  # both sides lie by these keys already
+    judged = met.select("file_path", "content", "symbols").mapInPandas(lambda batches: _pairs(batches, texts), _SCHEMA)
     return _settle(judged, template_count)
 
 
 def _settle(judged: DataFrame, template_count: int) -> DataFrame:
     """Keep what says something by itself or by a template that is rarer than ``template_count`` names."""
-    from codequarry.tables import cut
-
     judged = cut(judged)
     kept = judged.where("says")
     open_ = judged.where("not says").select("symbol_id", "display_name", F.explode("templates").alias("template")).withColumn("h", F.xxhash64("template"))
