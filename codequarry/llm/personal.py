@@ -370,5 +370,10 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(read(spark, sf_dir, "turns", "turn_id", *TURNS), TURNS)
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+def p2_redacted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with placeholders in place of personal data."""
+    return redacted(read(spark, sf_dir, "llm_calls", "id", *CALLS), CALLS)
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_redacted_calls": p2_redacted_calls}
 SQL: dict[str, str] = {}
