@@ -72,6 +72,24 @@ def resolve_imported(raw: DataFrame, targets: DataFrame, imports: DataFrame, res
     return named.join(imports.select("repo_id", "source", "target").distinct(), ["repo_id", "source", "target"], "left_semi").select("repo_id", "source", "target").distinct()
 
 
+def class_edges(facts: DataFrame, cls: DataFrame, kinds: tuple[str, ...] = ("IMPORTS", "EXTENDS", "IMPLEMENTS")) -> DataFrame:
+    """(repo_id, source, target): edges of ``facts`` between two classes of one tenant, each once, none to itself.
+
+    An import without an owner is every class's of its file. Dotted names are whole ones; others are looked up as by
+    ``resolve_unique`` and, where several classes bear them, by the source's imports. What the tenant has no class for is left out.
+    """
+    own = cls.select("repo_id", "fqn", "name", "file_path").distinct()
+    found = facts.where(F.col("kind") == "edge").where(F.col("name").isin(*kinds)).select("repo_id", F.col("path").alias("file_path"), "owner", F.col("target").alias("named"))
+    raw = found.join(own, ["repo_id", "file_path"]).where("coalesce(owner, '') = '' or owner = name").select("repo_id", F.col("fqn").alias("source"), "named").distinct()
+    targets = own.select("repo_id", "name", "fqn")
+    whole = raw.where("contains(named, '.')").join(own.select("repo_id", F.col("fqn").alias("named")).distinct(), ["repo_id", "named"]).select("repo_id", "source", F.col("named").alias("target"))
+    short = raw.where("not contains(named, '.')").withColumnRenamed("named", "name")
+    once = resolve_unique(short, targets)
+    open_ = short.join(targets.groupBy("repo_id", "name").agg(F.countDistinct("fqn").alias("n")).where("n > 1").select("repo_id", "name"), ["repo_id", "name"], "left_semi")
+    several = resolve_imported(open_, targets, whole, once.limit(0))
+    return whole.unionByName(once).unionByName(several).where("source <> target").distinct()
+
+
 def calls_same_class(raw: DataFrame, mth: DataFrame) -> DataFrame:
     """(repo_id, caller, callee): calls by name to another method of the caller's class. raw: repo_id, caller, class_fqn, name."""
     own = mth.select("repo_id", "class_fqn", "name", F.col("fqn").alias("callee"))

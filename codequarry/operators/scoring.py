@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators import closure
+
 # Roles in the order in which they are tried, with the suffixes of names, annotations, path parts and kinds that
 # make them.
 ROLE_SUFFIXES = {
@@ -134,6 +136,100 @@ def repo_scores(scored: DataFrame) -> DataFrame:
     return total.select("repo_id", "n_classes", "n_god", F.round(score, 1).alias("score"), "n_graded_f")
 
 
+# The least coupling and blast size that are warned of; weights of tiers; tokens of a task on a clean class and how
+# many times as many a score costs; what summaries make of documentation.
+WARN_COUPLING, WARN_BLAST = 0.7, 20
+TIER_WEIGHTS = {"god": 10.0, "large": 4.0, "medium": 2.0, "small": 1.0, "tiny": 0.5}
+BASE_TOKENS, COSTS = 500, ((80, 1.0), (60, 1.8), (40, 3.5), (20, 7.0), (None, 15.0))
+SKIPPED_ROLES = ("TEST", "GENERATED")
+RANKS = ("high", "medium", "low")
+
+
+def _tokens(score: Column) -> Column:
+    out = F.when(score >= COSTS[0][0], COSTS[0][1])
+    for limit, times in COSTS[1:-1]:
+        out = out.when(score >= limit, times)
+    return F.bround(BASE_TOKENS * out.otherwise(COSTS[-1][1])).cast("long")
+
+
+def enriched(cls: DataFrame, mth: DataFrame, fld: DataFrame, edges: DataFrame) -> DataFrame:
+    """repo_id, fqn, name, role, documented, summarised, n_methods, fan_in, fan_out, coupling, blast_size, warnings of each class.
+
+    edges: repo_id, source, target, as from ``graph.class_edges``. Fan-in and fan-out are held against the greatest of the
+    repository, 1 where it has no edges; the blast size counts all that depend on a class, however far. Of a class that came
+    several times the first path's role counts.
+    """
+    summary = F.col("summary").isNotNull() if "summary" in cls.columns else F.lit(False)
+    roles = with_role(cls, fld).groupBy("repo_id", "fqn").agg(F.min("name").alias("name"), F.min(F.struct("file_path", "role"))["role"].alias("role"), F.max(F.col("javadoc").isNotNull()).alias("documented"), F.max(summary).alias("summarised"))
+    key = lambda c: F.struct("repo_id", F.col(c).alias("fqn"))
+    blast = closure.blast(edges.select(key("source").alias("src"), key("target").alias("dst"))).select("node.repo_id", "node.fqn", F.col("size").alias("blast_size"))
+    n = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n_methods"))
+    into, out = edges.groupBy("repo_id", F.col("target").alias("fqn")).agg(F.count("*").alias("fan_in")), edges.groupBy("repo_id", F.col("source").alias("fqn")).agg(F.count("*").alias("fan_out"))
+    most = into.groupBy("repo_id").agg(F.max("fan_in").alias("most_in")).join(out.groupBy("repo_id").agg(F.max("fan_out").alias("most_out")), "repo_id", "full_outer")
+    got = roles
+    for other in (n, into, out, blast):
+        got = got.join(other, ["repo_id", "fqn"], "left")
+    got = got.join(most, "repo_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_methods", "fan_in", "fan_out", "blast_size")}).withColumns({c: F.coalesce(c, F.lit(1)) for c in ("most_in", "most_out")})
+    got = got.withColumn("coupling", coupling(F.col("fan_in"), F.col("fan_out"), F.col("n_methods"), F.col("most_in"), F.col("most_out")))
+    tight = F.when(F.col("coupling") >= WARN_COUPLING, F.format_string("High coupling (%.2f) — %d transitive dependents", "coupling", "blast_size"))
+    wide = F.when(F.col("blast_size") > WARN_BLAST, F.format_string("Large blast radius — %d classes affected by signature changes", "blast_size"))
+    return got.select("repo_id", "fqn", "name", "role", "documented", "summarised", "n_methods", "fan_in", "fan_out", "coupling", "blast_size", F.array_compact(F.array(tight, wide)).alias("warnings"))
+
+
+def _reasons() -> Column:
+    """(rank, place, id) of the reasons that hold, by rank and place."""
+    c, b, t = F.col("coupling"), F.col("blast_size"), F.col("tier")
+    found = (
+        ("god_class", t == "god", F.lit(0)), ("large_class", t == "large", F.lit(1)), ("high_coupling", c > 0.35, F.when(c > 0.6, 0).otherwise(1)), ("high_blast", b > 50, F.lit(0)), ("medium_blast", (b > 20) & (b <= 50), F.lit(1)),
+        ("missing_docs", ~F.col("documented"), F.lit(1)), ("too_many_methods", (F.col("n_methods") > 20) & (t != "god"), F.lit(2)),
+    )
+    return F.sort_array(F.array_compact(F.array(*[F.when(test, F.struct(rank.alias("rank"), F.lit(k).alias("place"), F.lit(name).alias("id"))) for k, (name, test, rank) in enumerate(found)])))
+
+
+def whole_scores(own: DataFrame) -> DataFrame:
+    """``enriched`` classes with the scores of all four dimensions, their sum, grade, tier, reasons to refactor and the benefit."""
+    d = F.col("documented")
+    got = own.withColumns({"size_score": steps(F.col("n_methods"), SIZE_STEPS), "blast_score": steps(F.col("blast_size"), BLAST_STEPS), "coupling_score": steps(F.col("coupling"), COUPLING_STEPS, below=True), "docs_score": F.when(d, DOCS_SCORE).otherwise(0)})
+    got = got.withColumn("assisted_docs_score", F.when(d & F.col("summarised"), 25).when(d, 20).when(F.col("summarised"), 18).otherwise(0))
+    got = got.withColumn("score", F.col("size_score") + F.col("blast_score") + F.col("coupling_score") + F.col("docs_score"))
+    got = got.withColumn("grade", grade(F.col("score"))).withColumn("tier", tier(F.col("n_methods"), F.col("blast_size"))).withColumn("_reasons", _reasons())
+    weight = F.element_at(F.create_map(*[F.lit(x) for pair in TIER_WEIGHTS.items() for x in pair]), F.col("tier"))
+    high = F.size(F.filter("_reasons", lambda x: x["rank"] == 0))
+    got = got.withColumn("benefit", F.bround((100 - F.col("score")) * weight * (1 + F.col("blast_size") * 0.05) * (1 + high * 0.3), 1))
+    return got.withColumn("reasons", F.transform("_reasons", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, RANKS)), x["rank"] + 1), x["id"]))).drop("_reasons")
+
+
+def whole_repo_scores(scored: DataFrame) -> DataFrame:
+    """One row per repository: the mean score of classes that are no tests and not generated, less what gods beyond 1 % of all cost.
+
+    With it the grade, grades' numbers and tokens, what lifting C, D and F to B and what a full cleanup would save, the dimensions
+    by lost points (dims), and the score that summaries would give. Rounding is half-even.
+    """
+    own = ~F.col("role").isin(*SKIPPED_ROLES)
+    token = _tokens(F.col("score"))
+    at = lambda test, v: F.coalesce(F.sum(F.when(own & test, v)), F.lit(0))
+    low = F.col("grade").isin("C", "D", "F")
+    dims = (("Documentation", "docs_score", ~F.col("documented") & ~F.col("summarised"), ~F.col("documented")), ("Class size", "size_score", F.col("size_score") < 25, F.col("n_methods") > 15), ("Blast radius", "blast_score", F.col("blast_score") < 25, F.col("blast_size") > 5), ("Coupling", "coupling_score", F.col("coupling_score") < 25, F.col("coupling") >= 0.2))
+    any_ = F.lit(True)
+    total = scored.groupBy("repo_id").agg(
+        F.count("*").alias("n_classes"), F.count_if(own).alias("n_scored"), F.count_if(F.col("tier") == "god").alias("n_god"), at(any_, F.col("score")).alias("sum"), at(any_, F.col("assisted_docs_score")).alias("assisted_sum"), *[F.count_if(own & (F.col("grade") == g)).alias(f"n_{g.lower()}") for _, g in GRADES],
+        at(any_, token).alias("tokens"), at(low, token).alias("low_tokens"), F.count_if(own & low).alias("n_low"), *[x for k, (_, c, fails, affected) in enumerate(dims) for x in (at(any_, F.col(c)).alias(f"sum{k}"), F.count_if(own & fails).alias(f"fails{k}"), F.count_if(own & affected).alias(f"affected{k}"))],
+    )
+    n = F.greatest(F.col("n_scored"), F.lit(1))
+    penalty = F.least(F.lit(GOD_MOST), GOD_COST * F.greatest(F.lit(0), F.col("n_god") - F.greatest(F.lit(1), F.bround(F.col("n_classes") * GOD_ALLOWED).cast("long"))))
+    average = [F.bround(F.col(f"sum{k}") / n, 1) for k in range(len(dims))]
+    rows = [F.struct((-F.bround(25 - average[k], 1)).alias("minus"), F.lit(k).alias("place"), F.lit(dims[k][0]).alias("name"), average[k].alias("avg"), F.bround(F.col(f"fails{k}") / n * 100, 1).alias("fail_pct"), F.col(f"affected{k}").alias("affected")) for k in range(len(dims))]
+    ranked = F.transform(F.sort_array(F.array(*rows)), lambda x: F.struct(x["name"].alias("name"), x["avg"].alias("avg"), (-x["minus"]).alias("lost"), x["fail_pct"].alias("fail_pct"), x["affected"].alias("affected")))
+    final = lambda raw: F.bround(F.greatest(F.lit(0.0), raw - F.col("penalty")), 1)
+    share = lambda saved: F.bround(saved / F.greatest(F.col("tokens"), F.lit(1)) * 100, 1)
+    got = total.withColumn("penalty", penalty).withColumn("score", final(F.col("sum") / n)).withColumn("assisted_score", final(average[1] + average[2] + average[3] + F.bround(F.col("assisted_sum") / n, 1)))
+    got = got.withColumn("saving_to_b", F.greatest(F.lit(0), F.col("low_tokens") - F.col("n_low") * _tokens(F.lit(65)))).withColumn("saving_full", F.greatest(F.lit(0), F.col("tokens") - F.col("n_scored") * BASE_TOKENS))
+    return got.select(
+        "repo_id", "n_classes", "n_scored", "n_god", "penalty", "score", grade(F.col("score")).alias("grade"), *[f"n_{g.lower()}" for _, g in GRADES], "tokens", "saving_to_b", share(F.col("saving_to_b")).alias("saving_to_b_pct"), "saving_full", share(F.col("saving_full")).alias("saving_full_pct"),
+        ranked.alias("dims"), "assisted_score", grade(F.col("assisted_score")).alias("assisted_grade"),
+    )
+
+
 def _case(value: str, table: tuple) -> str:
     return "CASE " + " ".join(f"WHEN {value} <= {limit} THEN {score}" for limit, score in table[:-1]) + f" ELSE {table[-1][1]} END"
 

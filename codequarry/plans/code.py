@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry import graph
 from codequarry.operators import paths, scoring
-from codequarry.tables import read
+from codequarry.tables import cut, read
 
 _CTE = """WITH cls AS (SELECT DISTINCT ON (symbol_id) repo_id, replace(split_part(symbol, '#', 1), '/', '.') AS fqn, display_name AS name,
     file_path, start_line, end_line, annotations, modifiers, nullif(trim(array_to_string(documentation, chr(10))), '') AS javadoc,
@@ -214,6 +214,36 @@ def tier_pivot(spark: SparkSession, d: str) -> DataFrame:
     return got.select("repo_id", *[F.coalesce(t, F.lit(0)).alias(f"n_{t}") for t in tiers])
 
 
+def _whole(spark, d):
+    from codequarry.sources.facts import facts
+
+    cls = _cls(spark, d)
+    found = cut(facts(_src(spark, d, "repo_id", F.col("file_path").alias("path"), "content")).where("kind = 'edge' and name <> 'CALLS'"))  # parsed once
+    edges = cut(graph.class_edges(found, cls))  # read by every round of the closure
+    return scoring.whole_scores(scoring.enriched(cls, _mth(spark, d), _fld(spark, d), edges))
+
+
+def hygiene_class_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Role, coupling, blast size, warnings, the scores of all four dimensions, grade, tier, reasons and benefit of each class."""
+    return _whole(spark, d)
+
+
+def hygiene_repo_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of repositories of all four dimensions, tests and generated classes left out of the mean."""
+    return scoring.whole_repo_scores(_whole(spark, d))
+
+
+def hygiene_grouping_sets_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``hygiene_grouping_sets`` of the grades by four dimensions."""
+    return _whole(spark, d).groupingSets([["repo_id", "grade"], ["repo_id"], []], "repo_id", "grade").agg(F.count("*").alias("n"))
+
+
+def tier_pivot_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``tier_pivot`` of the tiers by methods and blast size."""
+    tiers = ["god", "large", "medium", "small", "tiny"]
+    return _whole(spark, d).groupBy("repo_id").agg(*[F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in tiers])
+
+
 def pattern_matches(spark: SparkSession, d: str) -> DataFrame:
     """Classes of each design pattern by the signals of a catalogue, with the signals that hit."""
     return scoring.patterns(_cls(spark, d))
@@ -379,7 +409,7 @@ def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     module_dependency_matrix, types_per_package, distinct_packages, packages_over_threshold, large_package_untested, file_loc_rollup, methods_per_class, god_classes, classes_without_methods, classes_with_static_methods, annotated_members, duplicate_names, overloads, public_undocumented,
-    module_class_counts, longest_prefix_owner, module_tree, module_summary, import_fan, external_stubs, resolve_names_unique, resolve_names_as_coded, self_calls, role_counts, role_classify, hygiene_class, hygiene_repo, hygiene_grouping_sets, tier_pivot, pattern_matches, pattern_top_packages,
+    module_class_counts, longest_prefix_owner, module_tree, module_summary, import_fan, external_stubs, resolve_names_unique, resolve_names_as_coded, self_calls, role_counts, role_classify, hygiene_class, hygiene_repo, hygiene_grouping_sets, tier_pivot, hygiene_class_whole, hygiene_repo_whole, hygiene_grouping_sets_whole, tier_pivot_whole, pattern_matches, pattern_top_packages,
     missing_variant, test_map, field_types, class_page, subsystem_histogram, class_search, language_by_repo, repo_map, skipped_paths, build_tools, label_counts, expected_minus_actual, signal_intersection, snapshot_methods, substantive_methods, parameter_counts, path_variables, stable_ids, loc_and_tokens,
     cross_layer_imports, upsert_latest, insert_if_absent, registry_full_outer, delete_by_file,
 )}
