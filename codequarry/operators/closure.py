@@ -63,6 +63,18 @@ def dependents(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame
     return found.join(changed.select("node").distinct(), "node", "left_anti")
 
 
+def dependents_by(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:
+    """(package, node, hops): as ``dependents``, for each package of ``changed`` (package, node) apart."""
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).where("node <> next").distinct()
+    own = changed.select("package", "node").distinct()
+    front, levels = own, []
+    for hop in range(1, max_hops + 1):
+        front = front.join(back, "node").select("package", F.col("next").alias("node")).distinct()
+        levels.append(front.withColumn("hops", F.lit(hop)))
+    found = reduce(DataFrame.unionByName, levels).groupBy("package", "node").agg(F.min("hops").alias("hops"))
+    return found.join(own, ["package", "node"], "left_anti")
+
+
 def depth_to_root(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """(node, depth): the longest chain of edges from each node up to a node without outgoing edge.
 

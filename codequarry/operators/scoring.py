@@ -118,6 +118,11 @@ def coupling(fan_in: Column, fan_out: Column, n_methods: Column, most_in: Column
     return F.when((most_in == 0) & (most_out == 0), F.lit(0.0)).otherwise(F.bround(F.least(raw, F.lit(1.0)), 4))
 
 
+def impact_risk(n: Column, modules: Column, endpoints: Column, error_policies: Column) -> Column:
+    """The risk of a change by affected classes, modules, endpoints and policies of severity error; 1 at most."""
+    return F.least(F.lit(1.0), F.least(n / 50, F.lit(0.4)) + F.least(modules / 5, F.lit(0.2)) + F.least(endpoints / 10, F.lit(0.2)) + F.least(error_policies / 3, F.lit(0.2)))
+
+
 def class_scores(cls: DataFrame, mth: DataFrame) -> DataFrame:
     """repo_id, fqn, n_methods, size_score, docs_score, score (of 100, of the two dimensions), grade, tier of each class."""
     n = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n"))

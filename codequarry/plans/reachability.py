@@ -121,6 +121,15 @@ def impact_report(spark: SparkSession, d: str) -> DataFrame:
     return got.select("package", "n_changed", zero("n_direct").alias("n_direct"), zero("n_all").alias("n_all"), zero("n_packages").alias("n_packages"), F.round(risk, 4).alias("risk"))
 
 
+def impact_report_4hop(spark: SparkSession, d: str) -> DataFrame:
+    """For each brand as the change: parts changed, dependents by least number of hops up to four, and the brands affected."""
+    n = nodes(spark, d)
+    found = closure.dependents_by(edges(spark, d), n.select("package", "node"), 4).join(n.select("node", F.col("package").alias("affected")), "node")
+    by = found.groupBy("package").agg(*[F.count_if(F.col("hops") == k).alias(f"n_hop{k}") for k in range(1, 5)], F.count("*").alias("n_all"), F.countDistinct("affected").alias("n_packages"))
+    counts = [f"n_hop{k}" for k in range(1, 5)] + ["n_all", "n_packages"]
+    return n.groupBy("package").agg(F.count("*").alias("n_changed")).join(by, "package", "left").select("package", "n_changed", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
 def refactor_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The 50 nodes that most depend on, by score steps and blast size."""
     size = blast_radius(spark, d)
@@ -128,9 +137,12 @@ def refactor_ranking(spark: SparkSession, d: str) -> DataFrame:
     return got.orderBy(F.desc("size"), "node").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, impact_report, refactor_ranking)}
+QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, impact_report, impact_report_4hop, refactor_ranking)}
 
 _BLAST = f"WITH RECURSIVE {_E}, r AS (SELECT dst AS node, src AS dep FROM e UNION SELECT r.node, e.src FROM r JOIN e ON e.dst = r.dep), b AS (SELECT node, count(*) AS size FROM r WHERE node <> dep GROUP BY node)"
+_DEPENDENTS = f"""WITH RECURSIVE {_E}, r AS (SELECT p.p_brand AS package, e.src AS node, 1 AS hops FROM e JOIN part p ON p.p_partkey = e.dst WHERE e.src <> e.dst
+    UNION SELECT r.package, e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.node WHERE r.hops < 4 AND e.src <> e.dst),
+    b AS (SELECT r.package, r.node, min(r.hops) AS hops, any_value(p.p_brand) AS affected FROM r JOIN part p ON p.p_partkey = r.node WHERE p.p_brand <> r.package GROUP BY r.package, r.node)"""
 _FAN = f"WITH {_E}, f AS (SELECT p.p_partkey AS node, p.p_brand AS package, (SELECT count(*) FROM e WHERE e.dst = p.p_partkey) AS fan_in, (SELECT count(*) FROM e WHERE e.src = p.p_partkey) AS fan_out FROM part p)"
 _WALK = f"""WITH RECURSIVE {_E}, l AS (SELECT p_partkey AS node, p_size % 7 AS layer, p_brand FROM part),
 w AS (SELECT node AS start, 0 AS hop, node, layer, [node] AS path FROM l WHERE p_brand = 'Brand#21'
@@ -155,3 +167,5 @@ SQL = {
         u AS (SELECT *, 1 AS hop FROM d UNION ALL SELECT *, 2 FROM s), b AS (SELECT u.package, count(DISTINCT CASE WHEN hop = 1 THEN node END) AS n_direct, count(DISTINCT node) AS n_all, count(DISTINCT p.p_brand) AS n_packages FROM u JOIN part p ON p.p_partkey = u.node WHERE p.p_brand <> u.package GROUP BY 1)
         SELECT o.package, n_changed, coalesce(n_direct, 0) AS n_direct, coalesce(n_all, 0) AS n_all, coalesce(n_packages, 0) AS n_packages, round(least(1.0, least(coalesce(n_all, 0) / 50, 0.4) + least(coalesce(n_packages, 0) / 5, 0.2)), 4) AS risk FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN b USING (package)""",
 }
+SQL["impact_report_4hop"] = _DEPENDENTS + """, c AS (SELECT package, """ + ", ".join(f"count(*) FILTER (hops = {k}) AS n_hop{k}" for k in range(1, 5)) + """, count(*) AS n_all, count(DISTINCT affected) AS n_packages FROM b GROUP BY package)
+    SELECT o.package, n_changed, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_hop1", "n_hop2", "n_hop3", "n_hop4", "n_all", "n_packages")) + " FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN c USING (package)"
