@@ -52,6 +52,11 @@ def dependents_4hop(spark: SparkSession, d: str) -> DataFrame:
     return closure.dependents(edges(spark, d), nodes(spark, d).where("node between 10 and 20").select("node"), 4)
 
 
+def dependents_4hop_by_brand(spark: SparkSession, d: str) -> DataFrame:
+    """For each brand, the parts that depend on its own in at most four steps."""
+    return closure.dependents_by(edges(spark, d), nodes(spark, d).select("package", "node"), 4)
+
+
 def depth_to_root_ge6(spark: SparkSession, d: str) -> DataFrame:
     """Parts at the end of a chain of six or more, along the halving edges."""
     tree = read(spark, d, "part", "p_partkey").where("p_partkey >= 2").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
@@ -137,7 +142,7 @@ def refactor_ranking(spark: SparkSession, d: str) -> DataFrame:
     return got.orderBy(F.desc("size"), "node").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, impact_report, impact_report_4hop, refactor_ranking)}
+QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop, dependents_4hop_by_brand, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, impact_report, impact_report_4hop, refactor_ranking)}
 
 _BLAST = f"WITH RECURSIVE {_E}, r AS (SELECT dst AS node, src AS dep FROM e UNION SELECT r.node, e.src FROM r JOIN e ON e.dst = r.dep), b AS (SELECT node, count(*) AS size FROM r WHERE node <> dep GROUP BY node)"
 _DEPENDENTS = f"""WITH RECURSIVE {_E}, r AS (SELECT p.p_brand AS package, e.src AS node, 1 AS hops FROM e JOIN part p ON p.p_partkey = e.dst WHERE e.src <> e.dst
@@ -169,3 +174,4 @@ SQL = {
 }
 SQL["impact_report_4hop"] = _DEPENDENTS + """, c AS (SELECT package, """ + ", ".join(f"count(*) FILTER (hops = {k}) AS n_hop{k}" for k in range(1, 5)) + """, count(*) AS n_all, count(DISTINCT affected) AS n_packages FROM b GROUP BY package)
     SELECT o.package, n_changed, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_hop1", "n_hop2", "n_hop3", "n_hop4", "n_all", "n_packages")) + " FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN c USING (package)"
+SQL["dependents_4hop_by_brand"] = _DEPENDENTS + " SELECT package, node, hops FROM b"

@@ -34,6 +34,12 @@ def no_supplier_parts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part", "p_partkey", "p_brand").join(sold, "p_partkey", "left_anti")
 
 
+def parts_not_shipped_lately(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of which no line item was shipped since September 2001."""
+    shipped = read(spark, d, "lineitem", F.col("l_partkey").alias("p_partkey"), "l_shipdate").where("l_shipdate >= timestamp_ntz'2001-09-01 00:00:00'")
+    return read(spark, d, "part", "p_partkey", "p_brand").join(shipped, "p_partkey", "left_anti")
+
+
 def top_customers(spark: SparkSession, d: str) -> DataFrame:
     """The three customers of each nation that spent most."""
     o = read(spark, d, "orders", F.col("o_custkey").alias("c_custkey"), "o_totalprice").groupBy("c_custkey").agg(F.sum(_money("o_totalprice")).alias("spent"))
@@ -73,7 +79,7 @@ def brand_union(spark: SparkSession, d: str) -> DataFrame:
     return small.intersect(dear).withColumn("in_set", F.lit("both")).unionByName(small.union(dear).distinct().withColumn("in_set", F.lit("either")))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, no_order_customers, has_open_order, no_supplier_parts, top_customers, running_orders, hot_key_totals, nation_matrix, brand_union)}
+QUERIES = {f.__name__: f for f in (pricing_summary, no_order_customers, has_open_order, no_supplier_parts, parts_not_shipped_lately, top_customers, running_orders, hot_key_totals, nation_matrix, brand_union)}
 SQL = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2023-09-02' GROUP BY ALL",
     "no_order_customers": "SELECT c_custkey, c_nationkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
@@ -85,3 +91,4 @@ SQL = {
     "nation_matrix": "SELECT s_nationkey, c_nationkey, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL ORDER BY n DESC, s_nationkey, c_nationkey LIMIT 40",
     "brand_union": "SELECT p_brand, 'both' AS in_set FROM (SELECT p_brand FROM part WHERE p_size < 5 INTERSECT SELECT p_brand FROM part WHERE p_retailprice > 1500) UNION ALL SELECT p_brand, 'either' FROM (SELECT p_brand FROM part WHERE p_size < 5 UNION SELECT p_brand FROM part WHERE p_retailprice > 1500)",
 }
+SQL["parts_not_shipped_lately"] = "SELECT p_partkey, p_brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l_shipdate >= TIMESTAMP '2001-09-01')"
