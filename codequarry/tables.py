@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,7 +21,14 @@ def partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-_SHUFFLING = re.compile(r"Aggregate|Join|Window|Sort|Distinct|Deduplicate|Repartition|Rebalance")
+# Nodes of a logical plan that move or order rows.
+_SHUFFLING = frozenset(("Aggregate", "Join", "Window", "Sort", "Distinct", "Deduplicate", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Intersect", "Except", "CoGroup", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow"))
+
+
+def _shuffles(plan) -> bool:
+    """Whether a JVM plan has a node that moves rows."""
+    children = plan.children()
+    return plan.nodeName() in _SHUFFLING or any(_shuffles(children.apply(k)) for k in range(children.length()))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -29,25 +38,64 @@ def spread(df: DataFrame) -> DataFrame:
     again; a table whose files already make enough splits is left alone, so large inputs get no shuffle. A plan that shuffles
     is left alone too: it sets its own number by ``partitions``, and to ask for its partitions would run its stages.
     """
-    if _SHUFFLING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+    if _shuffles(df._jdf.queryExecution().optimizedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a session without one gets a folder of its own (local tests)."""
+    """The shared checkpoint folder of the cluster, from ``spark.checkpoint.dir``.
+
+    A session with a local master and without that setting gets a folder of its own (tests); any other without it is refused,
+    since what executors wrote to their own disks would be lost to the rest.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codequarry-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not re.match(r"local(?:$|\[)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="codequarry-")
+        sc.setCheckpointDir(shared)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: lineage ends here and survives lost executors."""
+    """``df`` written to the shared checkpoint folder and read back: lineage ends here and survives lost executors.
+
+    ``forget`` removes what was written; a driver that ends removes it too.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if not _CUTS:
+        atexit.register(forget)
+    _CUTS.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def forget() -> None:
+    """Remove all tables that ``cut`` wrote; what was read from them can't be read again."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Bytes of a table up to which it may be sent to all executors.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df``, a table that ``cut`` wrote, marked for broadcast if its rows of ``row_bytes`` each are within ``limit`` bytes."""
+    small = df.count() * row_bytes <= limit
+    return (F.broadcast(df) if small else df), small
