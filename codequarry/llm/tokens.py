@@ -1,9 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, and decoding.
 
 The vocabulary's pattern splits texts into words in Spark. Each distinct word of the corpus is encoded once, into a table of
-words and ids. The ids go back to the words' places: while the table is within ``LOOKUP_BYTES`` every worker holds it, and the
-documents never move; a larger one is joined by word, in salted parts, since a few words make up much of any text. Decoding
-joins the ids with the vocabulary's table of pieces.
+words and ids. Documents lie in blocks of ``BLOCK_ROWS`` rows; a block's distinct words, a few hundredths of its text, are what
+meets the table in a join, so that a frequent word comes once a block and no key is hot. The ids then go back to the words'
+places block by block. Decoding joins the ids with the vocabulary's table of pieces.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.tables import cut, read
+from codequarry.tables import cut, read, spread
 
 #: Folder of the vocabulary files; a parameter of every function here.
 FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
-#: Bytes of the distinct-word table up to which workers hold it whole.
-LOOKUP_BYTES = 48 << 20
-#: Parts of a word in the join of a larger table.
-SALTS = 16
+#: Rows of a block at most.
+BLOCK_ROWS_LOG2 = 12
+BLOCK_ROWS = 1 << BLOCK_ROWS_LOG2
 
 # White space as Unicode has it, and the vocabulary's pattern in Java's spelling (its own is PATTERN of the same folder).
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -56,62 +55,56 @@ def _encoded_words(batches: Iterator, ranks) -> Iterator:
         yield pdf.assign(ids=[encode(w) for w in pdf["word"].tolist()])
 
 
-def distinct_words(texts: DataFrame, ranks) -> DataFrame:
-    """(word, ids): each distinct word of ``texts`` (text), encoded once."""
-    words = texts.select(F.explode(split(F.col("text"))).alias("word")).distinct()
-    return words.mapInPandas(lambda batches: _encoded_words(batches, ranks), "word string, ids array<int>")
+def distinct_words(blocks: DataFrame) -> DataFrame:
+    """(block, word): the distinct words of each block of ``blocks`` (block, text)."""
+    return blocks.select("block", F.explode(split(F.col("text"))).alias("word")).distinct()
 
 
-def _placed(batches: Iterator, table) -> Iterator:
-    """Batches of (doc_id, words) with ids in the words' places."""
+def word_table(words: DataFrame, ranks) -> DataFrame:
+    """(word, ids): each distinct word of ``words`` (block, word), encoded once."""
+    return words.select("word").distinct().mapInPandas(lambda batches: _encoded_words(batches, ranks), "word string, ids array<int>")
+
+
+def _placed(texts, table):
+    """Arrow tables of (doc_id, words) and of (word, ids), of one block: ids in the words' places."""
     import numpy as np
     import pyarrow as pa
-
-    lookup = table.value
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index("words"))
+    import pyarrow.compute as pc
+
+    known = table.column("word").combine_chunks()
+    lists = table.column("ids").combine_chunks()
+    flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy().astype("int64")
+    out = []
+    for batch in texts.select(["doc_id", "words"]).to_batches():
+        column = batch.column("words")
         bounds = column.offsets.to_numpy().astype("int64")
         words = column.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        each = [lookup[w] for w in words.dictionary.to_pylist()]
-        length = np.fromiter(map(len, each), "int64", len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, "int32")
-        first = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(each) else length
-        at = words.indices.to_numpy()
-        n = length[at] if len(each) else np.zeros(0, "int64")
+        row = pc.index_in(words.dictionary, value_set=known).to_numpy(zero_copy_only=False)
+        if np.isnan(row.astype("float64")).any():
+            raise ValueError("a word of the block is missing from its table")
+        at = row.astype("int64")[words.indices.to_numpy()] if len(words) else np.zeros(0, "int64")
+        n = starts[at + 1] - starts[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])] if len(each) else flat
-        out = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), out], names=["doc_id", "ids"])
+        ids = flat[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].astype("int32")
+        lengths = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(ids, pa.int32()))
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), lengths], names=["doc_id", "ids"]))
+    return pa.Table.from_batches(out)
 
 
-def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER, lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+def encode(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER, block_rows_log2: int = BLOCK_ROWS_LOG2) -> DataFrame:
     """(doc_id, ids): the ids of each row of ``documents`` (doc_id, text), special tokens' strings being ordinary text.
 
-    A null or empty text has an empty list. Every row stays, repeated ones too while the lookup is within its bytes; beyond,
-    rows of one doc_id count once. Other columns play no part.
+    A null or empty text has an empty list. Every row stays, repeated ones and those without doc_id too; an empty table gives
+    none. Other columns play no part. Each row's block is written down once, so that a task that runs again finds the same.
     """
-    import numpy as np
-
-    sc = documents.sparkSession.sparkContext
-    ranks = sc.broadcast(vocabulary(name, folder))
-    own = documents.select("doc_id", "text")
-    table = cut(distinct_words(own, ranks))
-    size = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 96)).first()[0] or 0
-    if size <= lookup_bytes:
-        lookup = sc.broadcast({w: np.asarray(ids, "int32") for w, ids in table.toLocalIterator(prefetchPartitions=True)})
-        return own.select("doc_id", split(F.col("text")).alias("words")).mapInArrow(lambda batches: _placed(batches, lookup), "doc_id long, ids array<int>")
-    return _joined(own, table)
-
-
-def _joined(own: DataFrame, table: DataFrame) -> DataFrame:
-    """As ``encode``, by a join over the words."""
-    own = own.groupBy("doc_id").agg(F.max("text").alias("text"))
-    places = own.select("doc_id", F.posexplode_outer(split(F.col("text"))).alias("at", "word")).withColumn("salt", F.pmod(F.col("at"), F.lit(SALTS)))
-    parts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = places.join(parts, ["word", "salt"], "left")
-    ids = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids")))), lambda x: x["ids"]))
-    return met.groupBy("doc_id").agg(ids.alias("ids"))
+    ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(name, folder))
+    own = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    blocks = cut(own.withColumn("block", F.shiftright(F.monotonically_increasing_id(), block_rows_log2)))
+    words = cut(distinct_words(blocks))
+    met = words.join(word_table(words, ranks), "word").select("block", "word", "ids")
+    texts = blocks.repartition("block").select("block", "doc_id", split(F.col("text")).alias("words"))
+    return texts.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_placed, "doc_id long, ids array<int>")
 
 
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -123,11 +116,13 @@ def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = FOLDER
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids). An empty or null list gives an empty text; a doc_id must come once."""
-    table = F.broadcast(pieces(encoded.sparkSession, name, folder))
-    places = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
-    hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", F.hex("piece").alias("h"))))), lambda x: x["h"]), "")
-    return places.groupBy("doc_id").agg(F.decode(F.unhex(hexed), "UTF-8").alias("text"))
+    """(doc_id, text) of (doc_id, ids): one row for each row, repeated and null doc_ids too. An empty or null list gives ''."""
+    table = F.broadcast(pieces(encoded.sparkSession, name, folder))  # as many rows as the vocabulary has
+    rows = encoded.select("doc_id", F.xxhash64("ids").alias("h"), F.greatest(F.size("ids"), F.lit(1)).alias("n"), F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
+    places = F.sort_array(F.array_distinct(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", F.hex("piece").alias("h"))))))
+    hexed = F.array_join(F.transform(places, lambda x: x["h"]), "")
+    texts = rows.groupBy("doc_id", "h", "n").agg(F.decode(F.unhex(hexed), "UTF-8").alias("text"), F.count("*").alias("all"))
+    return texts.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("all") / F.col("n")).cast("long")))).drop("col")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
