@@ -1,14 +1,14 @@
 """Passages of evaluation items inside documents.
 
-Items and documents become sequences of words, whatever their case, accents, punctuation, markup and line prefixes. For the
-search, numbers, names and units become typed placeholders and every window of the resulting template words is looked up in
-the hash table of the items' windows. From each hit the two texts are aligned word by word, single words may differ, be
-missing or be added. An aligned passage counts if its slots agree: most names are the item's own, or another set of names takes
-their places one for one, as in a re-parameterised question. Text that only shares the template of an item, with names and
-numbers of its own, thereby is no case.
-
-The items are a small table that doesn't grow; they are read in blocks of bounded size, and each block is held against all
-documents, so that a larger set of items needs more passes and no more memory.
+Items and documents become sequences of words, whatever their case, accents, punctuation, markup and line prefixes. Numbers,
+names and units become typed placeholders, and every window of the resulting template words is hashed. The windows of the
+documents meet those of the items in a hash join, which gives pairs of a document and an item that share one. Only for these
+pairs the two texts are aligned word by word; single words may differ, be missing or be added. An aligned passage counts if its
+slots agree: most names are the item's own, or names, numbers and units were exchanged one for one, as in a re-parameterised
+question. Text that only shares the template of an item, with names and numbers of its own, thereby is no case.
+
+Both sides of the join are tables, so items and documents may grow alike. The items' windows are broadcast while their number is
+within a bound; beyond it windows are joined in salted parts, with the same rows.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codequarry.tables import read, spread
+from codequarry.tables import BROADCAST_BYTES, broadcast_if_small, cut, read, spread
 
 #: Words of a template window.
 WINDOW = 6
@@ -29,8 +31,10 @@ WINDOW = 6
 PASSAGE, ENOUGH = 12, 20
 #: Share of a passage's words that must be the item's.
 SAME = 0.8
-#: Characters of items in a block: about 5 MB of windows on each worker.
-BLOCK_CHARS = 400_000
+#: Different items in which a sentence without names and numbers must stand to be a stock instruction.
+STOCK_ITEMS = 5
+#: Parts of a window in the join with many items.
+SALTS = 16
 
 # Units that take a placeholder.
 _UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days kb mb gb tb kib mib gib byte bytes percent px km m cm mm kg g".split())
@@ -72,48 +76,51 @@ def template(plain: list[str], named: list[bool], names: frozenset[str]) -> list
     return out
 
 
-def stock_sentences(texts: list[str]) -> set[str]:
-    """Sentences that stand in several items: instructions, no content."""
-    seen = Counter(s for t in texts for s in {" ".join(words(s)[0]) for s in _SENTENCE.split(t)})
-    return {s for s, n in seen.items() if n > 1 and s}
-
-
-class Items:
-    """The windows of a block of items. rows: (item_id, text); stock: sentences left out."""
-
-    def __init__(self, rows: list[tuple[int, str]], stock: set[str]):
-        self.text: dict[int, list[str]] = {}
-        named: dict[int, list[bool]] = {}
-        for item, text in rows:
-            kept = " ".join(s for s in _SENTENCE.split(text or "") if " ".join(words(s)[0]) not in stock)
-            self.text[item], named[item] = words(kept)
-        self.names = frozenset(w for i in self.text for w, is_name in zip(self.text[i], named[i]) if is_name)
-        self.template = {i: template(self.text[i], named[i], self.names) for i in self.text}
-        windows = defaultdict(list)
-        for i, t in self.template.items():
-            for k in range(len(t) - WINDOW + 1):
-                windows[tuple(t[k : k + WINDOW])].append((i, k))
-        self.windows = dict(windows)
-        self.firsts = frozenset(w[0] for w in windows)
-
-    def leaked(self, text: str | None) -> list[int]:
-        """The items of which the text repeats enough."""
-        if not text:
-            return []
-        plain, named = words(text)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashes(templates: list[list[str]]) -> list[np.ndarray]:
+    """The hash of every window of each sequence of template words, as signed 64-bit numbers."""
+    import pandas as pd
+
+    lengths = [len(t) for t in templates]
+    flat = np.array([w for t in templates for w in t], dtype=object)
+    if len(flat) < WINDOW:
+        return [np.zeros(0, "int64") for _ in templates]
+    codes = pd.util.hash_array(flat)
+    total = np.zeros(len(codes) - WINDOW + 1, "uint64")
+    with np.errstate(over="ignore"):
+        for k in range(WINDOW):
+            total = total * _BASE + codes[k : len(codes) - WINDOW + 1 + k]
+        total ^= total >> np.uint64(29)
+    total = total.astype("int64")
+    ends = np.cumsum(lengths)
+    return [total[e - n : max(e - n, e - WINDOW + 1)] for e, n in zip(ends, lengths)]
+
+
+class Item:
+    """The words, template and windows of one item."""
+
+    def __init__(self, text: str):
+        self.text, self.named = words(text)
+        self.names = frozenset(w for w, is_name in zip(self.text, self.named) if is_name)
+        self.template = template(self.text, self.named, self.names)
+        self.windows: dict[tuple, list[int]] = defaultdict(list)
+        for k in range(len(self.template) - WINDOW + 1):
+            self.windows[tuple(self.template[k : k + WINDOW])].append(k)
+        self.firsts = frozenset(w[0] for w in self.windows)
+
+    def leaked(self, plain: list[str], named: list[bool]) -> bool:
+        """Whether a text of these words repeats enough of the item."""
+        if len(self.text) < ENOUGH:
+            return False
         t = template(plain, named, self.names)
-        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for at in range(len(t) - WINDOW + 1):
-            if t[at] in self.firsts:
-                for item, k in self.windows.get(tuple(t[at : at + WINDOW]), ()):
-                    hits[item].add((at, k))
-        return [item for item, places in hits.items() if self._covered(item, plain, t, places) >= ENOUGH]
-
-    def _covered(self, item: int, plain: list[str], t: list[str], places: set[tuple[int, int]]) -> int:
+        places = {(at, k) for at in range(len(t) - WINDOW + 1) if t[at] in self.firsts for k in self.windows.get(tuple(t[at : at + WINDOW]), ())}
+        return self._covered(plain, t, places) >= ENOUGH
+
+    def _covered(self, plain: list[str], t: list[str], places: set[tuple[int, int]]) -> int:
         """Words of the item that stand in passages of the document."""
-        own, own_t = self.text[item], self.template[item]
-        if len(own) < ENOUGH:
-            return 0
+        own, own_t = self.text, self.template
         covered: set[int] = set()
         seen: set[tuple[int, int]] = set()
         for at, k in sorted(places):
@@ -121,8 +128,7 @@ class Items:
                 continue
             pairs = _align(own, own_t, plain, t, k, at)
             seen.update((y, x) for x, y in pairs)
-            same = [(x, y) for x, y in pairs if own[x] == plain[y]]
-            if not same:
+            if not any(own[x] == plain[y] for x, y in pairs):
                 continue
             first, last = pairs[0][0], pairs[-1][0]
             if last - first + 1 >= PASSAGE and _agrees(own, own_t, plain, t, pairs, last - first + 1):
@@ -177,37 +183,92 @@ def _agrees(own: list[str], own_t: list[str], plain: list[str], t: list[str], pa
     return same >= (SAME if slots else 0.9) * length
 
 
-def _found(batches: Iterator, items: Items) -> Iterator:
+def _sentences(batches: Iterator) -> Iterator:
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for item, text in zip(pdf["item_id"].tolist(), pdf["text"].tolist()):
+            for at, s in enumerate(_SENTENCE.split(text)):
+                plain, named = words(s)
+                slots = any(named) or any(map(str.isdigit, plain))
+                rows.append((item, text, at, s, " ".join(plain), slots))
+        yield pd.DataFrame(rows, columns=["item_id", "whole", "at", "sentence", "plain", "slots"])
+
+
+def contents(benchmark: DataFrame, stock_items: int = STOCK_ITEMS) -> DataFrame:
+    """(item_id, item): the text of each item of ``benchmark`` (item_id, text) without stock instructions.
+
+    A sentence is one if it has no name or number and stands in ``stock_items`` different texts; whatever else items share,
+    as copies of one another do, is content.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    parts = items.mapInPandas(_sentences, "item_id long, whole string, at int, sentence string, plain string, slots boolean")
+    often = parts.where("not slots and plain <> ''").groupBy("plain").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= stock_items)
+    kept = parts.join(often, "plain", "left_anti").groupBy("item_id", "whole").agg(F.sort_array(F.collect_list(F.struct("at", "sentence"))).alias("s"))
+    return kept.select("item_id", F.array_join(F.col("s.sentence"), " ").alias("item"))
+
+
+def _item_windows(batches: Iterator) -> Iterator:
+    """Windows with the names as placeholders and as plain words, since a text in one case shows no names."""
+    import pandas as pd
+
+    for pdf in batches:
+        forms: list[list[str]] = []
+        for text in pdf["item"].tolist():
+            plain, named = words(text)
+            forms += [template(plain, named, frozenset()), template(plain, [False] * len(plain), frozenset())]
+        held = hashes(forms)
+        both = [np.concatenate(held[2 * k : 2 * k + 2]) for k in range(len(pdf))]
+        yield pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy("int64"), [len(x) for x in both]), "window": np.concatenate(both) if both else np.zeros(0, "int64")})
+
+
+def _document_windows(batches: Iterator) -> Iterator:
+    for pdf in batches:
+        held = hashes([template(*words(text), frozenset()) for text in pdf["text"].tolist()])
+        yield pdf[["doc_id", "digest"]].assign(windows=[np.unique(x) for x in held])
+
+
+def _verified(batches: Iterator) -> Iterator:
     import pandas as pd
 
+    items: dict[str, Item] = {}
+    last, seen = None, ([], [])
     for pdf in batches:
-        rows = [(doc, item) for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) for item in items.leaked(text)]
+        rows = []
+        for doc, item, text, content in zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist(), pdf["text"].tolist(), pdf["item"].tolist()):
+            if text != last:
+                last, seen = text, words(text)
+            if content not in items:
+                if len(items) >= 10_000:
+                    items.clear()
+                items[content] = Item(content)
+            if items[content].leaked(*seen):
+                rows.append((doc, item))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
 
-def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, stock_items: int = STOCK_ITEMS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id): the items of ``benchmark`` (item_id, text) that ``documents`` (doc_id, text) repeat.
 
-    Null and empty texts hold nothing; rows without an id are left out; repeated rows count once; items of fewer than twenty
-    words besides stock instructions can't be found. Empty tables give no rows. Other columns play no part.
+    Null and empty texts hold nothing; rows without an id are left out; repeated rows count once; an id with several texts
+    counts for each of them; items of fewer than twenty words besides stock instructions can't be found. Empty tables give no
+    rows. Other columns play no part.
     """
-    from functools import reduce
-
-    rows = sorted({(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()})
-    stock = stock_sentences([t for _, t in rows])
-    blocks: list[list] = [[]]
-    for row in rows:
-        if sum(len(t) for _, t in blocks[-1]) + len(row[1]) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-        blocks[-1].append(row)
-    sc = documents.sparkSession.sparkContext
-    own = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
-
-    def against(block: list) -> DataFrame:
-        shared = sc.broadcast(Items(block, stock))
-        return own.mapInPandas(lambda batches: _found(batches, shared.value), "doc_id long, item_id long")
-
-    return reduce(DataFrame.unionByName, map(against, blocks)).distinct()
+    items = cut(contents(benchmark, stock_items))
+    windows = cut(items.mapInPandas(_item_windows, "item_id long, window long").distinct())
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").where("doc_id is not null and text <> ''")
+    every = spread(own).mapInPandas(_document_windows, "doc_id long, digest long, windows array<long>")
+    windows, small = broadcast_if_small(windows, 16, broadcast_bytes)
+    if small:
+        hits = every.select("doc_id", "digest", F.explode("windows").alias("window")).join(windows, "window")
+    else:
+        salt = F.pmod(F.col("digest"), F.lit(SALTS))
+        parts = windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = every.select("doc_id", "digest", salt.alias("salt"), F.explode("windows").alias("window")).join(parts, ["window", "salt"])
+    pairs = cut(hits.select("doc_id", "digest", "item_id").distinct())
+    met = own.join(pairs, ["doc_id", "digest"]).join(items, "item_id")
+    return met.select("doc_id", "item_id", "text", "item").mapInPandas(_verified, "doc_id long, item_id long").distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ STOCK = " Answer with the fully qualified name of the class and nothing else in
 OTHER = "Which hollow cellar must VellaClerk give up so that IlmaLoom keeps 98 of them, and how many of the wooden boats remain behind the gate when it is shut?"
 
 
-def found(text, items=((1, ITEM + STOCK), (2, OTHER + STOCK))):
-    rows = list(items)
-    return leakage.Items(rows, leakage.stock_sentences([t for _, t in rows])).leaked(text)
+def found(text, items=((1, ITEM), (2, OTHER))):
+    seen = leakage.words(text or "")
+    return [k for k, item in items if leakage.Item(item).leaked(*seen)]
 
 
 def test_leaks_survive_changes_of_form():
@@ -30,12 +30,25 @@ def test_no_leaks():
 
 
 def test_leak_table(spark):
-    docs = spark.createDataFrame([(1, f"a {ITEM} b", 5), (1, f"a {ITEM} b", 5), (2, None, 5), (3, "", 5), (None, ITEM, 5), (4, "word " * 20000 + ITEM, 5)], "doc_id long, text string, item_id int")
-    items = spark.createDataFrame([(1, ITEM + STOCK), (2, OTHER + STOCK), (3, None), (None, OTHER)], "item_id long, text string")
-    assert {tuple(r) for r in leakage.find(docs, items).collect()} == {(1, 1), (4, 1)}
+    docs = spark.createDataFrame([(1, f"a {ITEM} b", 5), (1, f"a {ITEM} b", 5), (2, None, 5), (3, "", 5), (None, ITEM, 5), (4, "word " * 20000 + ITEM, 5), (5, ITEM.upper(), 5), (6, STOCK * 3, 5)], "doc_id long, text string, item_id int")
+    fill = [(k, f"A short item of NameStore{k} with {k} words." + STOCK) for k in range(10, 16)]
+    items = spark.createDataFrame([(1, ITEM + STOCK), (2, OTHER + STOCK), (3, None), (None, OTHER), *fill], "item_id long, text string")
+    for bytes_ in (leakage.BROADCAST_BYTES, 0):
+        assert {tuple(r) for r in leakage.find(docs, items, broadcast_bytes=bytes_).collect()} == {(1, 1), (4, 1), (5, 1)}
     assert leakage.find(docs, items.limit(0)).count() == 0 and leakage.find(docs.limit(0), items).count() == 0
 
 
+def test_items_that_share_sentences_stay(spark):
+    a, b = ITEM.split(". ")
+    a += " before the ninth lantern burns"
+    items = spark.createDataFrame([(1, f"{a}. {b}"), (2, f"{a}. {b}"), (3, f"{a}. {OTHER}"), (4, f"{b} {OTHER}")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {a}. {b} after"), (2, f"so {a}, as they say"), (3, f"{OTHER} {b}")], "doc_id long, text string")
+    got = {tuple(r) for r in leakage.find(docs, items).collect()}
+    assert {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 3), (3, 4)} <= got
+    stock = {r["item_id"]: r["item"] for r in leakage.contents(spark.createDataFrame([(k, f"{ITEM}{STOCK}" if k % 2 else f"{OTHER}{STOCK} {k}") for k in range(12)], "item_id long, text string"), 4).collect()}
+    assert all("fully qualified" not in x for x in stock.values()) and ITEM in stock[1]
+
+
 TEXTS = [None, "", " ", "a b  c\n\n d", "I'll don't we've 'tis", "Größe über 12345 · ∑x² 日本語 テスト 🎉🎉", "x\u00a0y\u2003z\u3000w\u0085v\x1cq", "<|endoftext|> is text", "\u200b\ufeff", "word " * 3000, "tab\t\ttab\r\n\r\n  end  "]
 
 
