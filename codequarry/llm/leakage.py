@@ -40,7 +40,7 @@ SALTS = 16
 _UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days kb mb gb tb kib mib gib byte bytes percent px km m cm mm kg g".split())
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[A-Za-z])-[ \t]*(?:\r\n|\n|\r)[ \t>|*#]*(?=[a-z])")
 _CAMEL = re.compile(r"[A-Za-z]+[a-z][A-Z]|[A-Z]{2,}[a-z]+[A-Z]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -57,8 +57,8 @@ def words(text: str) -> tuple[list[str], list[bool]]:
         text = "".join(c for c in text if not unicodedata.combining(c))
     if "-\n" in text or "-\r" in text:
         text = _BREAK.sub("", text)
-    raw = _WORD.findall(text)
-    return [w.lower().replace("'", "").replace("’", "") for w in raw], [w[1:].lower() != w[1:] and _CAMEL.match(w) is not None for w in raw]
+    raw = _WORD.findall(text.replace("'", "").replace("’", ""))
+    return [w.lower() for w in raw], [not w.islower() and w[1:].lower() != w[1:] and _CAMEL.match(w) is not None for w in raw]
 
 
 def template(plain: list[str], named: list[bool], names: frozenset[str]) -> list[str]:
