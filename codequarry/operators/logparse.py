@@ -241,28 +241,33 @@ for _c in "IWEFDC":
     GRAMMARS[_c] = (("lettered", _lettered), *GRAMMARS.get(_c, ()))
 
 
-def _closing(lines: list[str], at: int) -> int | None:
-    """The line on which the object that opens on line ``at`` closes; None if another entry or the end comes first."""
-    depth, quoted, escaped = 0, False, False
-    for k in range(at, len(lines)):
-        s = lines[k]
-        if k > at and s[:1] and s[0] in GRAMMARS and _header(s, None):
-            return None
-        for c in s:
-            if escaped:
-                escaped = False
-            elif quoted:
-                escaped, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                depth += 1
-            elif c in "}]":
-                depth -= 1
-                if depth == 0:
-                    return k
-        quoted = escaped = False
-    return None
+#: Levels to which an object that takes several lines may be nested.
+DEPTH = 200
+_BRACKET = re.compile(r'"(?:[^"\\\n]|\\.)*"?|[{}\[\]]|\n')
+
+
+def closings(lines: list[str]) -> dict[int, int]:
+    """For each line whose first column opens an object the line on which that closes, by one pass over all brackets.
+
+    Objects that don't close, and those nested deeper than ``DEPTH``, are left out. A quotation ends with its line.
+    """
+    out: dict[int, int] = {}
+    stack: list[list[int]] = []  # line if the bracket is its first column else -1, levels inside
+    line = 0
+    for m in _BRACKET.finditer("\n".join(lines)):
+        c = m.group()
+        if c == "\n":
+            line += 1
+        elif c in ("{", "["):
+            at = line if c == "{" and (m.start() == 0 or m.string[m.start() - 1] == "\n") else -1
+            stack.append([at, 1])
+        elif c in ("}", "]") and stack:
+            at, levels = stack.pop()
+            if stack:
+                stack[-1][1] = max(stack[-1][1], levels + 1)
+            if at >= 0 and levels <= DEPTH:
+                out[at] = line
+    return out
 
 
 def _header(s: str, floor: int | None):
@@ -274,14 +279,16 @@ def _header(s: str, floor: int | None):
     return None
 
 
-def _object(lines: list[str], at: int) -> tuple[tuple, int] | None:
-    """The entry of the JSON object that opens on line ``at``, and the line that ends it."""
+def _object(lines: list[str], at: int, closed: dict[int, int]) -> tuple[tuple, int] | None:
+    """The entry of the JSON object that opens on line ``at``, and the line that ends it. ``closed`` is filled when needed."""
     end = at
     try:
         x = json.loads(lines[at])
-    except ValueError:
-        end = _closing(lines, at)
-        if end is None:
+    except (ValueError, RecursionError):
+        if not closed:
+            closed.update(closings(lines) or {-1: -1})
+        end = closed.get(at, at)
+        if end == at:
             return None
         try:
             x = json.loads("\n".join(lines[at : end + 1]))
@@ -305,11 +312,12 @@ def parse(text: str | None, started_ms: int | None) -> list[tuple]:
     floor = None if started_ms is None else started_ms // 1000 * 1000
     lines = [_CONTROL.sub("", s) if not s.isprintable() else s for s in _LINES.split(text)]
     heads: list[tuple] = []
+    closed: dict[int, int] = {}
     k = 0
     while k < len(lines):
         s = lines[k]
         if s[:1] == "{":
-            got = _object(lines, k)
+            got = _object(lines, k, closed)
             if got:
                 heads.append((k, *got[0]))
                 k = got[1]

@@ -50,3 +50,18 @@ def test_table(spark):
     rows = [(1, "2017-06-01T00:00:00Z", None, None, 7), (1, "2017-06-01T00:00:00Z", "2017-06-01T01:00:00Z", "00:00:01 INFO a", 7), (1, "2017-06-01T00:00:00Z", "2017-06-01T01:00:00Z", "00:00:01 INFO a", 7), (2, None, None, "00:00:01 INFO a", 1), (3, "x", "y", "", 1), (None, None, None, "00:00:01 INFO a", 1)]
     got = {tuple(r[:3]) for r in entries(spark.createDataFrame(rows, "id long, started_at string, finished_at string, logs string, entry_no int")).collect()}
     assert got == {(1, 1, START + 1000), (2, 1, None)}
+
+
+def test_objects_of_several_lines_in_one_pass():
+    text = '{"ts": "2017-06-01T00:00:00Z",\n "level": "warn", "x": {"y": [1,\n "}"]}}\n rest\n{"a": 1} tail\n{"level": "info",\nW0601 00:00:03.894772   76198 java.go:183] m\n'
+    got = parse(text, START)
+    assert [(e[0], e[2], e[4], e[5]) for e in got] == [(1, "WARN", 6, "json"), (2, "WARN", 1, "lettered")]
+
+
+def test_long_logs_take_time_in_proportion():
+    import time
+
+    for text in ("{\n" * 250_000, "{\n" * 100_000 + "}\n" * 100_000, '{"a":\n' * 80_000 + "1\n" + "}\n" * 80_000, '{"a": 1,\n' * 60_000):
+        began = time.thread_time()
+        assert len(parse(text, START)) <= 1  # of objects nested too deep the inner part counts
+        assert time.thread_time() - began < 8
