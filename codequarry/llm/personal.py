@@ -1,14 +1,16 @@
 """Personal data in free text: mail addresses, phone and identity numbers, postal addresses and names of persons.
 
 One Aho-Corasick pass over a text finds anchors: at-signs in any spelling, cue words before or after a value, street words and
-brackets that follow a name. Phone numbers are anchored by their digits. From each anchor a local parser expands the value to
-its bounds and validates it; where it fails, nothing is found there. Spans of several types may overlap; in the redacted text
-the stronger type goes first.
+brackets that follow a name, labels of numbers. Other phone numbers are anchored by their digits. From each anchor a local
+parser expands the value to its bounds, no further than ``REACH`` characters to either side, and validates it; where it fails,
+nothing is found there. The work thereby grows with the text. A full name found once is found wherever the text repeats it.
+Spans of several types may overlap; in the redacted text the stronger type goes first.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codequarry.tables import read, spread
 
-TYPES = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "NAME")
+#: ACCOUNT (bank accounts and payment cards) is replaced in texts but is no type of ``find``.
+TYPES = ("EMAIL", "ADDRESS", "ID_NUMBER", "ACCOUNT", "PHONE", "NAME")
+FOUND = frozenset(TYPES) - {"ACCOUNT"}
+#: Characters before and after an anchor that its parser looks at: longer than any address or name of sense.
+REACH = 160
 
 # ---- mail addresses
 
@@ -32,8 +38,8 @@ def _mail(text: str, at: int) -> tuple[int, int] | None:
     m = _AT.match(text, at)
     if not m:
         return None
-    local = _LOCAL_BACK.search(text, max(0, at - 65), at)
-    domain = _DOMAIN.match(text, m.end())
+    local = _LOCAL_BACK.search(text, max(0, at - 65), at)  # a local part has 64 characters at most
+    domain = _DOMAIN.match(text, m.end(), m.end() + 254)  # and a domain 253
     if not local or not domain:
         return None
     start, end = local.start(), domain.end()
@@ -60,6 +66,21 @@ _PHONE_SHAPES = re.compile(
 _OTHER_NUMBER = re.compile(r"(?:build|version|checksum|revision|commit|ticket|run(?:\s+id)?|range|port|size|hash|sha\d*|md5|id|no\.|number of|lines?|rows?|bytes|v|isbn|order|invoice|case|passport no\. is|security number|steuer-id|document)[\s:=#\"]*$", re.I)
 
 
+_EXTENSION = re.compile(r"\s?(?:ext|x|extension)\.?\s?\d{1,5}", re.I)
+# Labels right before a phone number.
+PHONE_CUES = ("tel:", "tel: ", "phone:", "phone: ", "sms:", "callto:", "fax:", "fax: ", "mobile:", "mobile: ", "telefon:", "telefon: ", "handy:", "handy: ", "téléphone: ", "teléfono: ", "móvil: ", "whatsapp:", "whatsapp: ", "phone number is ", "call me at ", "call me on ", "reach me at ")
+_LABELLED = re.compile(r"(?:\+|\(?\d)[\d()./ \-]{5,22}\d(?![\w@])")
+
+
+def _labelled_phone(text: str, end: int) -> tuple[int, int] | None:
+    """The number right after a label that ends at ``end``; a label takes a local number of seven digits too."""
+    m = _LABELLED.match(text, end)
+    if not m or not 7 <= sum(map(str.isdigit, m.group())) <= 15 or m.group().count("(") != m.group().count(")"):
+        return None
+    extension = _EXTENSION.match(text, m.end())
+    return m.start(), extension.end() if extension else m.end()
+
+
 def _phones(text: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         start, s = m.start(), m.group()
@@ -76,8 +97,8 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
             continue
         if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s) or _OTHER_NUMBER.search(text, max(0, start - 24), start):
             continue
-        extension = re.match(r"\s?(?:ext|x|extension)\.?\s?\d{1,5}", text[start + len(s) :], re.I)
-        yield start, start + len(s) + (extension.end() if extension else 0)
+        extension = _EXTENSION.match(text, start + len(s))
+        yield start, extension.end() if extension else start + len(s)
 
 
 # ---- identity numbers
@@ -95,7 +116,57 @@ def _identity(text: str, end: int) -> tuple[int, int] | None:
     """The number after a cue that ends at ``end``."""
     link = _ID_LINK.match(text, end)
     value = _ID_VALUE.match(text, link.end()) if link else None
-    return value.span() if value else None
+    return value.span() if value and _may_identify(value.group()) else None
+
+
+_SOCIAL = re.compile(r"(\d{3})[ \-](\d\d)[ \-](\d{4})")
+_BORN = re.compile(r"(\d\d)(\d\d)\d\d[\-+]\d{4}")
+
+
+def _may_identify(value: str) -> bool:
+    """Whether a number of a known form can have been given out: no part of zeros only, a birthday that exists."""
+    if m := _SOCIAL.fullmatch(value):
+        return m.group(1) not in ("000", "666") and m.group(2) != "00" and m.group(3) != "0000"
+    if m := _BORN.fullmatch(value):
+        a, b = int(m.group(1)), int(m.group(2))
+        return 1 <= b <= 12 or 1 <= a <= 12 and 1 <= b <= 31  # day, month or year come first
+    return len(set(filter(str.isdigit, value))) > 1
+
+
+# ---- accounts and cards
+
+# Cues before bank accounts and payment cards, in lower case.
+ACCOUNT_CUES = ("iban", "bank account", "account number", "account no", "kontonummer", "konto", "número de cuenta", "cuenta", "numéro de compte", "compte", "credit card", "debit card", "card number", "kreditkarte", "carte bancaire", "tarjeta")
+_ACCOUNT_LINK = re.compile(r"[\s\"']*(?:(?:number|no|nr|nummer|num|iban)(?!\w)\.?[\s\"']*)*(?:is|was|ist|es|est|:|=|#)?[\s\"']*", re.I)
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD = re.compile(r"\d(?:[ \-]?\d){12,18}(?![\w\-])")
+_PLAIN_ACCOUNT = re.compile(r"\d(?:[ \-]?\d){6,11}(?![ \-]?\d|[\w\-])")
+
+
+def _iban_holds(value: str) -> bool:
+    s = value.replace(" ", "")
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _card_holds(value: str) -> bool:
+    digits = [int(c) for c in value if c.isdigit()][::-1]
+    return len(set(digits)) > 1 and sum(digits[::2] + [d * 2 - 9 * (d > 4) for d in digits[1::2]]) % 10 == 0
+
+
+def _account(text: str, end: int, plain: bool) -> tuple[int, int] | None:
+    """The account or card after a cue that ends at ``end``, its check digits in order. ``plain``: one without any will do."""
+    at = _ACCOUNT_LINK.match(text, end).end()
+    m = _IBAN.match(text, at)
+    while m and not _iban_holds(m.group()):  # the last group may be the next word
+        back = m.group().rfind(" ")
+        m = _IBAN.fullmatch(text, at, at + back) if back > 0 else None
+    if m:
+        return m.span()
+    m = _CARD.match(text, at)
+    if m and _card_holds(m.group()):
+        return m.span()
+    m = _PLAIN_ACCOUNT.match(text, at) if plain else None
+    return m.span() if m else None
 
 
 # ---- postal addresses
@@ -119,9 +190,18 @@ _ADDRESS_ANCHORS = {
 }
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _address(text: str, at: int, end: int, parser: re.Pattern) -> tuple[int, int] | None:
     """The address that the street word between ``at`` and ``end`` is part of."""
-    for m in parser.finditer(text, max(0, at - 60)):
+    first = max(0, at - REACH)
+    if parser is _AFTER_NUMBER:
+        if end < len(text) and text[end].isalnum() or not _DIGIT.search(text, first, at):
+            return None
+    elif not _DIGIT.search(text, first, end + REACH):
+        return None
+    for m in parser.finditer(text, first, end + REACH):
         if m.start() > end:
             return None
         if m.end() >= end - 1:
@@ -148,6 +228,7 @@ _NO = re.compile("")
 NAME_CUES: dict[str, re.Pattern] = {
     "ask ": re.compile(r"(?:,? (?:about|whether|if|to|before|for|why|how)\b)"), "customer ": re.compile(r"(?:,|'s\b| \(| opened| asked| called| wrote| complained| reported|\.$)"), "reviewer was ": _NO, "reviewed by ": _NO, "test user ": re.compile(r"(?: with| cannot| can|,|$|\.)"), "on behalf of ": _NO, "issued to ": _NO, "written by ": _NO, "reported by ": _NO, "assigned to ": _NO, "signed by ": _NO, "approved by ": _NO, "maintained by ": _NO,
     "contacter ": re.compile(r"(?: au\b|,|\.| par\b| pour\b|$| à )"), "bitte an ": re.compile(r" wenden\b"), "wenden sie sich an ": _NO, "contactar a ": _NO, "contactar con ": _NO, "llamar a ": _NO, "preguntar a ": _NO, "row: \"": _NO, "row: \\\"": _NO, "user\":\"": _NO, "user\": \"": _NO, "user\\\":\\\"": _NO, "user\\\": \\\"": _NO, "name\":\"": _NO, "name\": \"": _NO, "name\\\": \\\"": _NO, "owner=\"": _NO, "owner=\\\"": _NO, "owner: ": _NO, "author: ": _NO, "@author ": _NO,
+    "i met ": _NO, "met with ": _NO, "spoke with ": _NO, "spoke to ": _NO, "talked to ": _NO, "please contact ": _NO, "e-mail to ": _NO, "a call from ": _NO, "invoice for ": _NO, "appointment with ": _NO, "interview with ": _NO,
     "i'm ": re.compile(r"(?: from| and| at| in| on|,|\.)"), "i am ": re.compile(r"(?: from the|,)"), "my name is ": _NO, "per ": re.compile(r"['’]s\b"), "regards, ": _NO, "regards,\n": _NO, "regards,\\n": _NO, "grüße, ": _NO, "grüßen, ": _NO, "cordialement, ": _NO, "saludos, ": _NO, "sincerely, ": _NO, "cheers, ": _NO, "thanks, ": _NO, "thanks,\n": _NO, "thanks,\\n": _NO, "thank you, ": _NO, "todo(": re.compile(r"\)"), "fixme(": re.compile(r"\)"), "xxx(": re.compile(r"\)"), "dear ": re.compile(r","), "hallo ": re.compile(r","), "bonjour ": re.compile(r","), "hola ": re.compile(r","),
 }
 # A full name all in lower case counts only after a cue, and only where both of its words can be names.
@@ -159,7 +240,7 @@ _LOWER_END = re.compile(r"(?=$|\s*[\n\"'’<(),.;]|\\|\s+[A-ZÀ-Þ¿#{\[])")
 # Nouns and adjectives that follow the cues without being names, besides closed-class words.
 _COMMON = frozenset("my our your per cache layer whole team user users owner owners platform support service services graph customer client server project module class method package release review reviewer report builder import table folder branch caller change parser digest queue warning code file files system company department people everyone nobody someone data test tests very too slow good bad new old late done sent unknown none null admin root other one two three".split())
 # Cues after a name, in lower case.
-_AFTER_NAME = (" moved to ", " wrote the ", " lives at ", " ist umgezogen", " a déménagé", " se mudó")
+_AFTER_NAME = (" moved to ", " wrote the ", " lives at ", " lives in ", " was born ", " called me", " called us", " called on ", " phoned ", " emailed ", " told me ", " told us ", " asked me ", " asked us ", " complained that ", " ist umgezogen", " wohnt in ", " hat angerufen", " a déménagé", " habite ", " a appelé", " se mudó", " vive en ", " llamó ")
 # Capitalised words that stand where names do and are none.
 _NO_NAMES = frozenset("I He She It We You They His Her Its Our Your Their My Do Does Did Look Send Ask Customer Fixture Regards Thanks Owner Bitte Veuillez Escribir Identity Ship Tel Steuer The This That These Those What Which Where When Why How Can Is Are Write List Suggest Summarise Explain Describe Use Context Evidence Answer Please Keep Every Some Most All Any No Yes Not In On At For From If Then Later Under After Before Whenever While Because Although Unless So Was Welche Warum Kann Que Quels Pourquoi Spring Project Object Street Lane Version Build Run Team Platform Support Admin Nobody Everyone Anyone Someone English German French Spanish Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
 _TITLE_ANCHORS = ("mr. ", "mrs. ", "ms. ", "ms ", "dr. ", "prof. ", "mr ", "mrs ", "herr ", "frau ", "mme ", "sra. ")
@@ -215,12 +296,12 @@ def _ends_lower(text: str, at: int) -> bool:
 
 def _name_before(text: str, start: int) -> tuple[int, int] | None:
     """The full name that ends at ``start``."""
-    m = _FULL_BACK.search(text, max(0, start - 60), start)
+    m = _FULL_BACK.search(text, max(0, start - REACH), start)
     if not m:
-        low = _LOWER_BACK.search(text, max(0, start - 60), start)
+        low = _LOWER_BACK.search(text, max(0, start - REACH), start)
         if low:
             return low.span(1) if _may_name(low.group(1)) else None
-        low = _LOWER_AFTER_WORD.search(text, max(0, start - 60), start)
+        low = _LOWER_AFTER_WORD.search(text, max(0, start - REACH), start)
         clear = low and (low.group(1)[-1].isdigit() or low.group(1).lower() in _closed())
         return low.span(2) if clear and _may_name(low.group(2)) else None
     a, b = m.span()
@@ -244,6 +325,10 @@ def _automaton():
     words: dict[str, list] = {}
     for w in ("@", "(at)", "[at]", "( at )", "[ at ]"):
         words.setdefault(w, []).append(("mail", None))
+    for w in PHONE_CUES:
+        words.setdefault(w, []).append(("phone", None))
+    for w in ACCOUNT_CUES:
+        words.setdefault(w, []).append(("account", "account" in w or w in ("kontonummer", "número de cuenta", "numéro de compte")))
     for w in ID_CUES:
         words.setdefault(w, []).append(("id", None))
     for w, parser in _ADDRESS_ANCHORS.items():
@@ -280,6 +365,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 if start and low[start - 1].isalnum() and low[start].isalnum() and not text.startswith("\\n", start - 2):
                     continue
                 span, name = _identity(text, end), "ID_NUMBER"
+            elif kind == "phone":
+                span, name = (None if start and low[start - 1].isalnum() else _labelled_phone(text, end)), "PHONE"
+            elif kind == "account":
+                span, name = (None if start and low[start - 1].isalnum() or end < len(low) and low[end].isalpha() else _account(text, end, how)), "ACCOUNT"
             elif kind == "address":
                 span, name = _address(text, start, end, how), "ADDRESS"
             elif kind == "name":
@@ -298,15 +387,47 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             if span:
                 found.add((*span, name))
     if sum(map(str.isdigit, text)) >= 9:
-        taken = [(a, b) for a, b, kind in found if kind in ("ID_NUMBER", "ADDRESS")]
-        for a, b in _phones(text):
-            if not any(x < b and a < y for x, y in taken):
-                found.add((a, b, "PHONE"))
-    mails = [(a, b) for a, b, kind in found if kind == "EMAIL"]
-    found = {(a, b, kind) for a, b, kind in found if kind != "NAME" or not any(x < b and a < y for x, y in mails)}
+        taken = _Cover((a, b) for a, b, kind in found if kind in ("ID_NUMBER", "ADDRESS", "ACCOUNT", "PHONE"))
+        found |= {(a, b, "PHONE") for a, b in _phones(text) if not taken.meets(a, b)}
+    names = {text[a:b] for a, b, kind in found if kind == "NAME" and " " in text[a:b]}
+    if names:
+        found |= {(a, b, "NAME") for a, b in _repeats(text, names)}
+    mails = _Cover((a, b) for a, b, kind in found if kind == "EMAIL")
+    found = {(a, b, kind) for a, b, kind in found if kind != "NAME" or not mails.meets(a, b)}
     return sorted(found, key=lambda x: (x[0], TYPES.index(x[2]), -x[1]))
 
 
+class _Cover:
+    """Spans that may overlap, to be asked whether a span meets one of them."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+
+def _repeats(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Where the text has these names again, as whole words."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for name in names:
+        a.add_word(name, len(name))
+    a.make_automaton()
+    for last, n in a.iter(text):
+        start, end = last + 1 - n, last + 1
+        if not (start and text[start - 1].isalnum() and not text.startswith("\\n", start - 2)) and not (end < len(text) and text[end].isalnum()):
+            yield start, end
+
+
 def redact(text: str | None) -> str | None:
     """The text with each piece of personal data replaced by its type in brackets; null stays null, other text as it is."""
     if not text:
@@ -329,7 +450,7 @@ def _found(batches: Iterator, fields: tuple[str, ...]) -> Iterator:
         for field in fields:
             for key, text in zip(pdf["row_key"].tolist(), pdf[field].tolist()):
                 if text:
-                    rows += [(key, field, kind) for kind in {x[2] for x in spans(text)}]
+                    rows += [(key, field, kind) for kind in {x[2] for x in spans(text)} & FOUND]
         yield pd.DataFrame(rows, columns=["row_key", "field_name", "pii_type"])
 
 

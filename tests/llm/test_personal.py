@@ -68,3 +68,36 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "id long, text string, row_key int")
     assert {tuple(r) for r in find(df, "id", ("text",)).collect()} == {("1", "text", "EMAIL"), ("4", "text", "EMAIL")}
     assert find(df.limit(0), "id", ("text",)).count() == 0
+
+
+def test_accounts_are_replaced_and_checked():
+    assert redact("IBAN DE89 3704 0044 0532 0130 00 please") == "IBAN [ACCOUNT] please" and redact("iban: GB82WEST12345698765432.") == "iban: [ACCOUNT]."
+    assert redact("credit card 4111 1111 1111 1111, exp") == "credit card [ACCOUNT], exp" and redact("account number is 12345678 here") == "account number is [ACCOUNT] here"
+    assert redact("IBAN DE88 3704 0044 0532 0130 00 please").startswith("IBAN DE88") and redact("credit card 4111 1111 1111 1112, exp").startswith("credit card 4111")
+
+
+def test_impossible_identity_numbers():
+    for value in ("000-12-3456", "666-12-3456", "912-00-3456", "912-12-0000", "329942-0493", "0000000000"):
+        assert types(f"national id {value} cannot") == set(), value
+
+
+def test_labelled_phones():
+    for text in ("tel:+49 30 23125 821", "phone:555-123-4567", "Phone: 555-1234", "sms:+15550142860", "reach me at 217 555 0148 ext 4"):
+        assert types(text) == {"PHONE"}, text
+    assert types("hotel: 123") == set()
+    assert redact("au (922) 555 0132 ext. 514.\nhis passport no. is 997-02-8030 and") == "au [PHONE].\nhis passport no. is [ID_NUMBER] and"
+
+
+def test_names_without_title():
+    for text in ("I met John Smith in town", "Maria Lopez called me today", "please contact Jean Dupont tomorrow", "Ana Bell told us so"):
+        assert types(text) == {"NAME"}, text
+    assert redact("Ana Bell called me. Later Ana Bell left, not Ana Bellamy.") == "[NAME] called me. Later [NAME] left, not Ana Bellamy."
+
+
+@pytest.mark.parametrize("piece", ["a stand drawn street place dr st pl way and 5 ", "ask me at x@y about 12 Oak lane; ", "call tel 030 1234567 ext 5 and 12 st ", "@", "John Smith wrote the ", "rue calle box 1 "])
+def test_long_texts_take_time_in_proportion(piece):
+    import time
+
+    began = time.thread_time()
+    spans(piece * (500_000 // len(piece)))
+    assert time.thread_time() - began < 5
