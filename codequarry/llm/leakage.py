@@ -2,8 +2,9 @@
 
 Items and documents become sequences of words, whatever their case, accents, punctuation, markup and line prefixes. Numbers,
 names and units become typed placeholders, and every window of the resulting template words is hashed. The windows of the
-documents meet those of the items in a hash join, which gives pairs of a document and an item that share one. Only for these
-pairs the two texts are aligned word by word; single words may differ, be missing or be added. An aligned passage counts if its
+documents meet those of the items in a hash join, which gives the places that a document and an item share. Pairs that share a
+window with its own words in the slots, or ``EXCHANGED`` windows of the template, are aligned word by word from these places;
+single words may differ, be missing or be added. An aligned passage counts if its
 slots agree: most names are the item's own, or names, numbers and units were exchanged one for one, as in a re-parameterised
 question. Text that only shares the template of an item, with names and numbers of its own, thereby is no case.
 
@@ -17,7 +18,8 @@ import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,9 @@ WINDOW = 6
 PASSAGE, ENOUGH = 12, 20
 #: Share of a passage's words that must be the item's.
 SAME = 0.8
+#: Template windows that a pair must share if no window has the item's own slots: a passage of twenty words whose slots were
+#: exchanged may differ in one word besides, which leaves nine windows.
+EXCHANGED = 9
 #: Different items in which a sentence without names and numbers must stand to be a stock instruction.
 STOCK_ITEMS = 5
 #: Parts of a window in the join with many items.
@@ -38,9 +43,11 @@ SALTS = 16
 
 # Units that take a placeholder.
 _UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days kb mb gb tb kib mib gib byte bytes percent px km m cm mm kg g".split())
+_DIGITS = frozenset("0123456789")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
 _BREAK = re.compile(r"(?<=[A-Za-z])-[ \t]*(?:\r\n|\n|\r)[ \t>|*#]*(?=[a-z])")
 _CAMEL = re.compile(r"[A-Za-z]+[a-z][A-Z]|[A-Z]{2,}[a-z]+[A-Z]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -57,68 +64,61 @@ def words(text: str) -> tuple[list[str], list[bool]]:
         text = "".join(c for c in text if not unicodedata.combining(c))
     if "-\n" in text or "-\r" in text:
         text = _BREAK.sub("", text)
-    raw = _WORD.findall(text.replace("'", "").replace("’", ""))
-    return [w.lower() for w in raw], [not w.islower() and w[1:].lower() != w[1:] and _CAMEL.match(w) is not None for w in raw]
+    text = text.replace("'", "").replace("’", "")
+    raw = text.translate(_PLAIN).split() if text.isascii() else _WORD.findall(text)
+    return [w.lower() for w in raw], [not (w.islower() or w[1:].islower() or w.isdigit()) and w[1:].lower() != w[1:] and _CAMEL.match(w) is not None for w in raw]
 
 
 def template(plain: list[str], named: list[bool], names: frozenset[str]) -> list[str]:
     """The words with placeholders for names, numbers and units after numbers."""
-    out = []
+    out = ["<name>" if is_name else w for w, is_name in zip(plain, named)]
+    if names and not names.isdisjoint(plain):
+        out = ["<name>" if w in names else w for w in out]
     for k, w in enumerate(plain):
-        if named[k] or w in names:
-            out.append("<name>")
-        elif w.isdigit():
-            out.append("<number>")
-        elif w in _UNITS and out and out[-1] == "<number>":
-            out.append("<unit>")
-        else:
-            out.append(w)
+        if w[0] in _DIGITS and w.isdigit() and out[k] == w:
+            out[k] = "<number>"
+            if k + 1 < len(out) and out[k + 1] in _UNITS:
+                out[k + 1] = "<unit>"
     return out
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashes(templates: list[list[str]]) -> list[np.ndarray]:
-    """The hash of every window of each sequence of template words, as signed 64-bit numbers."""
+def hashes(sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all windows of all sequences, as signed 64-bit numbers, and the bounds of each sequence's share of them."""
     import pandas as pd
 
-    lengths = [len(t) for t in templates]
-    flat = np.array([w for t in templates for w in t], dtype=object)
+    lengths = np.fromiter(map(len, sequences), "int64", len(sequences))
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(lengths - WINDOW + 1, 0))])
+    flat = np.array(list(chain.from_iterable(sequences)), dtype=object)
     if len(flat) < WINDOW:
-        return [np.zeros(0, "int64") for _ in templates]
+        return np.zeros(0, "int64"), bounds
     codes = pd.util.hash_array(flat)
     total = np.zeros(len(codes) - WINDOW + 1, "uint64")
     with np.errstate(over="ignore"):
         for k in range(WINDOW):
             total = total * _BASE + codes[k : len(codes) - WINDOW + 1 + k]
         total ^= total >> np.uint64(29)
-    total = total.astype("int64")
-    ends = np.cumsum(lengths)
-    return [total[e - n : max(e - n, e - WINDOW + 1)] for e, n in zip(ends, lengths)]
+    within = np.arange(len(total)) + WINDOW <= np.repeat(np.cumsum(lengths), lengths)[: len(total)]  # windows over two texts are none
+    return total[within].astype("int64"), bounds
 
 
 class Item:
-    """The words, template and windows of one item."""
+    """The words and template of one item."""
 
     def __init__(self, text: str):
         self.text, self.named = words(text)
         self.names = frozenset(w for w, is_name in zip(self.text, self.named) if is_name)
         self.template = template(self.text, self.named, self.names)
-        self.windows: dict[tuple, list[int]] = defaultdict(list)
-        for k in range(len(self.template) - WINDOW + 1):
-            self.windows[tuple(self.template[k : k + WINDOW])].append(k)
-        self.firsts = frozenset(w[0] for w in self.windows)
 
-    def leaked(self, plain: list[str], named: list[bool]) -> bool:
-        """Whether a text of these words repeats enough of the item."""
+    def leaked(self, plain: list[str], named: list[bool], places: Iterable[tuple[int, int]]) -> bool:
+        """Whether a text of these words repeats enough of the item, from the places (in the text, in the item) of common windows."""
         if len(self.text) < ENOUGH:
             return False
-        t = template(plain, named, self.names)
-        places = {(at, k) for at in range(len(t) - WINDOW + 1) if t[at] in self.firsts for k in self.windows.get(tuple(t[at : at + WINDOW]), ())}
-        return self._covered(plain, t, places) >= ENOUGH
+        return self._covered(plain, template(plain, named, self.names), places) >= ENOUGH
 
-    def _covered(self, plain: list[str], t: list[str], places: set[tuple[int, int]]) -> int:
+    def _covered(self, plain: list[str], t: list[str], places: Iterable[tuple[int, int]]) -> int:
         """Words of the item that stand in passages of the document."""
         own, own_t = self.text, self.template
         covered: set[int] = set()
@@ -209,24 +209,34 @@ def contents(benchmark: DataFrame, stock_items: int = STOCK_ITEMS) -> DataFrame:
     return kept.select("item_id", F.array_join(F.col("s.sentence"), " ").alias("item"))
 
 
+def windows_of(texts: list[str], lowered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the texts' template windows, those of the windows with their own words, and the bounds of each text's.
+
+    ``lowered``: names count as plain words, as in a text of one case.
+    """
+    seen = [words(text) for text in texts]
+    own, bounds = hashes([plain for plain, _ in seen])
+    return hashes([template(plain, [False] * len(plain) if lowered else named, frozenset()) for plain, named in seen])[0], own, bounds
+
+
 def _item_windows(batches: Iterator) -> Iterator:
-    """Windows with the names as placeholders and as plain words, since a text in one case shows no names."""
+    """Windows with the names as placeholders and as plain words."""
     import pandas as pd
 
     for pdf in batches:
-        forms: list[list[str]] = []
-        for text in pdf["item"].tolist():
-            plain, named = words(text)
-            forms += [template(plain, named, frozenset()), template(plain, [False] * len(plain), frozenset())]
-        held = hashes(forms)
-        both = [np.concatenate(held[2 * k : 2 * k + 2]) for k in range(len(pdf))]
-        yield pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy("int64"), [len(x) for x in both]), "window": np.concatenate(both) if both else np.zeros(0, "int64")})
+        for lowered in (False, True):
+            windows, own, bounds = windows_of(pdf["item"].tolist(), lowered)
+            n = np.diff(bounds)
+            yield pd.DataFrame({"item_id": np.repeat(pdf["item_id"].to_numpy("int64"), n), "window": windows, "item_own": own, "k": (np.arange(len(own)) - np.repeat(bounds[:-1], n)).astype("int32")})
 
 
 def _document_windows(batches: Iterator) -> Iterator:
-    for pdf in batches:
-        held = hashes([template(*words(text), frozenset()) for text in pdf["text"].tolist()])
-        yield pdf[["doc_id", "digest"]].assign(windows=[np.unique(x) for x in held])
+    import pyarrow as pa
+
+    for batch in batches:
+        windows, own, bounds = windows_of(batch.column("text").to_pylist())
+        lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int64())) for x in (windows, own)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *lists], names=["doc_id", "digest", "windows", "own"])
 
 
 def _verified(batches: Iterator) -> Iterator:
@@ -236,14 +246,14 @@ def _verified(batches: Iterator) -> Iterator:
     last, seen = None, ([], [])
     for pdf in batches:
         rows = []
-        for doc, item, text, content in zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist(), pdf["text"].tolist(), pdf["item"].tolist()):
+        for doc, item, text, content, at, k in zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist(), pdf["text"].tolist(), pdf["item"].tolist(), pdf["at"].tolist(), pdf["k"].tolist()):
             if text != last:
                 last, seen = text, words(text)
             if content not in items:
                 if len(items) >= 10_000:
                     items.clear()
                 items[content] = Item(content)
-            if items[content].leaked(*seen):
+            if items[content].leaked(*seen, set(zip(at.tolist(), k.tolist()))):
                 rows.append((doc, item))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
@@ -256,19 +266,20 @@ def find(documents: DataFrame, benchmark: DataFrame, stock_items: int = STOCK_IT
     rows. Other columns play no part.
     """
     items = cut(contents(benchmark, stock_items))
-    windows = cut(items.mapInPandas(_item_windows, "item_id long, window long").distinct())
+    windows = cut(items.mapInPandas(_item_windows, "item_id long, window long, item_own long, k int").distinct())
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").where("doc_id is not null and text <> ''")
-    every = spread(own).mapInPandas(_document_windows, "doc_id long, digest long, windows array<long>")
-    windows, small = broadcast_if_small(windows, 16, broadcast_bytes)
+    every = spread(own).mapInArrow(_document_windows, "doc_id long, digest long, windows array<long>, own array<long>")
+    salt = F.pmod(F.col("digest"), F.lit(SALTS))
+    places = every.select("doc_id", "digest", salt.alias("salt"), F.posexplode(F.arrays_zip("windows", "own")).alias("at", "x")).select("doc_id", "digest", "salt", "at", "x.windows", "x.own").withColumnRenamed("windows", "window")
+    windows, small = broadcast_if_small(windows, 28, broadcast_bytes)
     if small:
-        hits = every.select("doc_id", "digest", F.explode("windows").alias("window")).join(windows, "window")
+        hits = places.join(windows, "window")
     else:
-        salt = F.pmod(F.col("digest"), F.lit(SALTS))
-        parts = windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        hits = every.select("doc_id", "digest", salt.alias("salt"), F.explode("windows").alias("window")).join(parts, ["window", "salt"])
-    pairs = cut(hits.select("doc_id", "digest", "item_id").distinct())
+        hits = places.join(windows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["window", "salt"])
+    pairs = hits.groupBy("doc_id", "digest", "item_id").agg(F.collect_list("at").alias("at"), F.collect_list("k").alias("k"), F.max(F.col("own") == F.col("item_own")).alias("same"), F.size(F.collect_set("k")).alias("n"))
+    pairs = cut(pairs.where(F.col("same") | (F.col("n") >= EXCHANGED)).drop("same", "n"))
     met = own.join(pairs, ["doc_id", "digest"]).join(items, "item_id")
-    return met.select("doc_id", "item_id", "text", "item").mapInPandas(_verified, "doc_id long, item_id long").distinct()
+    return met.select("doc_id", "item_id", "text", "item", "at", "k").mapInPandas(_verified, "doc_id long, item_id long").distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,24 @@ OTHER = "Which hollow cellar must VellaClerk give up so that IlmaLoom keeps 98 o
 
 
 def found(text, items=((1, ITEM), (2, OTHER))):
-    seen = leakage.words(text or "")
-    return [k for k, item in items if leakage.Item(item).leaked(*seen)]
+    """The items that a text leaks, by the rule that the join follows."""
+    out = []
+    windows, words_, _ = leakage.windows_of([text or ""])
+    for item, content in items:
+        held = [(w, o, k) for low in (False, True) for k, (w, o) in enumerate(zip(*leakage.windows_of([content], low)[:2]))]
+        hits = [(at, k, o == own) for at, (w, o) in enumerate(zip(windows, words_)) for window, own, k in held if w == window]
+        if (any(x[2] for x in hits) or len({k for _, k, _ in hits}) >= leakage.EXCHANGED) and leakage.Item(content).leaked(*leakage.words(text), {x[:2] for x in hits}):
+            out.append(item)
+    return out
+
+
+def test_windows_end_with_their_text():
+    texts = ["", "one two three", ITEM, "a b c d e f", OTHER]
+    windows, own, bounds = leakage.windows_of(texts)
+    for k, text in enumerate(texts):
+        alone = leakage.windows_of([text])
+        assert list(windows[bounds[k] : bounds[k + 1]]) == list(alone[0]) and list(own[bounds[k] : bounds[k + 1]]) == list(alone[1])
+        assert bounds[k + 1] - bounds[k] == max(0, len(leakage.words(text)[0]) - leakage.WINDOW + 1)
 
 
 def test_leaks_survive_changes_of_form():
@@ -29,6 +45,12 @@ def test_no_leaks():
     assert found(ITEM.replace("OrrinLoom", "KassDesk").replace("VelliGate", "TambRing").replace("IlmarLoom", "BroxMill").replace("QuenaMill", "ZephStore").replace("24", "9").replace("78", "11")) == []
 
 
+def test_questions_with_exchanged_slots():
+    q = "Suppose that OrrinLoom owns 24 hollow cellars while VelliGate guards only one. OrrinLoom writes 98 letters to VelliGate, and VelliGate answers every letter that OrrinLoom sends."
+    assert found(q.replace("OrrinLoom", "KassDesk").replace("VelliGate", "TambRing").replace("24", "9").replace("98", "11"), ((1, q),)) == [1]
+    assert found(q.replace("OrrinLoom", "KassDesk", 1).replace("VelliGate", "TambRing", 1).replace("OrrinLoom", "BroxMill", 1).replace("VelliGate", "ZephStore", 1), ((1, q),)) == []
+
+
 def test_leak_table(spark):
     docs = spark.createDataFrame([(1, f"a {ITEM} b", 5), (1, f"a {ITEM} b", 5), (2, None, 5), (3, "", 5), (None, ITEM, 5), (4, "word " * 20000 + ITEM, 5), (5, ITEM.upper(), 5), (6, STOCK * 3, 5)], "doc_id long, text string, item_id int")
     fill = [(k, f"A short item of NameStore{k} with {k} words." + STOCK) for k in range(10, 16)]
