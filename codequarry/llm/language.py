@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # Closed-class words by language, none of them common in another one of the list at the same spelling.
 WORDS = {
@@ -15,7 +16,7 @@ WORDS = {
     "nl": "het een van en is zijn dat niet met voor op aan ook als maar door bij naar uit worden werd wordt deze die geen kan".split(),
 }
 _SETS = {lang: frozenset(words) for lang, words in WORDS.items()}
-_SHARED = {w: n for w in set().union(*_SETS.values()) if (n := sum(w in s for s in _SETS.values())) > 1}
+_VOTES: dict[str, list[str]] = {w: [lang for lang, own in _SETS.items() if w in own] for w in set().union(*_SETS.values())}
 _EN = _SETS["en"].__contains__
 #: Share of English closed-class words beyond which a text is English without a count of the others.
 _CLEAR = 0.2
@@ -23,19 +24,17 @@ _SCRIPTS = {
     "ru": re.compile("[Ѐ-ӿ]"), "el": re.compile("[Ͱ-Ͽ]"), "he": re.compile("[֐-׿]"), "ar": re.compile("[؀-ۿ]"), "hi": re.compile("[ऀ-ॿ]"),
     "th": re.compile("[฀-๿]"), "ko": re.compile("[가-힯]"), "ja": re.compile("[぀-ヿ]"), "zh": re.compile("[一-鿿]"),
 }
-_POINTS = dict.fromkeys(map(ord, ",;:!?¿¡()\"«»"), " ")
+_POINTS = ",;:!?¿¡()\"«»"
 _MARKS = (("de", "ßÄÖÜäöü"), ("es", "¿¡ñ"), ("fr", "àâçèêëîïôœùû"))
 
 
 def votes(text: str) -> dict[str, float]:
     """Closed-class words of each language in a text; a word that several languages share counts in parts."""
-    words = _words(text)
-    out = {lang: float(n) for lang, own in _SETS.items() if (n := sum(map(own.__contains__, words)))}
-    if len(out) > 1:
-        for w in filter(_SHARED.__contains__, words):
-            for lang, own in _SETS.items():
-                if w in own:
-                    out[lang] -= 1 - 1 / _SHARED[w]
+    out: dict[str, float] = {}
+    for w, n in Counter(filter(_VOTES.__contains__, _words(text))).items():
+        langs = _VOTES[w]
+        for lang in langs:
+            out[lang] = out.get(lang, 0.0) + n / len(langs)
     for lang, marks in () if text.isascii() else _MARKS:
         n = sum(text.count(c) for c in marks)
         if n:
@@ -44,7 +43,11 @@ def votes(text: str) -> dict[str, float]:
 
 
 def _words(text: str) -> list[str]:
-    return f"{text} ".lower().replace(". ", " ").replace(".\n", " ").translate(_POINTS).split()
+    low = f"{text} ".lower().replace(". ", " ").replace(".\n", " ")
+    for c in _POINTS:
+        if c in low:
+            low = low.replace(c, " ")
+    return low.split()
 
 
 def detect(text: str | None, least: float = 2.0) -> str | None:

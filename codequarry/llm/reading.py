@@ -1,20 +1,21 @@
 """Reading level of documents: smoothed unigram language models, one for each grade.
 
-People's grades of a sample train the models; a document gets the grade under which its words are most likely. Grades out of
-range are left out, several grades of one document become their rounded mean. Since some grades are one off, the models are
-fitted twice, the second time without the documents whose grade the first fit contradicts. Counts are taken in Spark; what a
-worker holds is the model, whose words are bounded. Only English prose is graded: texts that are mainly code or log lines, in
-another language or of fewer than ``LEAST_WORDS`` words are left out.
+People's grades of a sample train the models; a document gets the grade with the highest posterior: the likelihood of its words
+under the grade's model times the grade's share of the sample. Grades out of range are left out, several grades of one document
+become their rounded mean. Since some grades are one off, the models are fitted twice, the second time without the documents
+whose grade the first fit contradicts. The words of the sample are counted once, in Python; both fits and the grading between
+them are aggregations and joins of that table. What a worker holds is the model, which the sample bounds. Only English prose is
+graded: texts that are mainly code or log lines, in another language or of fewer than ``LEAST_WORDS`` words are left out.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,10 @@ from codequarry.tables import cut, read, spread
 GRADES = (1, 2, 3, 4)
 #: Least words of a graded text, split at white space.
 LEAST_WORDS = 40
-#: Labelled documents that a fit takes at most, chosen by a hash of their ids.
-LABELLED = 200_000
-#: Words of a model at most, the most frequent ones, and the weight that an unseen word has.
-VOCABULARY, SMOOTHING = 50_000, 0.5
+#: Labelled documents that a fit takes at most, chosen by a hash of their ids; their words, some hundred thousand, are the model's.
+LABELLED = 50_000
+#: Weight that a word has in each grade before it is counted.
+SMOOTHING = 0.5
 
 _CODE_END = re.compile(r"[;{}]\s*$|^\s*[)}\]]+[;,]?\s*$")
 _CODE_START = re.compile(r"^\s*(?:def \w+\(|class \w+[:({ ]|import [\w.{*]|from \w[\w.]* import |return\b|public |private |protected |const \w+ =|let \w+ =|var \w+ =|@\w+\s*(?:\(|$)|if \(|if not |for \(|while \(|else\b|elif |try:|#include|//|/\*|\*(?:/|\s|$)|\"\"\"|package [\w.]+;|log\.\w+\(|self\.\w|\w+\(.*\)\s*:?$|[A-Z_]+ = )|=>|^\s*\w+ = \w+[.(]")
@@ -36,6 +37,7 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);")
 _HIDDEN = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def is_prose(text: str) -> bool:
@@ -51,64 +53,74 @@ def is_prose(text: str) -> bool:
     return other < 0.5 * total and detect(text) == "en"
 
 
+def _raw(text: str) -> list[str]:
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = _ENTITY.sub(" ", text)
+    if text.isascii():
+        return text.translate(_PLAIN).split()
+    text = unicodedata.normalize("NFKD", _HIDDEN.sub("", text))
+    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
+
+
+def _token(w: str) -> str:
+    if w.isdigit():
+        return "<number>"
+    return w.lower() if w[1:].islower() or len(w) == 1 or w.isupper() else "<name>"
+
+
 def tokens(text: str) -> list[str]:
     """The words of a text for the models: lower case, identifiers and numbers as one word each."""
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", _HIDDEN.sub("", text)) if not unicodedata.combining(c))
-    out = []
-    for w in _WORD.findall(_ENTITY.sub(" ", _TAG.sub(" ", text))):
-        if w.isdigit():
-            out.append("<number>")
-        elif w[1:].islower() or len(w) == 1 or w.isupper():
-            out.append(w.lower())
-        else:
-            out.append("<name>")
-    return out
+    return list(map(_token, _raw(text)))
+
+
+class _Places(dict):
+    """The row of the model's table that a word as written has; those that it doesn't know have the last, of zeros."""
+
+    def __init__(self, rows: dict[str, int]):
+        super().__init__()
+        self.rows = rows
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        at = self[w] = self.rows.get(_token(w), len(self.rows))
+        return at
 
 
 class Model:
-    """Log probabilities of words by grade. counts: rows of (word, grade, n)."""
-
-    def __init__(self, counts: list[tuple[str, int, int]], vocabulary: int = VOCABULARY):
-        total: Counter = Counter()
-        for w, _, n in counts:
-            total[w] += n
-        kept = {w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
-        by = {w: [SMOOTHING] * len(GRADES) for w in kept}
-        for w, g, n in counts:
-            if w in kept:
-                by[w][g - 1] += n
-        sums = [sum(v[k] for v in by.values()) or 1.0 for k in range(len(GRADES))]
-        self.words = {w: tuple(math.log(v[k] / sums[k]) for k in range(len(GRADES))) for w, v in by.items()}
-
-    def scores(self, text: str) -> list[float]:
-        """Log likelihood of the text's known words under each grade."""
-        out = [0.0] * len(GRADES)
-        for w, n in Counter(tokens(text)).items():
-            p = self.words.get(w)
-            if p:
-                for k, x in enumerate(p):
-                    out[k] += n * x
-        return out
+    """Log probabilities of words by grade, and of the grades."""
+
+    def __init__(self, words: list[str], logs: np.ndarray, prior: np.ndarray):
+        self.words, self.logs, self.prior = words, logs, prior
+        self._places: _Places | None = None
+
+    def __getstate__(self):
+        return {"words": self.words, "logs": self.logs, "prior": self.prior, "_places": None}
+
+    def grades(self, texts: list[str]) -> list[int]:
+        """The grade of each text; of equally likely ones the lowest."""
+        if self._places is None:
+            self._places = _Places({w: k for k, w in enumerate(self.words)})
+            self._table = np.vstack([self.logs, np.zeros((1, len(GRADES)))])
+        at = [np.fromiter(map(self._places.__getitem__, _raw(t)), "int64") for t in texts]
+        return [int(np.argmax((self._table[x].sum(axis=0) + self.prior).round(9))) + 1 for x in at]
 
     def grade(self, text: str) -> int:
-        """The likeliest grade; of equals the lowest."""
-        s = self.scores(text)
-        return s.index(max(s)) + 1
+        return self.grades([text])[0]
 
 
-def _counted(batches: Iterator, model) -> Iterator:
-    """(word, grade, n) over a batch; with a model, only of documents whose grade it doesn't contradict."""
+def _counted(batches: Iterator) -> Iterator:
+    """(doc_id, grade, word, n) of each document that is prose."""
     import pandas as pd
 
     for pdf in batches:
-        counts: Counter = Counter()
-        for text, grade in zip(pdf["text"].tolist(), pdf["grade"].tolist()):
-            if not is_prose(text) or model is not None and model.value.grade(text) != grade:
-                continue
-            for w, n in Counter(tokens(text)).items():
-                counts[w, grade] += n
-        yield pd.DataFrame([(w, g, n) for (w, g), n in counts.items()], columns=["word", "grade", "n"]).astype({"grade": "int32", "n": "int64"})
+        rows = []
+        for doc, text, grade in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["grade"].tolist()):
+            if is_prose(text):
+                rows += [(doc, grade, w, n) for w, n in Counter(tokens(text)).items()]
+        yield pd.DataFrame(rows, columns=["doc_id", "grade", "word", "n"]).astype({"doc_id": "int64", "grade": "int32", "n": "int64"})
 
 
 def labels(grades: DataFrame) -> DataFrame:
@@ -117,29 +129,42 @@ def labels(grades: DataFrame) -> DataFrame:
     return valid.groupBy("doc_id").agg(F.floor(F.avg("grade") + 0.5).cast("int").alias("grade"))
 
 
-def fit(documents: DataFrame, grades: DataFrame, labelled: int = LABELLED, vocabulary: int = VOCABULARY) -> Model:
-    """The model of ``documents`` (doc_id, text) as graded in ``grades`` (doc_id, grade)."""
-    sc = documents.sparkSession.sparkContext
-    chosen = labels(grades).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    texts = cut(documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "grade"))  # at most ``labelled`` rows of two numbers
+def _fitted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, l1, ...) and the one row (p1, ...): the log probabilities of words and grades in (doc_id, grade, word, n)."""
+    per = [F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in GRADES]
+    words = counts.groupBy("word").agg(*per)
+    sums = words.agg(*(F.sum(F.col(f"n{g}") + SMOOTHING).alias(f"s{g}") for g in GRADES))
+    model = words.crossJoin(F.broadcast(sums)).select("word", *(F.log((F.col(f"n{g}") + SMOOTHING) / F.col(f"s{g}")).alias(f"l{g}") for g in GRADES))
+    docs = counts.select("doc_id", "grade").distinct()
+    prior = docs.agg(*(F.log((F.sum(F.when(F.col("grade") == g, 1).otherwise(0)) + SMOOTHING) / (F.count("*") + SMOOTHING * len(GRADES))).alias(f"p{g}") for g in GRADES))
+    return model, prior
 
-    def counts(model) -> list[tuple[str, int, int]]:
-        rows = texts.mapInPandas(lambda batches: _counted(batches, model), "word string, grade int, n long")
-        total = rows.groupBy("word", "grade").agg(F.sum("n").alias("n"))
-        most = total.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "word").limit(vocabulary)
-        return [tuple(r) for r in total.join(most, "word", "left_semi").collect()]
 
-    first = Model(counts(None), vocabulary)
-    second = counts(sc.broadcast(first))
-    return Model(second, vocabulary) if len({g for _, g, _ in second}) == len(GRADES) else first
+def fit(documents: DataFrame, grades: DataFrame, labelled: int = LABELLED) -> Model:
+    """The model of ``documents`` (doc_id, text) as graded in ``grades`` (doc_id, grade). Without any labels it knows no words."""
+    chosen = labels(grades).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``labelled`` rows of two numbers
+    counts = cut(spread(texts).select("doc_id", "text", "grade").mapInPandas(_counted, "doc_id long, grade int, word string, n long"))
+    model, prior = _fitted(counts)
+    names = [f"s{g}" for g in GRADES]
+    scored = counts.join(model, "word").groupBy("doc_id", "grade").agg(*(F.sum(F.col("n") * F.col(f"l{g}")).alias(f"s{g}") for g in GRADES))
+    scored = scored.crossJoin(F.broadcast(prior)).select("doc_id", "grade", *((F.col(f"s{g}") + F.col(f"p{g}")).alias(f"s{g}") for g in GRADES))
+    agreed = scored.where(F.greatest(*names) <= F.element_at(F.array(*names), F.col("grade"))).select("doc_id", "grade")
+    second = cut(counts.join(agreed, ["doc_id", "grade"], "left_semi"))
+    if second.select("grade").distinct().count() == len(GRADES):
+        model, prior = _fitted(second)
+    held = model.orderBy("word").toPandas()  # the words of at most ``labelled`` documents
+    shares = prior.first()
+    shares = np.array([x if x is not None else 0.0 for x in shares])
+    return Model(held["word"].tolist(), held[[f"l{g}" for g in GRADES]].to_numpy("float64"), shares)
 
 
 def _graded(batches: Iterator, model) -> Iterator:
     import pandas as pd
 
     for pdf in batches:
-        rows = [(doc, model.value.grade(text)) for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if is_prose(text)]
-        yield pd.DataFrame(rows, columns=["doc_id", "grade"]).astype({"doc_id": "int64", "grade": "int32"})
+        own = [(doc, text) for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if is_prose(text)]
+        yield pd.DataFrame({"doc_id": pd.Series([x[0] for x in own], dtype="int64"), "grade": pd.Series(model.value.grades([x[1] for x in own]), dtype="int32")})
 
 
 def grade(documents: DataFrame, model: Model) -> DataFrame:
