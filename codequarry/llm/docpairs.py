@@ -2,24 +2,28 @@
 
 Symbols and files meet by (repo_id, file_path) in one join; each file is parsed once, for all of its methods. A comment's
 sentences are judged one by one: what remains of a sentence after the words of the method's own name, parameters and types,
-empty tags, placeholders and closed-class words must still say something. Sentences that contain the whole method name are
-judged by the corpus as well: with own names replaced by slots they are templates, and a template that stands above many
-differently named methods is dropped by its hash count, whatever its other words.
+empty tags, placeholders and closed-class words must still say something. The corpus judges what is left: sentences with own
+words replaced by slots are templates, counted by their hashes, and a template that stands above too large a share of all
+documented methods tells nothing about any of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.functions import extract
-from codequarry.tables import cut, partitions, read
+from codequarry.tables import cut, read
 
-#: Methods above which a template with the method's name must stand to be dropped.
-TEMPLATE_COUNT = 20
+#: Share of documented methods above which a template is dropped; that of one that holds the method's whole name.
+TEMPLATE_SHARE, NAMED_SHARE = 0.1, 0.01
+#: Different names that a template must have in any case to be dropped, as few methods make no corpus.
+TEMPLATE_LEAST = 20
 
 # Closed-class and generic words of documentation, and words of placeholders.
 GENERIC = frozenset(
@@ -44,8 +48,17 @@ def parts(name: str) -> list[str]:
     return [w.lower() for w in _PART.findall(name or "")]
 
 
-def _restates(word: str, own: set[str]) -> bool:
-    return any(word == o or len(o) >= 3 and len(word) - len(o) <= 3 and word.startswith(o[: max(3, len(o) - 1)]) for o in own)
+class _Own:
+    """The words of a method's name, parameters and types; a word restates one if it is it, but for an ending."""
+
+    def __init__(self, words: set[str]):
+        self.words = words
+        self.stems = tuple({o[: max(3, len(o) - 1)] for o in words if len(o) >= 3})
+
+    def has(self, word: str) -> bool:
+        if word in self.words:
+            return True
+        return word.startswith(self.stems) and any(len(o) >= 3 and len(word) - len(o) <= 3 and word.startswith(o[: max(3, len(o) - 1)]) for o in self.words)
 
 
 def sentences(doc: str) -> list[str]:
@@ -63,34 +76,37 @@ def sentences(doc: str) -> list[str]:
     return [s.strip() for x in [plain, *out] for s in _SENTENCE.split(x) if s.strip()]
 
 
-def residue(sentence: str, own: set[str]) -> list[str]:
+@lru_cache(maxsize=20_000)
+def _words(sentence: str) -> tuple[str, ...]:
+    return tuple(w.lower() for token in _WORD.findall(sentence) for w in (_PART.findall(token) or [token]))
+
+
+def residue(sentence: str, own: _Own) -> list[str]:
     """The words of a sentence that its method's own names, generic words and placeholders leave over."""
-    words = [w.lower() for token in _WORD.findall(sentence) for w in (_PART.findall(token) or [token])]
-    return [w for w in words if len(w) > 1 and w not in GENERIC and w not in PLACEHOLDER and not _restates(w, own)]
+    return [w for w in _words(sentence) if len(w) > 1 and w not in GENERIC and w not in PLACEHOLDER and not own.has(w)]
 
 
-def judge(doc: str | None, name: str, parameters: list[str] | None, return_type: str | None) -> tuple[bool, list[str]]:
-    """(says something by itself, templates that may say something).
+def judge(doc: str | None, name: str, parameters: list[str] | None, return_type: str | None) -> list[tuple[str, bool]]:
+    """(template, named) of each sentence that says something by itself, ``named`` if it holds the method's whole name.
 
-    A sentence without the method's whole name speaks for itself; one with it gives a template that the corpus judges. No or
-    blank documentation says nothing.
+    A template is the sentence with the method's own words replaced by slots. No or blank documentation says nothing.
     """
     if not doc or not doc.strip():
-        return False, []
+        return []
     named = parts(name)
-    own = set(named) | {w for p in [*(parameters or []), return_type or ""] for w in parts(p)}
-    templates = []
+    own = _Own(set(named) | {w for p in [*(parameters or []), return_type or ""] for w in parts(p)})
+    out = []
     for s in sentences(doc):
-        left = residue(s, own)
-        if not left:
-            continue
-        words = [w for w in parts(s)]
-        spots = iter(words)
-        if len(named) > 1 and all(any(_restates(w, {n}) for w in spots) for n in named):
-            templates.append(" ".join("_" if _restates(w, own) else w for w in words))
-            continue
-        return True, []
-    return False, templates
+        if residue(s, own):
+            words = parts(s)
+            spots = iter(words)
+            whole = len(named) > 1 and all(any(_Own({n}).has(w) for w in spots) for n in named)
+            out.append((" ".join("_" if own.has(w) else w for w in words), whole))
+    return out
+
+
+def hash64(template: str) -> int:
+    return int.from_bytes(hashlib.blake2b(template.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _pairs(batches: Iterator, texts: bool) -> Iterator:
@@ -113,10 +129,10 @@ def _pairs(batches: Iterator, texts: bool) -> Iterator:
                     if f:
                         code, doc = content[f.start : f.end], f.doc
                         parameters = parameters or f.parameters
-                says, templates = judge(doc, s["display_name"] or "", parameters, s["return_type"])
-                if says or templates:
-                    rows.append((s["symbol_id"], s["display_name"], *((code, doc, parameters, s["return_type"]) if texts else (None,) * 4), says, templates))
-        yield pd.DataFrame(rows, columns=["symbol_id", "display_name", "code", "documentation", "parameters", "return_type", "says", "templates"])
+                said = judge(doc, s["display_name"] or "", parameters, s["return_type"])
+                if said:
+                    rows.append((s["symbol_id"], s["display_name"], *((code, doc, parameters, s["return_type"]) if texts else (None,) * 4), [hash64(t) for t, _ in said], [whole for _, whole in said]))
+        yield pd.DataFrame(rows, columns=["symbol_id", "display_name", "code", "documentation", "parameters", "return_type", "templates", "named"])
 
 
 def _chosen(functions, line, owner: str | None, parameters: list[str] | None):
@@ -127,10 +143,10 @@ def _chosen(functions, line, owner: str | None, parameters: list[str] | None):
     return max(functions, key=rank, default=None)
 
 
-_SCHEMA = "symbol_id long, display_name string, code string, documentation string, parameters array<string>, return_type string, says boolean, templates array<string>"
+_SCHEMA = "symbol_id long, display_name string, code string, documentation string, parameters array<string>, return_type string, templates array<long>, named array<boolean>"
 
 
-def pairs(symbols: DataFrame, files: DataFrame, template_count: int = TEMPLATE_COUNT, texts: bool = True) -> DataFrame:
+def pairs(symbols: DataFrame, files: DataFrame, share: float = TEMPLATE_SHARE, named_share: float = NAMED_SHARE, least: int = TEMPLATE_LEAST, texts: bool = True) -> DataFrame:
     """(symbol_id, code, documentation, parameters, return_type) of each method whose documentation says something.
 
     symbols: symbol_id, kind, symbol, display_name, documentation, repo_id, file_path, start_line, parameters, return_type;
@@ -139,23 +155,24 @@ def pairs(symbols: DataFrame, files: DataFrame, template_count: int = TEMPLATE_C
     and has null code, as is one without repo_id or file_path. Empty tables give no rows. Without ``texts`` only symbol_id is filled.
     """
     fields = F.struct("symbol_id", "display_name", "documentation", "start_line", "parameters", "return_type", F.regexp_extract(F.coalesce("symbol", F.lit("")), r"([\w$]+)#", 1).alias("type_of"))
-    n = partitions(symbols.sparkSession)
-    own = symbols.where("kind = 'method' and symbol_id is not null").select("repo_id", "file_path", fields.alias("symbol")).repartition(n, "repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.collect_set("symbol").alias("symbols"))
-    contents = files.select("repo_id", "file_path", "content").repartition(n, "repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
+    own = symbols.where("kind = 'method' and symbol_id is not null").select("repo_id", "file_path", fields.alias("symbol")).repartition("repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.collect_set("symbol").alias("symbols"))
+    contents = files.select("repo_id", "file_path", "content").repartition("repo_id", "file_path").groupBy("repo_id", "file_path").agg(F.max("content").alias("content"))
     met = own.join(contents, ["repo_id", "file_path"], "left")  # both sides lie by these keys already
     judged = met.select("file_path", "content", "symbols").mapInPandas(lambda batches: _pairs(batches, texts), _SCHEMA)
-    return _settle(judged, template_count)
+    return _settle(judged, share, named_share, least)
 
 
-def _settle(judged: DataFrame, template_count: int) -> DataFrame:
-    """Keep what says something by itself or by a template that is rarer than ``template_count`` names."""
+def _settle(judged: DataFrame, share: float, named_share: float, least: int) -> DataFrame:
+    """Keep the methods with a template that isn't too common."""
     judged = cut(judged)
-    kept = judged.where("says")
-    open_ = judged.where("not says").select("symbol_id", "display_name", F.explode("templates").alias("template")).withColumn("h", F.xxhash64("template"))
-    counts = open_.groupBy("h").agg(F.countDistinct("display_name").alias("names"))
-    rare = open_.join(counts.where(F.col("names") <= template_count), "h", "left_semi").select("symbol_id").distinct()
-    by_template = judged.where("not says").join(rare, "symbol_id", "left_semi")
-    return kept.unionByName(by_template).drop("says", "templates", "display_name")
+    each = judged.select("display_name", F.inline(F.arrays_zip("templates", "named")))
+    by_name = each.groupBy("templates", "display_name").agg(F.count("*").alias("n"), F.max("named").alias("named"))
+    counts = by_name.groupBy("templates").agg(F.sum("n").alias("n"), F.count("*").alias("names"), F.max("named").alias("named"))
+    bound = F.when(F.col("named"), named_share).otherwise(share) * F.col("all")
+    common = counts.crossJoin(F.broadcast(judged.agg(F.count("*").alias("all")))).where((F.col("n") > bound) & (F.col("names") > least))
+    dropped = common.agg(F.collect_list("templates").alias("dropped"))  # one row; its length is bounded by the shares
+    kept = judged.crossJoin(F.broadcast(dropped)).where(F.size(F.array_except("templates", "dropped")) > 0)
+    return kept.drop("templates", "named", "dropped", "display_name")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

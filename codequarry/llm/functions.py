@@ -1,8 +1,9 @@
 """Functions and methods out of source texts, each with its documentation comment.
 
-A text is cut into tokens; at every place where a member may begin, the generalised LL recogniser tries the header grammar of
-the language. What doesn't parse is skipped up to the next such place, so a broken file loses its broken parts only: bodies are
-passed over by their brackets, but a header that stands no deeper than the one whose body is being passed ends that body.
+At every place where a member may begin, the text is cut into tokens as far as needed and the generalised LL recogniser tries
+the header grammar of the language. What doesn't parse is skipped up to the next such place, so a broken file loses its broken
+parts only: bodies are passed over by their strings, comments and brackets, without tokens, but a header that stands no deeper
+than the one whose body is being passed ends that body.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ NEVER = frozenset("if for while switch catch return new else do try throw case w
 NO_START = NEVER - {"void"}
 
 _TOKEN = re.compile(
-    r"""(?P<ws>[ \t\f\v﻿]+)|(?P<nl>\r\n|\n|\r)
+    r"""[ \t\f\v﻿]*(?:(?P<id>[^\W\d]\w*|\$[\w$]*)|(?P<nl>\r\n|\n|\r)
     |(?P<doc>/\*\*(?!/)[\s\S]*?(?:\*/|\Z))|(?P<block>/\*[\s\S]*?(?:\*/|\Z))|(?P<line>//[^\r\n]*)
     |(?P<str>"(?:[^"\\\r\n]|\\.)*"?|'(?:[^'\\\r\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)
-    |(?P<num>\d[\w.]*)|(?P<id>[^\W\d]\w*|\$[\w$]*)|(?P<op>.)""",
+    |(?P<num>\d[\w.]*)|(?P<op>[^ \t\f\v﻿]))""",
     re.X | re.S,
 )
 _PY_TOKEN = re.compile(
-    r"""(?P<ws>[ \t\f\v﻿]+|\\(?:\r\n|\n|\r))|(?P<nl>\r\n|\n|\r)|(?P<line>\#[^\r\n]*)
+    r"""(?:[ \t\f\v﻿]|\\(?:\r\n|\n|\r))*(?:(?P<nl>\r\n|\n|\r)|(?P<line>\#[^\r\n]*)
     |(?P<str>[rRuUbBfF]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:[^"\\\r\n]|\\.)*"?|'(?:[^'\\\r\n]|\\.)*'?))
-    |(?P<num>\d[\w.]*)|(?P<id>[^\W\d]\w*)|(?P<op>.)""",
+    |(?P<id>[^\W\d]\w*)|(?P<num>\d[\w.]*)|(?P<op>[^ \t\f\v﻿]))""",
     re.X | re.S,
 )
 
@@ -127,32 +128,65 @@ _LANGUAGE = {"java": "java", "javascript": "script", "typescript": "script", "py
 _TYPE_WORDS = ("class", "interface", "enum", "record")
 
 
-def _tokens(text: str, pattern: re.Pattern) -> tuple[list[Token], dict[int, Token]]:
-    """The tokens without white space, and for each index the comment that comes last before that token."""
-    out: list[Token] = []
-    comments: dict[int, Token] = {}
-    line, bol = 1, 0
-    for m in pattern.finditer(text):
-        kind, start, end = m.lastgroup, m.start(), m.end()
-        if kind == "ws":
-            continue
-        if kind == "nl":
-            line, bol = line + 1, end
-            if pattern is _PY_TOKEN:
-                out.append(Token("nl", "\n", line - 1, start, end, start - bol))
-            continue
-        s = m.group()
-        token = Token(kind, s, line, start, end, start - bol)
-        if kind in ("doc", "block", "line"):
-            comments[len(out)] = token
-        else:
-            out.append(token)
-        if kind in ("doc", "block", "str"):
-            breaks = len(re.findall(r"\r\n|\n|\r", s))
-            if breaks:
-                line += breaks
-                bol = start + max(s.rfind("\n"), s.rfind("\r")) + 1
-    return out, comments
+_LINE_END = re.compile(r"\r\n|\n|\r")
+_COMMENTS, _LONG, _BREAKS = frozenset(("doc", "block", "line")), frozenset(("doc", "block", "str")), frozenset("{};")
+
+
+class _Stream:
+    """Tokens without white space, made as far as they are asked for, and for each index the comment that comes last before it."""
+
+    def __init__(self, text: str, pattern: re.Pattern, pos: int = 0, line: int = 1, bol: int = 0):
+        self.text, self.pattern, self.tokens, self.comments = text, pattern, [], {}
+        self.line, self.bol, self.pos = line, bol, pos
+        self._found = pattern.finditer(text, pos)
+
+    def more(self) -> bool:
+        """Add tokens up to the next brace or semicolon, in Python up to the next line end; False at the end of the text."""
+        add, new, text, python = self.tokens.append, tuple.__new__, self.text, self.pattern is _PY_TOKEN
+        before = len(self.tokens)
+        for m in self._found:
+            kind = m.lastgroup
+            start, end = m.span(kind)
+            self.pos = end
+            if kind == "nl":
+                self.line, self.bol = self.line + 1, end
+                if python:
+                    add(new(Token, ("nl", "\n", self.line - 1, start, end, start - self.bol)))
+                    break
+                continue
+            s = text[start:end]
+            token = new(Token, (kind, s, self.line, start, end, start - self.bol))
+            if kind in _COMMENTS:
+                self.comments[len(self.tokens)] = token
+            else:
+                add(token)
+            if kind in _LONG and ("\n" in s or "\r" in s):
+                self.line += len(_LINE_END.findall(s))
+                self.bol = start + max(s.rfind("\n"), s.rfind("\r")) + 1
+            if s in _BREAKS and not python:
+                break
+        return len(self.tokens) > before
+
+    def go(self, keep: int, pos: int) -> None:
+        """Forget the tokens from ``keep`` on and go on at ``pos``."""
+        del self.tokens[keep:]
+        for k in [k for k in self.comments if k >= keep]:
+            del self.comments[k]
+        from_, line, bol = (self.tokens[-1].end, _last_line(self.tokens[-1]), None) if self.tokens else (0, 1, 0)
+        passed = self.text[from_:pos]
+        self.line = line + (len(_LINE_END.findall(passed)) if "\r" in passed else passed.count("\n"))
+        self.bol = max(self.text.rfind("\n", 0, pos), self.text.rfind("\r", 0, pos)) + 1
+        self.pos = pos
+        self._found = self.pattern.finditer(self.text, pos)
+
+
+def _last_token(text: str, pos: int, end: int) -> int:
+    """Where the last token between two places ends, comments aside."""
+    last = pos
+    for m in _TOKEN.finditer(text, pos, end):
+        if m.lastgroup not in _COMMENTS and m.lastgroup != "nl":
+            last = m.end()
+    return last
 
 
 def _clean_block(s: str) -> str:
@@ -191,15 +225,15 @@ def _parsed(lang: str, shape: tuple) -> tuple[int, int, int] | None:
     return None
 
 
-def _header(lang: str, tokens: list[Token], at: int) -> tuple[int, int, int] | None:
+def _header(lang: str, stream: _Stream, at: int) -> tuple[int, int, int] | None:
     """(index of the name, of the closing bracket, after the tail) of the header that begins at ``at``.
 
     The run up to the first ``{``, ``;`` or, in Python, ``:`` outside brackets is parsed by its shape, that is with all plain
     names alike, so that headers of one shape are parsed once. A type that itself has braces takes the run further.
     """
     shape: list[tuple[str, str]] = []
-    depth = 0
-    for k in range(at, len(tokens)):
+    depth, tokens, k = 0, stream.tokens, at - 1
+    while (k := k + 1) < len(tokens) or stream.more():
         kind, text = tokens[k][:2]
         if kind == "id":
             shape.append((kind, text if text in MODIFIERS or text in NEVER or text in _KEYWORDS else "x"))
@@ -249,26 +283,26 @@ def _after_annotations(tokens: list[Token], at: int) -> int:
 
 
 def _braced(text: str, lang: str) -> list[Function]:
-    tokens, comments = _tokens(text, _TOKEN)
+    stream = _Stream(text, _TOKEN)
+    tokens, comments = stream.tokens, stream.comments
     out: list[Function] = []
     owners: list[tuple[int, str]] = []
-    depth, at, n = 0, 0, len(tokens)
+    depth, at = 0, 0
     begins = True
-    while at < n:
+    while at < len(tokens) or stream.more():
         t = tokens[at]
-        if t.kind == "id" and t.text in _TYPE_WORDS and at + 1 < n and tokens[at + 1].kind == "id":
+        if t.kind == "id" and t.text in _TYPE_WORDS and at + 1 < len(tokens) and tokens[at + 1].kind == "id":
             owners.append((depth, tokens[at + 1].text))
             at += 2
             begins = False
             continue
         if begins and (t.kind == "id" and t.text not in NO_START or t.text in "@<*#"):
-            got = _header(lang, tokens, at)
-            first = _after_annotations(tokens, at)
+            got = _header(lang, stream, at)
+            first = _after_annotations(tokens, at) if got else at
             if got and not (got[0] == first and lang == "java" and tokens[got[2] - 1].text == ";") and not (lang == "script" and tokens[got[2] - 1].text == ";" and (not owners or got[0] == first and tokens[got[1] + 1].text == ";")):
                 name, close, after = got
-                closing = after - 1
-                if tokens[after - 1].text == "{":
-                    closing, after = _body(lang, tokens, after, tokens[first].column)
+                opening = tokens[after - 1]
+                end_line, end = opening.line, opening.end
                 comment = comments.get(at)
                 doc = _clean_block(comment.text) if comment and comment.kind == "doc" and _last_line(comment) >= tokens[at].line - 1 else None
                 kept = [t for t in tokens[first:name] if not (t.kind == "id" and t.text in MODIFIERS)]
@@ -276,7 +310,11 @@ def _braced(text: str, lang: str) -> list[Function]:
                 returns = text[kept[0].start : kept[-1].end] if kept and lang == "java" else text[hint[1].start : hint[-1].end] if lang == "script" and len(hint) > 1 else ""
                 opened = next(k for k in range(name + 1, close + 1) if tokens[k].text == "(")
                 named = tokens[name] if tokens[name].kind == "id" else tokens[next(k for k in range(name, first - 1, -1) if tokens[k].text == "<") - 1]
-                out.append(Function(named.text, owners[-1][1] if owners else "", tokens[first].line, named.line, tokens[min(closing, n - 1)].line, _split(tokens, opened + 1, close, text), returns, doc, tokens[first].start, tokens[min(closing, n - 1)].end))
+                out.append(Function(named.text, owners[-1][1] if owners else "", tokens[first].line, named.line, end_line, _split(tokens, opened + 1, close, text), returns, doc, tokens[first].start, end))
+                if opening.text == "{":
+                    end = _body(lang, text, opening.end, tokens[first].column)
+                    stream.go(after, end)
+                    out[-1] = out[-1]._replace(end_line=stream.line, end=end)
                 at, begins = after, True
                 continue
         if t.text == "{":
@@ -290,46 +328,90 @@ def _braced(text: str, lang: str) -> list[Function]:
     return out
 
 
-def _body(lang: str, tokens: list[Token], at: int, column: int) -> tuple[int, int]:
-    """(last token, first token after) of the body that opens before ``at``: by its brackets, or up to a header no deeper."""
+_INSIDE = re.compile(
+    r"""/\*[\s\S]*?(?:\*/|\Z)|//[^\r\n]*|"(?:[^"\\\r\n]|\\.)*"?|'(?:[^'\\\r\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?
+    |(?P<brace>[{}])|(?:\r\n|\n|\r)(?P<indent>[ \t\f\v]*)(?=[^\W\d]|@)""",
+    re.X | re.S,
+)
+
+
+def _body(lang: str, text: str, pos: int, column: int) -> int:
+    """Where the body that opens before ``pos`` ends: by its braces, or before a header that stands no deeper than ``column``."""
     depth = 1
-    for k in range(at, len(tokens)):
-        c = tokens[k].text if tokens[k].kind == "op" else ""
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
+    for m in _INSIDE.finditer(text, pos):
+        kind = m.lastgroup
+        if kind == "brace":
+            depth += 1 if m.group() == "{" else -1
             if not depth:
-                return k, k + 1
-        if tokens[k].line != tokens[k - 1].line and tokens[k].column <= column and (tokens[k].kind == "id" or c == "@") and tokens[k].text not in NO_START and _header(lang, tokens, k):
-            return k - 1, k
-    return len(tokens) - 1, len(tokens)
+                return m.end()
+        elif kind == "indent" and m.end() - m.start("indent") <= column:
+            ahead = _Stream(text, _TOKEN, m.end())
+            if ahead.more() and ahead.tokens[0].text not in NO_START and _header(lang, ahead, 0):
+                return _last_token(text, pos, m.start())
+    return _last_token(text, pos, len(text))
+
+
+_PY_INSIDE = re.compile(
+    r"""(?P<comment>\#[^\r\n]*)|(?P<str>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:[^"\\\r\n]|\\.)*"?|'(?:[^'\\\r\n]|\\.)*'?)
+    |(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<joined>\\(?:\r\n|\n|\r))|(?P<nl>\r\n|\n|\r)""",
+    re.X | re.S,
+)
+_PY_START = re.compile(r"(?:[ \t\f\v\ufeff]|\\(?:\r\n|\n|\r))*(?:(?P<class>class\b(?:[ \t\f\v]|\\(?:\r\n|\n|\r))+(?P<name>[^\W\d]\w*))|(?P<def>(?:def|async)\b)|(?P<else>[^\s#]))")
+_PY_AGAIN = re.compile(r"[ \t\f\v\ufeff]{0,8}(?:def\b|class\b|@)")
+
+
+def _flat(stream: _Stream) -> None:
+    """Fill a stream with a header, its docstring and the token after: line ends inside brackets part nothing and are left out."""
+    depth, k, lines, rest = 0, 0, 0, -1
+    while k < len(stream.tokens) or stream.more():
+        t = stream.tokens[k]
+        if t.kind == "nl":
+            if depth > 0 and not _PY_AGAIN.match(stream.text, t.end):
+                del stream.tokens[k]
+                continue
+            depth, lines = 0, lines + 1
+        elif t.kind == "op":
+            depth = max(0, depth + (t.text in "([{") - (t.text in ")]}"))
+        if lines and t.kind != "nl":
+            rest += 1
+            if rest == 0:
+                k += 1
+                if k >= len(stream.tokens):
+                    stream.more()
+                return
+        k += 1
 
 
 def _indented(text: str) -> list[Function]:
-    tokens, _ = _tokens(text, _PY_TOKEN)
-    flat, depth = [], 0
-    for k, t in enumerate(tokens):  # line ends inside brackets part nothing
-        if t.kind == "nl" and depth > 0 and not (k + 1 < len(tokens) and tokens[k + 1].text in ("def", "class", "@") and tokens[k + 1].column <= 8):
-            continue
-        depth = 0 if t.kind == "nl" else max(0, depth + (t.text in "([{") - (t.text in ")]}")) if t.kind == "op" else depth
-        flat.append(t)
-    tokens, out, owners = flat, [], []
+    out: list[Function] = []
+    owners: list[tuple[int, str]] = []
+    open_functions: list[tuple[int, int]] = []
     lines = text.count("\n") + text.count("\r") + 1
-    open_functions: list[int] = []
-    for at, t in enumerate(tokens):
-        if t.kind == "nl" or at and tokens[at - 1].kind != "nl":
-            continue
-        while owners and owners[-1][0] >= t.column:
+    line, bol, depth = 1, 0, 0
+    last, last_line = 0, 1  # where the last token ends
+    cut: int | None = None  # where the line's comment begins
+
+    def start(pos: int) -> None:
+        m = _PY_START.match(text, pos)
+        if not m:
+            return
+        kind = m.lastgroup if m.lastgroup != "name" else "class"
+        at = m.start(kind)
+        column = at - max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) - 1
+        while owners and owners[-1][0] >= column:
             owners.pop()
-        while open_functions and tokens[open_functions[-1]].column >= t.column:
-            k = open_functions.pop()
-            f = next(x for x in range(len(out)) if out[x].start == tokens[k].start)
-            last = next((tokens[x] for x in range(at - 1, k, -1) if tokens[x].kind != "nl"), tokens[k])
-            out[f] = out[f]._replace(end_line=_last_line(last), end=last.end)
-        if t.text == "class" and at + 1 < len(tokens) and tokens[at + 1].kind == "id":
-            owners.append((t.column, tokens[at + 1].text))
-        elif t.text in ("def", "async") and (got := _header("python", tokens, at)):
+        while open_functions and open_functions[-1][0] >= column:
+            f = open_functions.pop()[1]
+            out[f] = out[f]._replace(end_line=last_line, end=last)
+        if kind == "class":
+            owners.append((column, m.group("name")))
+        elif kind == "def":
+            stream = _Stream(text, _PY_TOKEN, at, line + len(_LINE_END.findall(text[pos:at])), at - column)
+            _flat(stream)
+            tokens = stream.tokens
+            got = _header("python", stream, 0)
+            if not got:
+                return
             name, close, after = got
             hint = tokens[close + 1 : after]
             if hint and hint[-1].text == ":":
@@ -339,10 +421,35 @@ def _indented(text: str) -> list[Function]:
                 k += 1
             doc = None
             if k < len(tokens) and tokens[k].kind == "str" and (k + 1 == len(tokens) or tokens[k + 1].kind == "nl"):
-                m = re.match(r"[rRuU]?(\"\"\"|'''|\"|')([\s\S]*?)(?:\1)?\Z", tokens[k].text)
+                m = re.match(r"[rRuU]?(\"\"\"|\'\'\'|\"|\')([\s\S]*?)(?:\1)?\Z", tokens[k].text)
                 doc = m.group(2).strip() if m else None
+            t = tokens[0]
             out.append(Function(tokens[name].text, owners[-1][1] if owners else "", t.line, tokens[name].line, lines, _split(tokens, name + 2, close, text), text[hint[2].start : hint[-1].end] if len(hint) > 2 else "", doc, t.start, len(text)))
-            open_functions.append(at)
+            open_functions.append((column, len(out) - 1))
+
+    start(0)
+    for m in _PY_INSIDE.finditer(text):
+        kind = m.lastgroup
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            depth = max(0, depth - 1)
+        elif kind == "comment":
+            cut = m.start()
+        elif kind == "str":
+            s = m.group()
+            if "\n" in s or "\r" in s:
+                line += len(_LINE_END.findall(s))
+                bol = m.start() + max(s.rfind("\n"), s.rfind("\r")) + 1
+        else:
+            stop = cut if cut is not None else m.start()
+            content = text[bol:stop].rstrip()
+            if content:
+                last, last_line = bol + len(content), line
+            line, bol, cut = line + 1, m.end(), None
+            if kind == "nl" and (depth <= 0 or _PY_AGAIN.match(text, m.end())):
+                depth = 0
+                start(m.end())
     return out
 
 

@@ -32,12 +32,12 @@ def test_scripts_and_python():
 
 @pytest.mark.parametrize("doc", [None, "", " \n", "-", "...", "tbd", "TODO: document this", "{@inheritDoc}", "(non-Javadoc)", "@param batch\n@return", "@since 1.4", "Loads the beacon.", "Method to load beacon.", "Load beacon function.\n@param batch the batch", "This method loads the beacon.\n@return the beacon", "Description of the method.", "Auto-generated method stub.", "--------", "loadBeacon", "@author platform", "Insert description"])
 def test_trivial_documentation(doc):
-    assert judge(doc, "loadBeacon", ["int batch"], "Beacon") == (False, [])
+    assert judge(doc, "loadBeacon", ["int batch"], "Beacon") == []
 
 
 @pytest.mark.parametrize("doc", ["Not thread safe.", "Load beacon.\nSafe to call twice.", "@param batch rows per write", "Returns null instead of throwing."])
 def test_telling_documentation(doc):
-    assert judge(doc, "loadBeacon", ["int batch"], "Beacon")[0]
+    assert judge(doc, "loadBeacon", ["int batch"], "Beacon")
 
 
 def test_pairs_table(spark):
@@ -54,9 +54,22 @@ def test_pairs_table(spark):
 
 def test_templates_of_the_corpus_are_dropped(spark):
     rows = [(k, "r", f"p/A#run{c}().", f"runJob{c}", "method", [f"Nice runJob{c} indeed"], "x.java", 1, None, None) for k, c in enumerate("ABCDEFGH")] + [(99, "r", "p/A#q().", "runJobZ", "method", ["Wakes runJobZ at night"], "x.java", 1, None, None)]
+    rows += [(100 + k, "r", "p/A#q().", f"go{c}", "method", ["Provides the default behaviour for this component."] + (["Not thread safe."] if c < "C" else []), "x.java", 1, None, None) for k, c in enumerate("ABCDEFGH")]
     symbols = spark.createDataFrame(rows, "symbol_id long, repo_id string, symbol string, display_name string, kind string, documentation array<string>, file_path string, start_line int, parameters array<string>, return_type string")
     files = spark.createDataFrame([], "repo_id string, file_path string, content string")
-    assert {r["symbol_id"] for r in pairs(symbols, files, template_count=5).collect()} == {99}
+    kept = lambda **how: {r["symbol_id"] for r in pairs(symbols, files, **how).collect()}
+    assert kept(least=5) == {99, 100, 101} and kept(least=5, share=0.5, named_share=0.5) == {r[0] for r in rows} == kept()
+    assert kept(least=5, share=0.5) == {99, *range(100, 108)}
+
+
+def test_broken_and_long_files():
+    text = "class A {\n  /** First. */\n  void f() {\n    if (x) {\n  // note }\n  /** Second. */\n  public int g(int a) { return a; }\n}\n"
+    f, g = extract(text, "A.java")
+    assert (f.name, f.doc, f.end_line, text[f.start : f.end]) == ("f", "First.", 4, "void f() {\n    if (x) {") and (g.name, g.doc) == ("g", "Second.")
+    one = "  /** Doc. */\n  void f(int a) {\n    call(\"}\", '{'); /* } */\n  }\n"
+    assert len(extract("class A {\n" + one * 3000 + "}", "A.java")) == 3000
+    py = "def f(a,\n      b):\n    'Doc.'\n    return (a,\nb)\n# tail\n\nasync def g():\n    return {1:\ndef h(): pass\n"
+    assert [(x.name, x.line, x.end_line, x.doc) for x in extract(py, "a.py")] == [("f", 1, 5, "Doc."), ("g", 8, 9, None), ("h", 10, 11, None)]
 
 
 def test_notices_and_remarks():
