@@ -1,8 +1,8 @@
 """Defective pairs of prompt and answer: empty, refusing, copied, cut off, or in another language than the one asked in.
 
-The rules are ordered and each looks at the pair alone. ``triggered`` gives every defect that a pair shows; ``defect`` the one
-that counts, the first in the order of ``ORDER``: an empty or refusing answer is just that in any language, and a copy that
-breaks off is a copy.
+The rules are ordered and each looks at the pair alone, whatever its length. ``triggered`` gives every defect that a pair shows;
+``defect`` the one that counts, the first of them in the order of ``ORDER``: an empty or refusing answer is just that in any
+language, and a copy that breaks off is a copy.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm.language import detect
+from codequarry.llm.language import detect, votes
 from codequarry.tables import read, spread
 
 ORDER = ("empty", "refusal", "copied", "truncated", "other_language")
@@ -43,8 +43,11 @@ _CUES = (
     "no answer", "unsafe", "inappropriate", "harmful", "not appropriate", "allow me", "permit me", "forbid", "prohibit", "prevent", "of this kind", "of this sort", "of this type", "language model", "assistant", "elsewhere", "unanswered", "permitted", "authorize", "authorise", "someone else", "blocked", "filtered", "not allowed",
     "nicht", "ablehnen", "je ne ", "impossible", "interdit", "je refuse", "je dois", "je n'ai", "no pue", "no podr", "no debo", "no me ", "no estoy", "debo ", "me niego",
 )
-#: Words that a refusing answer has at most; longer ones go on to answer.
+#: Words up to which an answer with a refusal counts as one as a whole; of a longer one half of the sentences must refuse,
+#: excuse or send elsewhere.
 REFUSAL_WORDS = 60
+# Pieces of the sentences that go with a refusal, in lower case.
+_COURTESIES = ("sorry", "apolog", "regret", "unfortunately", "understand", "appreciate", "thank", "please", "feel free", "happy to", "glad to", "instead", "something else", "anything else", "other question", "polic", "guideline", "rules", "colleague", "elsewhere", "support", "leider", "entschuldig", "bitte", "stattdessen", "désolé", "malheureusement", "veuillez", "plutôt", "lo siento", "lamento", "disculp", "por favor", "en su lugar")
 
 # Requests for a language, and number words in announcements.
 _ASKED = (
@@ -91,16 +94,20 @@ def is_empty(answer: str | None) -> bool:
     return not bare or bare.rstrip(".!") in STAND_INS or bare in STAND_INS or not any(map(str.isalnum, bare))
 
 
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+
+
 def is_refusal(answer: str) -> bool:
-    """A short answer that declines, in any of the languages known here, and doesn't go on to answer."""
-    if len(answer) > 12 * REFUSAL_WORDS:
-        return False
+    """An answer that declines, in any of the languages known here, and doesn't go on to answer."""
     low = answer.lower().replace("’", "'")
     if next(_automaton(_CUES).iter(low), None) is None:
         return False
     m = _REFUSAL.search(low)
-    if not m or answer.count(" ") > REFUSAL_WORDS:
+    if not m:
         return False
+    if answer.count(" ") > REFUSAL_WORDS:
+        told = [s for s in _SENTENCES.split(low) if any(map(str.isalnum, s))]
+        return 2 * sum(_REFUSAL.search(s) is not None or any(c in s for c in _COURTESIES) for s in told) >= len(told)
     clause = low[m.end() :].split(".")[0]
     return not re.search(r"\bcaller in the evidence\b|, but \w|; the\b", clause)
 
@@ -108,13 +115,15 @@ def is_refusal(answer: str) -> bool:
 _LABEL = re.compile(r"^\s*(?:[>\"'«“]+\s*)?(?:(?:prompt|input|question|query|user|q|frage|pregunta|entrada|eingabe)\s*:\s*)?", re.I)
 
 
+#: Words of a copied beginning that is too short to be most of the prompt.
+COPIED_PREFIX = 8
+
+
 def is_copied(prompt: str, answer: str) -> bool:
-    """The answer's words are the prompt's, in its order and with hardly any other, and at least half of the prompt's.
+    """The answer's words are the prompt's, in its order and with hardly any other, and half of the prompt's at least or its beginning.
 
-    Labels, quotation marks, case and spacing make no difference, nor does saying it twice.
+    Labels, quotation marks, case and spacing make no difference, nor does saying it several times.
     """
-    if len(answer) > 2.6 * len(prompt) + 40 or len(answer) < 0.4 * len(prompt):
-        return False
     known = set(prompt.lower().split())
     rough = answer.lower().split()
     if 2 * sum(w in known for w in rough) < len(rough):
@@ -126,11 +135,14 @@ def is_copied(prompt: str, answer: str) -> bool:
     known = set(x)
     if sum(w in known for w in y) < 0.85 * len(y):
         return False
+    times = round(len(y) / len(x))
     half = len(y) // 2
-    if len(y) % 2 == 0 and y[:half] == y[half:]:
+    if times > 1 and len(y) % times == 0 and y == y[: len(y) // times] * times:
+        y = y[: len(y) // times]
+    elif len(y) % 2 == 0 and y[:half] == y[half:]:
         y = y[:half]
     if len(y) < 0.5 * len(x):
-        return False
+        return len(y) >= COPIED_PREFIX and y[:-1] == x[: len(y) - 1]  # the last word may be cut
     follows = set(zip(x, x[1:]))
     return sum(p in follows for p in zip(y, y[1:])) >= 0.7 * (len(y) - 1)
 
@@ -184,6 +196,31 @@ def is_truncated(answer: str) -> bool:
     return not (len(s.split()) <= 6 and "." not in s and len(lines) == 1 and last[:1].isupper() and re.search(r"\d$|\b[A-F]$", last))
 
 
+# Words with which requests begin, or that questions are full of, beside the closed-class ones.
+_OPENERS = {
+    "en": "summarise summarize explain describe suggest list show find give name compare write tell rewrite review translate many much few changed since between handles",
+    "de": "erkläre beschreibe nenne zeige liste fasse vergleiche schreibe gib schlage übersetze viele wenige geändert seit zwischen man",
+    "fr": "explique décris résume liste donne montre compare écris propose traduis combien peu changé depuis entre",
+    "es": "explica describe resume lista muestra compara escribe propón traduce cuántos cuántas pocas cambió desde entre",
+}
+_OPENING: dict[str, list[str]] = {}
+for _lang, _list in _OPENERS.items():
+    for _w in _list.split():
+        _OPENING.setdefault(_w, []).append(_lang)
+
+
+def _weakly(prompt: str) -> str | None:
+    """The language of a prompt too short to be clear, by the words of requests as well."""
+    v = votes(prompt)
+    for w in re.findall(r"[^\W\d_]+", prompt.lower()):
+        for lang in _OPENING.get(w, ()):
+            v[lang] = v.get(lang, 0.0) + 1 / len(_OPENING[w])
+    ranked = sorted(v.items(), key=lambda x: -x[1])
+    if not ranked or ranked[0][1] < 1 or len(ranked) > 1 and ranked[0][1] < 1.3 * ranked[1][1]:
+        return None
+    return ranked[0][0]
+
+
 def asked_language(prompt: str) -> str | None:
     """The language that an answer should have: the one asked for, else that of the question, else that of the prompt."""
     low = prompt.lower()
@@ -195,7 +232,7 @@ def asked_language(prompt: str) -> str | None:
         lang = detect(questions, 1.0)
         if lang:
             return lang
-    return detect(prompt)
+    return detect(prompt) or _weakly(prompt)
 
 
 def _prose(answer: str) -> str:
@@ -217,36 +254,24 @@ def is_other_language(prompt: str, answer: str) -> bool:
 
 
 def triggered(prompt: str | None, answer: str | None) -> list[str]:
-    """Every defect of the pair, in order. A blank prompt makes no pair and has none."""
+    """Every defect of the pair, in order. A blank prompt makes no pair and has none; an empty answer shows nothing else."""
+    return list(_defects(prompt, answer))
+
+
+def _defects(prompt: str | None, answer: str | None) -> Iterator[str]:
     if prompt is None or not prompt.strip():
-        return []
+        return
     if is_empty(answer):
-        return ["empty"]
-    out = []
-    if is_refusal(answer):
-        out.append("refusal")
-    if is_copied(prompt, answer):
-        out.append("copied")
-    if is_truncated(answer):
-        out.append("truncated")
-    if is_other_language(prompt, answer):
-        out.append("other_language")
-    return out
+        yield "empty"
+        return
+    for name, rule in (("refusal", lambda: is_refusal(answer)), ("copied", lambda: is_copied(prompt, answer)), ("truncated", lambda: is_truncated(answer)), ("other_language", lambda: is_other_language(prompt, answer))):
+        if rule():
+            yield name
 
 
 def defect(prompt: str | None, answer: str | None) -> str | None:
-    """The pair's one defect, or None."""
-    if prompt is None or not prompt.strip():
-        return None
-    if is_empty(answer):
-        return "empty"
-    if is_refusal(answer):
-        return "refusal"
-    if is_copied(prompt, answer):
-        return "copied"
-    if is_truncated(answer):
-        return "truncated"
-    return "other_language" if is_other_language(prompt, answer) else None
+    """The pair's one defect, the first that it triggers, or None."""
+    return next(_defects(prompt, answer), None)
 
 
 def _flagged(batches: Iterator, every: bool) -> Iterator:

@@ -40,6 +40,22 @@ def test_other_language():
     assert defect("Was macht die Klasse X und wer ruft sie auf? The port is taken by billing.", german) is None
 
 
+def test_no_length_hides_a_defect():
+    refusal = "I'm sorry, but I can't help with that. I understand that this is not what you hoped for. " * 12
+    assert len(refusal) > 961 and defect(Q, refusal) == "refusal"
+    assert defect(Q, refusal[:90] + " The queue is read by the parser and the owner of it waits for the next scan to end." * 14) is None
+    assert defect(Q, "\n".join([Q] * 4)) == defect(Q, "\n".join([Q] * 9)) == "copied"
+    long = "Which classes in billing-core depend on ParcelQueue, and which of these are called by the nightly scan of the archive that runs at three and again at nine? Keep it short and name the packages too."
+    assert defect(long, long[:70]) == "copied"
+
+
+def test_short_requests_have_a_language():
+    german = "Die Klasse lädt zuerst alle Einträge und prüft danach, ob das Modul noch gültig ist."
+    for q in ("Summarise the module a-web in a few sentences.", "Explain how load in Parcel handles a missing key.", "Suggest a smaller interface for Parcel."):
+        assert defect(q, german) == "other_language" and defect(q, "It is read by the parser before the scan ends.") is None
+    assert defect("Beschreibe Parcel.", german) is None and defect("Parcel?", german) is None
+
+
 def test_every_defect_and_blank_prompts():
     assert triggered(Q, "Which classes in billing-core depend on ParcelQueue") == ["copied", "truncated"]
     assert triggered(None, None) == triggered("  ", "") == [] and defect("", "x") is None
