@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 
 from codequarry.tables import read, spread
 
+#: Kinds in the order in which they go before one another where a path comes with several contents.
+KINDS = ("vendored", "minified", "generated", "data")
+
 # Directory names that generators, builds and package managers use, and file names and suffixes of their output.
 GENERATED_DIRS = ("generated", "__generated__", "_generated", "gen", "autogen", "auto-generated", "auto_generated", "src-gen", "src_gen", "srcgen", "gen-src", "generated-sources", "generated-src", "generated_sources", "generatedsources", "codegen-out", "build", "target", "out", "dist", "bin", "obj", ".next", "__pycache__")
 VENDORED_DIRS = ("node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "3rd-party", "external", "externals", "extern", "deps", "site-packages", "dist-packages", "Pods", "Carthage", "Godeps", "bundled")
+PLAIN_DIRS = frozenset(("gen", "build", "target", "out", "dist", "bin", "obj", "external", "externals", "extern", "deps", "vendor", "bundled"))  # of these, words that packages are named by
 MINIFIED_SUFFIXES = (".min.js", ".min.css", "-min.js", ".packed.js", ".pack.js", ".bundle.js", ".chunk.js", "-bundle.js", ".min.mjs", ".umd.js")
 GENERATED_SUFFIXES = (".generated.java", ".generated.py", ".generated.js", ".generated.ts", ".g.java", ".g.py", ".g.js", ".g.ts", ".g.dart", ".g.cs", ".designer.cs", ".pb.go", ".pb.h", ".pb.cc", "_pb2.py", "_pb2_grpc.py", "_pb.js", "_pb.ts", "Grpc.java", "OuterClass.java", ".gen.ts", ".gen.js", ".gen.go", "_gen.go", "_gen.py")
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", "go.sum", "gradle.lockfile")
@@ -100,7 +104,10 @@ def shape(text: str) -> str | None:
     """
     lines = [s for s in _LINES.split(text) if s.strip() and not _COMMENT.match(s)]
     total = sum(map(len, lines))
-    if total < 200:
+    if len(lines) <= 2 and 60 <= total <= _LONG:  # one short piece of minified code
+        code = "".join(lines)
+        return "minified" if code.count(" ") < 0.08 * total and sum(c in "(){}[];,=:" for c in code) >= 0.2 * total and "{" in code and "}" in code else None
+    if len(lines) < 3 and total < 200:
         return None
     long = [s for s in lines if len(s) > _LONG]
     amount = sum(map(len, long))
@@ -126,14 +133,18 @@ def path_kind(path: Column) -> Column:
     """``generated``, ``vendored`` or ``minified`` by the path alone, else null. Null and empty paths give null.
 
     A directory counts by its whole name, so ``external-api`` or ``vendors`` are no vendored directories; ``libs`` or
-    ``lib`` count only above a name with a version.
+    ``lib`` count only above a name with a version. Below a source root (``src/main/java`` and the like) directories are packages
+    of the code there, of which names of ``PLAIN_DIRS`` tell nothing.
     """
     low = F.lower(path)
+    outside = F.regexp_replace(low, r"((?:^|/)src/(?:main|test)/(?:java|kotlin|scala|groovy)/).*(/[^/]*)$", "$1$2")
+    plain = lambda xs: [x for x in xs if x in PLAIN_DIRS]
+    telling = lambda xs: [x for x in xs if x not in PLAIN_DIRS]
     names = lambda xs: "|".join(re.escape(x.lower()) for x in xs)
     return (
-        F.when(low.rlike(rf"(^|/)({names(VENDORED_DIRS)})/") | low.rlike(r"(^|/)libs?/[^/]+-\d+\.\d+(\.\d+)?(/|$)"), "vendored")
+        F.when(low.rlike(rf"(^|/)({names(telling(VENDORED_DIRS))})(/|$)") | outside.rlike(rf"(^|/)({names(plain(VENDORED_DIRS))})(/|$)") | low.rlike(r"(^|/)libs?/[^/]+-\d+\.\d+(\.\d+)?(/|$)"), "vendored")
         .when(low.rlike(rf"({names(MINIFIED_SUFFIXES)})$"), "minified")
-        .when(low.rlike(rf"(^|/)({names(GENERATED_DIRS)})(/|$)") | path.rlike("(" + "|".join(re.escape(x) for x in GENERATED_SUFFIXES) + ")$"), "generated")
+        .when(low.rlike(rf"(^|/)({names(telling(GENERATED_DIRS))})(/|$)") | outside.rlike(rf"(^|/)({names(plain(GENERATED_DIRS))})(/|$)") | path.rlike("(" + "|".join(re.escape(x) for x in GENERATED_SUFFIXES) + ")$"), "generated")
         .when(low.rlike(rf"(^|/)({names(LOCK_FILES)})$"), "generated")
     )
 
@@ -165,7 +176,8 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules = read(spark, sf_dir, "modules", "repo_id", "path").where("path is not null")
     modules = modules.select("repo_id", "path", path_kind(F.col("path")).alias("kind"))
     both = classify(files).unionByName(modules)
-    return both.groupBy("repo_id", "path").agg(F.max("kind").alias("kind"))
+    first = F.min(F.when(F.col("kind").isNotNull(), F.struct(F.array_position(F.array(*map(F.lit, KINDS)), "kind").alias("at"), "kind")))
+    return both.groupBy("repo_id", "path").agg(first["kind"].alias("kind"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,15 @@ def test_shapes():
     assert shape("// " + "long remark " * 60 + "\nclass A {\n" + "  void f() { return this.g(1); }\n" * 20 + "}") is None and shape("x") is None
 
 
+def test_short_texts_have_a_shape():
+    assert shape("!function(n,e){for(var t=0;t<e.length;t++)n[e[t]]=t;return n}({},['a','b','c']);var k=function(d){return d}") == "minified"
+    assert shape("91979;4;0.593;710679858\n91980;7;0.112;710679859\n91981;9;0.733;710679860\n") == "data"
+    for text in ("class A {\n  int f() { return 1; }\n}\n", "import { a } from './b';\n\nexport class C {\n}\n", "def f(a):\n    return a\n", "x = 1\ny = 2\nz = 3\n"):
+        assert shape(text) is None
+
+
 def test_paths(spark):
-    rows = [("/a/node_modules/x/b.js", None, "vendored"), ("/a/vendors/onboarding/b.js", "x = 1", None), ("/a/external-api/client/b.py", None, None), ("/a/libs/lib-2.0.3/b.py", None, "vendored"), ("/a/x.min.js", None, "minified"), ("/a/gen/b.py", None, "generated"), ("/a/generator/b.py", "", None), ("/a/x_pb2.py", None, "generated"), ("/a/yarn.lock", None, "generated"), (None, "x", "-")]
+    rows = [("/a/node_modules/x/b.js", None, "vendored"), ("/a/vendors/onboarding/b.js", "x = 1", None), ("/a/external-api/client/b.py", None, None), ("/a/libs/lib-2.0.3/b.py", None, "vendored"), ("/a/x.min.js", None, "minified"), ("/a/gen/b.py", None, "generated"), ("/a/generator/b.py", "", None), ("/a/x_pb2.py", None, "generated"), ("/a/yarn.lock", None, "generated"), ("/a/gen2/src/main/java/com/x/gen/B.java", "", None), ("/a/build/generated/src/main/java/com/x/B.java", None, "generated"), ("/a/vendor", None, "vendored"), (None, "x", "-")]
     df = spark.createDataFrame([("r", p, c, w) for p, c, w in rows], "repo_id string, path string, content string, kind string")
     assert {r["path"]: r["kind"] for r in classify(df).collect()} == {p: w for p, _, w in rows if p}
     assert classify(df.limit(0)).count() == 0
