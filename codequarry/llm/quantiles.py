@@ -231,8 +231,8 @@ def _read_off(batches: Iterator, keys: list[str], per_mille: tuple[int, ...]) ->
         out = pdf[[*keys, "n"]].copy()
         for k, q in enumerate(per_mille):
             out[_name(q)] = [x[k] for x in got]
-        out["rank_error_p50"] = [s.error(500) for s in held]
-        out["rank_error_p99"] = [s.error(990) for s in held]
+        out["rank_error_3se_p50"] = [s.error(500) for s in held]
+        out["rank_error_3se_p99"] = [s.error(990) for s in held]
         yield out
 
 
@@ -241,16 +241,23 @@ def _name(per_mille: int) -> str:
 
 
 def percentiles(held: DataFrame, keys: list[str], per_mille: tuple[int, ...] = PER_MILLE) -> DataFrame:
-    """(keys, n, p50, ..., rank_error_p50, rank_error_p99) of sketches. An error is a share of all rows."""
+    """(keys, n, p50, ..., rank_error_3se_p50, rank_error_3se_p99) of sketches.
+
+    An error is a share of all rows, at three standard errors: about one percentile in 400 may be further off.
+    """
     types = dict(held.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n long", *(f"{_name(q)} double" for q in per_mille), "rank_error_p50 double", "rank_error_p99 double"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n long", *(f"{_name(q)} double" for q in per_mille), "rank_error_3se_p50 double", "rank_error_3se_p99 double"])
     return held.mapInPandas(lambda batches: _read_off(batches, keys, per_mille), schema)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call once, with its day in UTC; times that are null or not positive are no durations and left out."""
-    calls = read(spark, sf_dir, "llm_calls", "id", "ts", "model", "source", "elapsed_ms").where("elapsed_ms > 0").distinct()
-    return calls.withColumn("day", F.date_format(F.timestamp_millis(iso_ms(F.col("ts"))), "yyyy-MM-dd"))
+    """Each call once, with its day in UTC; times that are null or not positive are no durations and left out.
+
+    Repeated deliveries make a shuffle needed before any count; what it moves is the key and the four short columns in use.
+    """
+    day = F.date_format(F.timestamp_millis(iso_ms(F.col("ts"))), "yyyy-MM-dd").alias("day")
+    calls = read(spark, sf_dir, "llm_calls", "id", "ts", "model", "source", "elapsed_ms").where("elapsed_ms > 0")
+    return calls.select("id", "model", "source", "elapsed_ms", day).distinct()
 
 
 DAILY = ["model", "source", "day"]
@@ -272,13 +279,30 @@ def p3_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches(_calls(spark, sf_dir), DAILY, F.col("elapsed_ms"))
 
 
+def p3_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of elapsed_ms by model alone, combined from the sketches of the days: groups large enough to be compacted."""
+    return percentiles(merge(sketches(_calls(spark, sf_dir), DAILY, F.col("elapsed_ms")), ["model"]), ["model"])
+
+
+def p3_error_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, n, within): whether each percentile of ``p3_by_model`` has a rank within its error of the one asked for."""
+    got = p3_by_model(spark, sf_dir)
+    each = got.select("model", "n", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(_name(q)).alias("at")) for q in PER_MILLE])), (F.col("rank_error_3se_p50") * 2).alias("error"))
+    calls = _calls(spark, sf_dir).select(F.coalesce("model", F.lit("")).alias("m"), "elapsed_ms")
+    met = calls.join(F.broadcast(each.withColumn("m", F.coalesce("model", F.lit("")))), "m")  # five rows for each model
+    ranks = met.groupBy("model", "n", "q", "at", "error").agg(F.count_if(F.col("elapsed_ms") < F.col("at")).alias("below"), F.count_if(F.col("elapsed_ms") <= F.col("at")).alias("upto"))
+    goal, slack = F.col("q") / 1000 * F.col("n"), (1 - F.col("q") / 1000) * F.col("error") * F.col("n") + 1
+    return ranks.groupBy("model", "n").agg(F.every((F.col("below") <= goal + slack) & (F.col("upto") >= goal - slack)).alias("within"))
+
+
 _ONCE = """
 WITH c AS (SELECT DISTINCT id, ts, model, source, elapsed_ms FROM llm_calls WHERE elapsed_ms > 0),
 d AS (SELECT *, strftime(CAST(CASE WHEN regexp_matches(ts, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY elapsed_ms) AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM d)
-SELECT {keys}, max(n) AS n, {qs}, CAST(0 AS DOUBLE) AS rank_error_p50, CAST(0 AS DOUBLE) AS rank_error_p99 FROM r GROUP BY {keys}
+SELECT {keys}, max(n) AS n, {qs}, CAST(0 AS DOUBLE) AS rank_error_3se_p50, CAST(0 AS DOUBLE) AS rank_error_3se_p99 FROM r GROUP BY {keys}
 """
 _QS = ", ".join(f"CAST(min(CASE WHEN rn >= (n * {q} + 999) // 1000 THEN elapsed_ms END) AS DOUBLE) AS {_name(q)}" for q in PER_MILLE)
 #: Exact percentiles; the sketches agree with them while no group is large enough to be compacted.
 SQL = {"p3_daily": _ONCE.format(keys="model, source, day", qs=_QS), "p3_percentiles": _ONCE.format(keys="model, source", qs=_QS)}
-QUERIES = {"p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_sketches": p3_sketches}
+SQL["p3_error_check"] = "SELECT model, count(DISTINCT id) AS n, true AS within FROM llm_calls WHERE elapsed_ms > 0 GROUP BY model"
+QUERIES = {"p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_by_model": p3_by_model, "p3_error_check": p3_error_check, "p3_sketches": p3_sketches}

@@ -39,7 +39,7 @@ def test_groups(spark):
     rows = [("a", 1, k) for k in range(100)] + [("a", 2, None), ("b", 1, 5), (None, 1, 7), (None, 1, 9)]
     df = spark.createDataFrame(rows, "model string, day int, value int").repartition(3)
     held = sketches(df, ["model", "day"], F.col("value"))
-    got = {(r["model"], r["day"]): (r["n"], r["p50"], r["rank_error_p99"]) for r in percentiles(held, ["model", "day"]).collect()}
+    got = {(r["model"], r["day"]): (r["n"], r["p50"], r["rank_error_3se_p99"]) for r in percentiles(held, ["model", "day"]).collect()}
     assert got == {("a", 1): (100, 49.0, 0.0), ("b", 1): (1, 5.0, 0.0), (None, 1): (2, 7.0, 0.0)}
     whole = {r["model"]: r["n"] for r in merge(held, ["model"]).collect()}
     assert whole == {"a": 100, "b": 1, None: 2}
