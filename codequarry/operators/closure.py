@@ -48,6 +48,29 @@ def blast(edges: DataFrame, keep: int = 50) -> DataFrame:
     return ranked.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"), first.alias("sample"))
 
 
+def blast_sizes(edges: DataFrame, stop: int = 500) -> DataFrame:
+    """(node, size): how many nodes depend on each node, directly or not; ``stop`` stands for that many or more.
+
+    A node that reached ``stop``, or that a node with so many depends on, isn't followed further: no more than the bound and one
+    round's growth is held of any node, however large the graph. Nodes that none depends on have no row.
+    """
+    back = cut(edges.where("src is not null and dst is not null and src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("by")).distinct())
+    step = back.select(F.col("node").alias("by"), F.col("by").alias("next"))
+    count = lambda df: df.groupBy("node").agg(F.count("*").alias("size"))
+    front, found, sizes = back, [back], cut(count(back))
+    while True:
+        full = sizes.where(F.col("size") >= stop).select("node")
+        ahead = front.join(full, "node", "left_anti").join(step, "by").where("node <> next").select("node", F.col("next").alias("by")).distinct()
+        front = cut(ahead.join(reduce(DataFrame.unionByName, found), ["node", "by"], "left_anti"))
+        if front.isEmpty():
+            return sizes.select("node", F.least("size", F.lit(stop)).alias("size"))
+        found.append(front)
+        if len(found) > CUT_EVERY:
+            found = [cut(reduce(DataFrame.unionByName, found))]
+        heirs = front.join(full.withColumnRenamed("node", "by"), "by", "left_semi").select("node", F.lit(stop).cast("long").alias("size")).distinct()
+        sizes = cut(sizes.unionByName(count(front)).unionByName(heirs).groupBy("node").agg(F.sum("size").alias("size")))
+
+
 def dependents(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:
     """(node, hops): nodes that depend on one of ``changed`` (node) in at most max_hops steps, the changed ones left out.
 

@@ -123,6 +123,16 @@ def impact_risk(n: Column, modules: Column, endpoints: Column, error_policies: C
     return F.least(F.lit(1.0), F.least(n / 50, F.lit(0.4)) + F.least(modules / 5, F.lit(0.2)) + F.least(endpoints / 10, F.lit(0.2)) + F.least(error_policies / 3, F.lit(0.2)))
 
 
+def god_classes(cls: DataFrame, mth: DataFrame, fld: DataFrame, methods: int = 30, fields: int = 20) -> DataFrame:
+    """(repo_id, fqn, n_methods, n_fields): classes, inner ones aside, with more methods and more fields than the bounds.
+
+    Both are counted apart before they meet, so no product of them arises. Methods count as declared, fields by name.
+    """
+    m = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n_methods")).where(F.col("n_methods") > methods)
+    f = fld.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.countDistinct("name").alias("n_fields")).where(F.col("n_fields") > fields)
+    return cls.where(~F.col("fqn").contains("$")).select("repo_id", "fqn").distinct().join(m, ["repo_id", "fqn"]).join(f, ["repo_id", "fqn"])
+
+
 def class_scores(cls: DataFrame, mth: DataFrame) -> DataFrame:
     """repo_id, fqn, n_methods, size_score, docs_score, score (of 100, of the two dimensions), grade, tier of each class."""
     n = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n"))
@@ -161,13 +171,13 @@ def enriched(cls: DataFrame, mth: DataFrame, fld: DataFrame, edges: DataFrame) -
     """repo_id, fqn, name, role, documented, summarised, n_methods, fan_in, fan_out, coupling, blast_size, warnings of each class.
 
     edges: repo_id, source, target, as from ``graph.class_edges``. Fan-in and fan-out are held against the greatest of the
-    repository, 1 where it has no edges; the blast size counts all that depend on a class, however far. Of a class that came
+    repository, 1 where it has no edges; the blast size counts all that depend on a class, however far, 500 standing for more. Of a class that came
     several times the first path's role counts.
     """
     summary = F.col("summary").isNotNull() if "summary" in cls.columns else F.lit(False)
     roles = with_role(cls, fld).groupBy("repo_id", "fqn").agg(F.min("name").alias("name"), F.min(F.struct("file_path", "role"))["role"].alias("role"), F.max(F.col("javadoc").isNotNull()).alias("documented"), F.max(summary).alias("summarised"))
     key = lambda c: F.struct("repo_id", F.col(c).alias("fqn"))
-    blast = closure.blast(edges.select(key("source").alias("src"), key("target").alias("dst"))).select("node.repo_id", "node.fqn", F.col("size").alias("blast_size"))
+    blast = closure.blast_sizes(edges.select(key("source").alias("src"), key("target").alias("dst"))).select("node.repo_id", "node.fqn", F.col("size").alias("blast_size"))
     n = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n_methods"))
     into, out = edges.groupBy("repo_id", F.col("target").alias("fqn")).agg(F.count("*").alias("fan_in")), edges.groupBy("repo_id", F.col("source").alias("fqn")).agg(F.count("*").alias("fan_out"))
     most = into.groupBy("repo_id").agg(F.max("fan_in").alias("most_in")).join(out.groupBy("repo_id").agg(F.max("fan_out").alias("most_out")), "repo_id", "full_outer")
