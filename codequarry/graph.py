@@ -97,10 +97,14 @@ def calls_same_class(raw: DataFrame, mth: DataFrame) -> DataFrame:
 
 
 def calls_same_package(raw: DataFrame, mth: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Second pass: callers without an edge, names outside the stop list, one such method in the package."""
-    own = mth.select("repo_id", package_of(F.col("class_fqn")).alias("package_fqn"), "name", F.col("fqn").alias("callee")).where(~F.col("name").isin(*STOP_NAMES))
+    """Second pass: callers without an edge, names outside the stop list, one such method in the package.
+
+    Where the tables have no package_fqn the package is that of the class's name.
+    """
+    packaged = lambda df: df if "package_fqn" in df.columns else df.withColumn("package_fqn", package_of(F.col("class_fqn")))
+    own = packaged(mth).select("repo_id", "package_fqn", "name", F.col("fqn").alias("callee")).where(~F.col("name").isin(*STOP_NAMES))
     once = own.groupBy("repo_id", "package_fqn", "name").agg(F.countDistinct("callee").alias("n"), F.min("callee").alias("callee")).where("n = 1")
-    left = raw.join(resolved.select("repo_id", "caller").distinct(), ["repo_id", "caller"], "left_anti").withColumn("package_fqn", package_of(F.col("class_fqn")))
+    left = packaged(raw.join(resolved.select("repo_id", "caller").distinct(), ["repo_id", "caller"], "left_anti"))
     return left.join(once, ["repo_id", "package_fqn", "name"]).where("caller <> callee").select("repo_id", "caller", "callee").distinct()
 
 

@@ -103,7 +103,7 @@ def queried(spark: SparkSession, d: str) -> DataFrame:
 
 def endpoints(spark: SparkSession, d: str) -> DataFrame:
     """(repo_id, fqn, verb, path) of controllers."""
-    return classes(spark, d).where("k % 16 = 4").select("repo_id", "fqn", F.when(F.col("k") % 2 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/"), F.lower("name")).alias("path"))
+    return classes(spark, d).where("k % 16 = 4").select("repo_id", "fqn", F.when(F.col("k") % 3 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/"), F.lower("name"), F.when(F.col("k") % 32 == 4, "/{id}/items/{itemId:[0-9]+}").otherwise("")).alias("path"))
 
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ ek AS (SELECT DISTINCT 'IMPORTS' AS type, k, k2 FROM (SELECT k, k2 FROM near WHE
 edge AS (SELECT a.repo_id, type, a.fqn AS source, b.fqn AS target FROM ek JOIN cls a USING (k) JOIN cls b ON b.k = ek.k2),
 call AS (SELECT a.repo_id, a.fqn || '#' || va AS caller, b.fqn || '#' || vb AS callee FROM (SELECT DISTINCT k, k2, va, vb FROM near WHERE q BETWEEN 10 AND 15) x JOIN cls a USING (k) JOIN cls b ON b.k = x.k2),
 asked AS (SELECT DISTINCT c.repo_id, c.fqn || '#' || verb AS source, CASE flag WHEN 'A' THEN 'ACCOUNT' ELSE 'ORDERS' END AS target FROM item JOIN cls c USING (k) WHERE q = 50),
-endpoint AS (SELECT repo_id, fqn, CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, '/' || lower(name) AS path FROM cls WHERE k % 16 = 4),
+endpoint AS (SELECT repo_id, fqn, CASE WHEN k % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, '/' || lower(name) || CASE WHEN k % 32 = 4 THEN '/{{id}}/items/{{itemId:[0-9]+}}' ELSE '' END AS path FROM cls WHERE k % 16 = 4),
 policy AS (SELECT 'p' || n_nationkey AS policy_id, 'mod' || n_nationkey % 7 AS module, CASE n_regionkey WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN n_nationkey % 4 = 0 THEN 'draft' ELSE 'active' END AS status FROM nation),
 violate AS (SELECT c.fqn, 'p' || s_nationkey AS policy_id FROM supplier s JOIN cls c ON c.k = s.s_suppkey)
 """
