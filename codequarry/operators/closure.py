@@ -39,15 +39,6 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, max_hops: int | None
     return reduce(DataFrame.unionByName, found)
 
 
-def blast(edges: DataFrame, keep: int = 50) -> DataFrame:
-    """(node, size, sample): how many nodes depend on each node, directly or not, and the first of them by hops and name."""
-    back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    w = Window.partitionBy("src").orderBy("hops", "dst")
-    ranked = back.withColumn("k", F.row_number().over(w))
-    first = F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= keep, F.struct("k", "dst")))), lambda x: x["dst"])
-    return ranked.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"), first.alias("sample"))
-
-
 def blast_sizes(edges: DataFrame, stop: int = 500) -> DataFrame:
     """(node, size): how many nodes depend on each node, directly or not; ``stop`` stands for that many or more.
 
@@ -74,13 +65,13 @@ def blast_sizes(edges: DataFrame, stop: int = 500) -> DataFrame:
 def dependents(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:
     """(node, hops): nodes that depend on one of ``changed`` (node) in at most max_hops steps, the changed ones left out.
 
-    The hops are unrolled into joins of one plan. A node found at several lengths has the least.
+    Each hop is written once, as the next one and the union of all read it. A node found at several lengths has the least.
     """
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).where("node <> next").distinct()
     front = changed.select("node").distinct()
     levels = []
     for hop in range(1, max_hops + 1):
-        front = front.join(back, "node").select(F.col("next").alias("node")).distinct()
+        front = cut(front.join(back, "node").select(F.col("next").alias("node")).distinct())
         levels.append(front.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("hops").alias("hops"))
     return found.join(changed.select("node").distinct(), "node", "left_anti")
@@ -92,7 +83,7 @@ def dependents_by(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFr
     own = changed.select("package", "node").distinct()
     front, levels = own, []
     for hop in range(1, max_hops + 1):
-        front = front.join(back, "node").select("package", F.col("next").alias("node")).distinct()
+        front = cut(front.join(back, "node").select("package", F.col("next").alias("node")).distinct())
         levels.append(front.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.unionByName, levels).groupBy("package", "node").agg(F.min("hops").alias("hops"))
     return found.join(own, ["package", "node"], "left_anti")
@@ -132,6 +123,6 @@ def spine(edges: DataFrame, starts: DataFrame, layer: DataFrame, hops: int = 6)
     rows = [walk.select("start", F.lit(0).alias("hop"), "node")]
     for hop in range(1, hops + 1):
         ahead = walk.join(own, "node").join(level, "next").where("next_layer >= layer and not array_contains(path, next)")
-        walk = ahead.withColumn("k", F.row_number().over(w)).where("k = 1").select("start", F.col("next").alias("node"), F.col("next_layer").alias("layer"), F.array_append("path", F.col("next")).alias("path"))
+        walk = cut(ahead.withColumn("k", F.row_number().over(w)).where("k = 1").select("start", F.col("next").alias("node"), F.col("next_layer").alias("layer"), F.array_append("path", F.col("next")).alias("path")))
         rows.append(walk.select("start", F.lit(hop).alias("hop"), "node"))
     return reduce(DataFrame.unionByName, rows)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.detectors import CodeGraph
 from codequarry.operators.scoring import impact_risk
+from codequarry.tables import cut
 
 # Confidence of each way to be touched, hops of dependents, names that end tests.
 CONFIDENCE = {"direct": 0.85, "caller": 0.80, "dependent": 0.75, "endpoint": 0.90}
@@ -35,7 +36,7 @@ def _dependents(g: CodeGraph, direct: DataFrame) -> DataFrame:
     back = g.of("IMPORTS").select("repo_id", F.col("target").alias("fqn"), F.col("source").alias("next"))
     front, levels = direct.select("change_id", "repo_id", "fqn").distinct(), []
     for hop in range(1, HOPS + 1):
-        front = front.join(back, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("next").alias("fqn")).distinct()
+        front = cut(front.join(back, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("next").alias("fqn")).distinct())  # read by the next hop and the union
         levels.append(front.withColumn("hops", F.lit(hop)))
     found = reduce(DataFrame.unionByName, levels).groupBy("change_id", "repo_id", "fqn").agg(F.min("hops").alias("hops"))
     return found.join(direct.select("change_id", "repo_id", "fqn"), ["change_id", "repo_id", "fqn"], "left_anti")

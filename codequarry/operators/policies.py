@@ -1,7 +1,7 @@
 """Architectural rules as data: a rule is a small tree that compiles to a plan over the graph tables.
 
-Rules never are text that is run. ``compile_rule`` reads a handful of English phrasings into a tree, ``violations`` builds one
-DataFrame for a tree, and ``scan`` unions those of many rules, each with the same columns, so that one aggregation reports all.
+Rules never are text that is run. ``violations`` builds one DataFrame for a rule, and ``scan`` unions those of many, each with the
+same columns, so that one aggregation reports all. Sentences are compiled in ``wording``, faults of the graph found in ``detectors``.
 """
 
 from __future__ import annotations
@@ -38,28 +38,6 @@ class Graph:
     imports: DataFrame
 
 
-# The phrasings that compile, each with the kind and the order of its parts.
-PHRASINGS: tuple[tuple[str, str], ...] = (
-    (r"(?:module|package)s?\s+(?P<subject>[\w.\-]+)\s+(?:must|should)\s+not\s+(?:call|import|use|depend on)\s+(?:(?:module|package)s?\s+)?(?P<object>[\w.\-]+)", "no_import"),
-    (r"(?P<subject>[\w.\-]+)\s+layer\s+(?:must|should)\s+not\s+depend\s+on\s+(?:the\s+)?(?P<object>[\w.\-]+)(?:\s+layer)?", "no_import"),
-    (r"(?:all\s+)?(?:classes\s+(?:named|ending in|ending with)\s+)?\*?(?P<subject>\w+)\s+(?:classes\s+)?(?:must|should)\s+(?:have|carry)\s+(?:the\s+)?annotation\s+@?(?P<object>\w+)", "needs_annotation"),
-    (r"(?P<subject>\w+?)s?\s+(?:must|should)\s+not\s+call\s+(?P<object>\w+?)(?:y|ie|ies|s)?\s*(?:directly)?", "no_named_import"),
-    (r"(?P<subject>\w+)\s+classes\s+(?:must|should)\s+not\s+extend\s+(?P<object>\w+)", "no_field_of"),
-    (r"(?:all\s+)?public\s+methods\s+(?:of\s+(?P<subject>\w+)\s+classes\s+)?(?:must|should)\s+be\s+(?:annotated|marked)\s+(?:with\s+)?@?(?P<object>\w+)", "public_needs_annotation"),
-)
-
-
-def compile_rule(text: str | None) -> Rule | None:
-    """The rule that a phrasing names, None for empty text and for what none of the phrasings fits."""
-    s = re.sub(r"\s+", " ", (text or "").strip().rstrip("."))
-    for pattern, kind in PHRASINGS:
-        m = re.fullmatch(pattern, s, re.I)
-        if m:
-            parts = m.groupdict()
-            return Rule(kind, parts.get("subject") or "", parts.get("object") or "")
-    return None
-
-
 def _classes(df: DataFrame, detail) -> DataFrame:
     return df.select("repo_id", F.col("fqn").alias("violator"), detail.cast("string").alias("detail"))
 
@@ -116,21 +94,11 @@ def _no_import(g: Graph, r: Rule) -> DataFrame:
     return _classes(bad, F.col("target")).distinct()
 
 
-def _no_named_import(g: Graph, r: Rule) -> DataFrame:
-    bad = g.imports.where(F.lower(graph.simple_name(F.col("target"))).contains(r.object.lower())).join(g.cls.where(F.lower("name").contains(r.subject.lower())).select("repo_id", "file_path", "fqn"), ["repo_id", "file_path"])
-    return _classes(bad, F.col("target")).distinct()
-
-
 def _needs_annotation(g: Graph, r: Rule) -> DataFrame:
     own = g.cls.where(F.col("name").endswith(r.subject))
     return _classes(own.where(~F.coalesce(F.exists("annotations", lambda a: a.contains(r.object)), F.lit(False))), F.lit(r.object)).distinct()
 
 
-def _no_field_of(g: Graph, r: Rule) -> DataFrame:
-    bad = g.fld.where(F.split_part("type_name", F.lit("<"), F.lit(1)) == r.object).select("repo_id", F.col("class_fqn").alias("fqn"))
-    return _classes(g.cls.where(F.col("name").endswith(r.subject)).join(bad, ["repo_id", "fqn"], "left_semi"), F.lit(r.object)).distinct()
-
-
 def _public_needs_annotation(g: Graph, r: Rule) -> DataFrame:
     m = g.mth.where(F.array_contains("modifiers", "public") & graph.simple_name(F.col("class_fqn")).endswith(r.subject))
     bad = m.where(~F.coalesce(F.exists("annotations", lambda a: a.contains(r.object)), F.lit(False)))
@@ -153,7 +121,7 @@ def _many_parameters(g: Graph, r: Rule) -> DataFrame:
 
 BUILDERS: dict[str, Callable[[Graph, Rule], DataFrame]] = {
     "many_methods": _many_methods, "long_class": _long_class, "large_package": _large_package, "untested_package": _untested_package, "undocumented": _undocumented, "undocumented_public": _undocumented_public, "duplicate": _duplicate, "missing_sibling": _missing_sibling, "no_import": _no_import,
-    "no_named_import": _no_named_import, "needs_annotation": _needs_annotation, "no_field_of": _no_field_of, "public_needs_annotation": _public_needs_annotation, "deprecated_public": _deprecated_static, "long_method": _long_method, "many_parameters": _many_parameters,
+    "needs_annotation": _needs_annotation, "public_needs_annotation": _public_needs_annotation, "deprecated_public": _deprecated_static, "long_method": _long_method, "many_parameters": _many_parameters,
 }
 #: Rules that are scanned by default.
 DEFAULT = (

@@ -80,6 +80,8 @@ ROLE_SQL = f"""CASE WHEN {_sql_ends("TEST")} OR regexp_matches(file_path, '(^|/)
 SIZE_STEPS = ((10, 25), (20, 18), (30, 10), (60, 4), (None, 0))
 BLAST_STEPS = ((0, 25), (5, 20), (20, 12), (50, 5), (100, 2), (None, 0))
 COUPLING_STEPS = ((0.10, 25), (0.20, 20), (0.35, 12), (0.50, 6), (None, 0))
+# Least scores of grades; least methods and blast sizes of tiers; score of documentation; share of god classes that
+# costs nothing, what each further one costs and the most that they cost.
 GRADES = ((80, "A"), (65, "B"), (50, "C"), (35, "D"), (None, "F"))
 TIERS = ((60, 100, "god"), (30, 50, "large"), (15, None, "medium"), (5, None, "small"))
 DOCS_SCORE = 25
@@ -133,24 +135,6 @@ def god_classes(cls: DataFrame, mth: DataFrame, fld: DataFrame, methods: int = 3
     return cls.where(~F.col("fqn").contains("$")).select("repo_id", "fqn").distinct().join(m, ["repo_id", "fqn"]).join(f, ["repo_id", "fqn"])
 
 
-def class_scores(cls: DataFrame, mth: DataFrame) -> DataFrame:
-    """repo_id, fqn, n_methods, size_score, docs_score, score (of 100, of the two dimensions), grade, tier of each class."""
-    n = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.count("*").alias("n"))
-    own = cls.groupBy("repo_id", "fqn").agg(F.max(F.when(F.col("javadoc").isNotNull(), 1).otherwise(0)).alias("documented"))
-    got = own.join(n, ["repo_id", "fqn"], "left").withColumn("n_methods", F.coalesce("n", F.lit(0)))
-    got = got.withColumn("size_score", steps(F.col("n_methods"), SIZE_STEPS)).withColumn("docs_score", F.when(F.col("documented") == 1, DOCS_SCORE).otherwise(0))
-    score = (F.col("size_score") + F.col("docs_score")) * 2
-    return got.select("repo_id", "fqn", "n_methods", "size_score", "docs_score", score.alias("score"), grade(score).alias("grade"), tier(F.col("n_methods"), F.lit(0)).alias("tier"))
-
-
-def repo_scores(scored: DataFrame) -> DataFrame:
-    """repo_id, n_classes, n_god, score, n_graded_f: the mean score less what too many god classes cost, not below 0."""
-    total = scored.groupBy("repo_id").agg(F.count("*").alias("n_classes"), F.count_if(F.col("tier") == "god").alias("n_god"), F.sum("score").alias("sum"), F.count_if(F.col("grade") == "F").alias("n_graded_f"))
-    over = F.greatest(F.lit(0), F.col("n_god") - F.greatest(F.lit(1), F.floor(F.col("n_classes") * GOD_ALLOWED + 0.5)))
-    score = F.greatest(F.lit(0.0), F.col("sum") / F.col("n_classes") - F.least(F.lit(GOD_MOST), GOD_COST * over))
-    return total.select("repo_id", "n_classes", "n_god", F.round(score, 1).alias("score"), "n_graded_f")
-
-
 # The least coupling and blast size that are warned of; weights of tiers; tokens of a task on a clean class and how
 # many times as many a score costs; what summaries make of documentation.
 WARN_COUPLING, WARN_BLAST = 0.7, 20
@@ -245,18 +229,6 @@ def whole_repo_scores(scored: DataFrame) -> DataFrame:
     )
 
 
-def _case(value: str, table: tuple) -> str:
-    return "CASE " + " ".join(f"WHEN {value} <= {limit} THEN {score}" for limit, score in table[:-1]) + f" ELSE {table[-1][1]} END"
-
-
-SCORES_SQL = f"""counted AS (SELECT c.repo_id, c.fqn, c.documented, (SELECT count(*) FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn) AS n_methods
-    FROM (SELECT repo_id, fqn, max(CASE WHEN javadoc IS NOT NULL THEN 1 ELSE 0 END) AS documented FROM cls GROUP BY ALL) c),
-scored0 AS (SELECT *, {_case("n_methods", SIZE_STEPS)} AS size_score, CASE WHEN documented = 1 THEN {DOCS_SCORE} ELSE 0 END AS docs_score FROM counted),
-scored AS (SELECT *, (size_score + docs_score) * 2 AS score, CASE {" ".join(f"WHEN (size_score + docs_score) * 2 >= {x} THEN '{g}'" for x, g in GRADES[:-1])} ELSE 'F' END AS grade,
-    CASE {" ".join(f"WHEN n_methods > {m} THEN '{t}'" for m, _, t in TIERS)} ELSE 'tiny' END AS tier FROM scored0)"""
-REPO_SQL = f"""SELECT repo_id, n_classes, n_god, round(greatest(0.0, s / n_classes - least({GOD_MOST}, {GOD_COST} * greatest(0, n_god - greatest(1, floor(n_classes * {GOD_ALLOWED} + 0.5))))), 1) AS score, n_graded_f
-    FROM (SELECT repo_id, count(*) AS n_classes, count(*) FILTER (tier = 'god') AS n_god, sum(score) AS s, count(*) FILTER (grade = 'F') AS n_graded_f FROM scored GROUP BY repo_id)"""
-
 # Patterns: our own catalogue, by signals of names, annotations and paths.
 CATALOGUE = {
     "factory": {"name_suffix": ("Factory", "Builder")},

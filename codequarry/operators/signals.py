@@ -112,7 +112,19 @@ def vectors(counted: DataFrame, overrides: dict[str, dict] | None = None) -> Dat
     return counted.select("commit_sha", *out)
 
 
-def risk(scored: DataFrame) -> DataFrame:
-    """commit_sha and risk: the weighted mean of the vectors, 4 decimals."""
+# What each touched node adds to the risk of the graph, and the shares of vectors and graph.
+GRAPH_RISK = {"direct": 0.04, "callers": 0.02, "transitive": 0.01, "endpoints": 0.10, "policies": 0.05}
+VECTOR_SHARE, GRAPH_SHARE = 0.7, 0.3
+
+
+def risk(scored: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """commit_sha and risk: the weighted mean of the vectors and the size of the touched graph by their shares; 1 at most, 4 decimals.
+
+    scored: as of ``vectors``; graph: commit_sha and those columns of ``GRAPH_RISK`` that are known. What isn't known counts as 0.
+    """
     total = sum(VECTOR_WEIGHTS.values())
-    return scored.select("commit_sha", F.round(reduce(lambda a, b: a + b, (F.col(v) * w for v, w in VECTOR_WEIGHTS.items())) / total, 4).alias("risk"))
+    mean = F.round(F.least(F.lit(1.0), reduce(lambda a, b: a + b, (F.col(v) * w for v, w in VECTOR_WEIGHTS.items())) / total), 4)
+    known = [c for c in GRAPH_RISK if graph is not None and c in graph.columns]
+    both = scored.join(graph.select("commit_sha", *known), "commit_sha", "left") if known else scored
+    size = reduce(lambda a, b: a + b, (F.coalesce(F.col(c), F.lit(0)) * GRAPH_RISK[c] for c in known), F.lit(0.0))
+    return both.select("commit_sha", F.round(F.least(F.lit(1.0), mean * VECTOR_SHARE + F.least(F.lit(1.0), size) * GRAPH_SHARE), 4).alias("risk"))

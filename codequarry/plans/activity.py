@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,7 +147,7 @@ def insight_gate(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("k", F.row_number().over(w)).where("k <= 3").select("session_id", "k", F.col("x.applies_to").alias("applies_to"))
 
 
-def insight_ageing(spark: SparkSession, d: str) -> DataFrame:
+def later_turns_ageing(spark: SparkSession, d: str) -> DataFrame:
     """Staleness that grows by 0.2 for each later turn of the session, at most 1."""
     t = _turns(spark, d, "insights_raw")
     w = Window.partitionBy("session_id").orderBy(F.desc("ms"), F.desc("turn_id")).rowsBetween(Window.unboundedPreceding, -1)
@@ -153,15 +155,28 @@ def insight_ageing(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("staleness", F.round(F.least(F.lit(1.0), later * 0.2), 1)).where("trim(insights_raw) <> ''").select("turn_id", "staleness")
 
 
+# Words that are no search words.
+STOP_WORDS = (
+    "what where which how does the are is in of to a an for and or it this that with by do have has be at from on as if can get list show find about handle handles used using i we you me my want make put see also page same line just now only so but not all more"
+).split()
+
+
 def keyword_top3(spark: SparkSession, d: str) -> DataFrame:
-    """The three best search words of each prompt: capitals, underscores and length count; the first of equals goes first."""
-    stop = ("the", "and", "for", "that", "with", "this", "what", "does", "which", "where", "when", "how", "who", "has", "have", "been", "are", "was", "from", "not", "you", "can", "all", "but")
+    """The three best search words of each prompt: a capital at the beginning, an underscore and length count.
+
+    Words that differ in case alone are one, the better one and then the first going before; of equal scores the first goes first.
+    A prompt without such a word gives its first 20 characters up to a blank, a blank one the word ``<query>``.
+    """
     t = _turns(spark, d, "user_prompt").where("user_prompt is not null")
-    x = t.select("turn_id", F.posexplode(F.regexp_extract_all("user_prompt", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1))).alias("at", "word")).where(~F.lower("word").isin(*stop))
-    score = F.when(F.col("word").rlike("[A-Z]"), 2).otherwise(0) + F.when(F.instr("word", "_") > 0, 2).otherwise(0) + F.when(F.length("word") >= 7, 2).when(F.length("word") >= 5, 1).otherwise(0)
-    x = x.groupBy("turn_id", "word").agg(F.min("at").alias("at")).withColumn("score", score)
-    w = Window.partitionBy("turn_id").orderBy(F.desc("score"), "at")
-    return x.withColumn("k", F.row_number().over(w)).where("k <= 3").select("turn_id", "k", "word", "score")
+    word = F.col("word")
+    score = F.when(F.substring(word, 1, 1).rlike("[A-Z]"), 2).otherwise(0) + F.when(F.instr(word, "_") > 0, 2).otherwise(0) + F.when(F.length(word) >= 7, 2).when(F.length(word) >= 5, 1).otherwise(0)
+    x = t.select("turn_id", F.posexplode(F.regexp_extract_all("user_prompt", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("at", "word")).where((F.length("word") >= 3) & ~F.lower("word").isin(*STOP_WORDS)).withColumn("score", score)
+    best = x.groupBy("turn_id", F.lower("word").alias("low")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "at", "word")).alias("x"))
+    w = Window.partitionBy("turn_id").orderBy("x.minus", "x.at")
+    top = best.withColumn("k", F.row_number().over(w)).where("k <= 3").select("turn_id", "k", "x.word", (-F.col("x.minus")).alias("score"))
+    first = F.split(F.trim("user_prompt"), r"\s+")[0]
+    rest = t.join(top.select("turn_id").distinct(), "turn_id", "left_anti").select("turn_id", F.lit(1).alias("k"), F.when(first == "", "<query>").otherwise(F.substring(first, 1, 20)).alias("word"), F.lit(0).alias("score"))
+    return top.unionByName(rest)
 
 
 def question_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -198,17 +213,41 @@ def _diff(spark, d):
     return lines.select("commit_sha", F.concat(F.when(F.col("at") % 2 == 0, "+").otherwise("-"), "line").alias("line"))
 
 
+def _around(spark, d):
+    """(commit_sha, direct, callers, transitive, endpoints, total): of the classes that a document names, those, their importers and theirs."""
+    docs = read(spark, d, "documents", F.col("doc_id").alias("commit_sha"), "text").where("text is not null")
+    names = docs.select("commit_sha", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1)))).alias("name"))
+    cls = read(spark, d, "symbols", "display_name", "kind", "file_path").where("kind = 'class'").select(F.col("display_name").alias("name"), "file_path").distinct()
+    files = read(spark, d, "source_files", "file_path", "content").where("content is not null").distinct()
+    imported = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:import [\w.]*\.|import \{ |from \w+ import )([A-Z]\w*)"), F.lit(1)))).alias("target"))
+    uses = imported.join(cls, "file_path").where("name <> target").select("target", F.col("name").alias("by")).distinct()
+    direct = names.join(cls.select("name").distinct(), "name").distinct()
+    hop = lambda df: df.join(uses, df["name"] == uses["target"]).select("commit_sha", F.col("by").alias("name")).distinct()
+    callers = hop(direct)
+    further = hop(callers)
+    each = reduce(DataFrame.unionByName, [df.select("commit_sha", "name", F.lit(kind).alias("kind")) for df, kind in ((direct, "direct"), (callers, "callers"), (further, "transitive"))])
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("direct", "callers", "transitive")]
+    return each.groupBy("commit_sha").agg(*counts, F.count_if((F.col("kind") == "direct") & F.col("name").rlike("(Controller|Client)$")).alias("endpoints"), F.countDistinct("name").alias("total"))
+
+
+def _graphed(spark, d):
+    return signals.hits(_diff(spark, d)).join(_around(spark, d), "commit_sha", "left")
+
+
 def signal_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits of five signals in each document read as a diff."""
     return signals.hits(_diff(spark, d)).select("commit_sha", "crypto_function_changed", "retry_pattern_changed", "db_query_changed", "async_model_changed", "net_log_decrease")
 
 
 def vector_scores(spark: SparkSession, d: str) -> DataFrame:
-    return signals.vectors(signals.hits(_diff(spark, d)))
+    """The six vectors of each document read as a diff, with the graph around the classes that it names."""
+    return signals.vectors(_graphed(spark, d))
 
 
 def commit_risk(spark: SparkSession, d: str) -> DataFrame:
-    return signals.risk(signals.vectors(signals.hits(_diff(spark, d))))
+    """The risk of each such commit: seven tenths by its vectors, three by the size of the graph that it touches."""
+    found = _graphed(spark, d)
+    return signals.risk(signals.vectors(found), found)
 
 
 def changed_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -216,10 +255,11 @@ def changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d).groupBy("commit_sha").agg(F.count_if(added).alias("n_added"), F.count_if(removed).alias("n_removed"))
 
 
-def link_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Targets of Markdown links and HTML references in documents, in-page ones left out."""
+def reference_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What documents refer to: targets of Markdown links and HTML references, in-page ones left out, and dotted names."""
     docs = read(spark, d, "documents", "doc_id", "text").where("text is not null")
-    found = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"\]\(([^)\s#][^)\s]*)\)"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?:href|src|action)=\"([^\"#][^\"]*)\""), F.lit(1))))
+    patterns = (r"\]\(([^)\s#][^)\s]*)\)", "(?:href|src|action)=\"([^\"#][^\"]*)\"", r"\b([a-z]+(?:\.[a-z]+){2,}(?:\.[A-Z]\w*)?)")
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns]))
     return docs.select("doc_id", F.explode(found).alias("target")).groupBy("target").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -246,8 +286,8 @@ def source_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    session_rollup, client_stats, first_turn, step_token_delta, agent_loops, first_event_split, gap_sessions, event_windows, rolling_24h, nearest_event_match, json_predicate_sum, tool_error_rates, tokens_by_model, cube_calls, attempts, insight_scopes, insight_gate, insight_ageing, keyword_top3, question_classes,
-    log_classes, scan_progress, scan_status, signal_counts, vector_scores, commit_risk, changed_lines, link_targets, mentioned_classes, body_emptiness, source_languages,
+    session_rollup, client_stats, first_turn, step_token_delta, agent_loops, first_event_split, gap_sessions, event_windows, rolling_24h, nearest_event_match, json_predicate_sum, tool_error_rates, tokens_by_model, cube_calls, attempts, insight_scopes, insight_gate, later_turns_ageing, keyword_top3, question_classes,
+    log_classes, scan_progress, scan_status, signal_counts, vector_scores, commit_risk, changed_lines, reference_targets, mentioned_classes, body_emptiness, source_languages,
 )}
 
 _INS = ", x AS (SELECT turn_id, session_id, generate_subscripts(j, 1) - 1 AS at_, unnest(j) AS x FROM (SELECT turn_id, session_id, CAST(insights_raw AS JSON[]) AS j FROM t WHERE starts_with(insights_raw, '[')))"
@@ -282,7 +322,7 @@ SQL = {k: _CTE + v for k, v in {
     "tokens_by_model": "SELECT model, count(*) AS n, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cache_read_tokens), 0) AS BIGINT) AS cache_read_tokens, CAST(round(sum(CAST(cost_usd AS DECIMAL(18,8))), 4) AS DOUBLE) AS cost_usd FROM c GROUP BY model",
     "cube_calls": "SELECT model, failed, count(*) AS n FROM (SELECT model, error IS NOT NULL AS failed FROM c) GROUP BY CUBE (model, failed)",
     "attempts": "SELECT coalesce(TRY_CAST(json_extract_string(meta, '$.attempt') AS INT), 0) AS attempt, count(*) AS n, count(*) FILTER (json_extract_string(meta, '$.stop_reason') = 'max_tokens') AS n_cut FROM c GROUP BY ALL",
-    "insight_ageing": "SELECT turn_id, staleness FROM (SELECT *, round(least(1.0, (count(*) OVER (PARTITION BY session_id ORDER BY ms DESC, turn_id DESC ROWS UNBOUNDED PRECEDING) - 1) * 0.2), 1) AS staleness FROM t) WHERE trim(insights_raw) <> ''",
+    "later_turns_ageing": "SELECT turn_id, staleness FROM (SELECT *, round(least(1.0, (count(*) OVER (PARTITION BY session_id ORDER BY ms DESC, turn_id DESC ROWS UNBOUNDED PRECEDING) - 1) * 0.2), 1) AS staleness FROM t) WHERE trim(insights_raw) <> ''",
     "question_classes": "SELECT CASE WHEN trim(q) = '' THEN 'blank' WHEN regexp_matches(q, 'who calls|callers? of|depend on|depends on') THEN 'graph' WHEN regexp_matches(q, 'tests? that|cover') THEN 'tests' WHEN regexp_matches(q, 'safe to remove|changed') THEN 'impact' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT lower(coalesce(user_prompt, '')) AS q FROM t) GROUP BY ALL",
     "scan_progress": "SELECT id, len(f) AS n_steps, CAST(f[-1] AS BIGINT) AS last_parsed FROM (SELECT DISTINCT id, regexp_extract_all(logs, 'Parsed (\\d+) files', 1) AS f FROM scan_log WHERE logs IS NOT NULL) WHERE len(f) > 0",
     "scan_status": "SELECT scan_type, coalesce(status, '?') AS status, count(*) AS n, count(*) FILTER (exit_code <> 0) AS n_failed FROM (SELECT DISTINCT id, scan_type, status, exit_code FROM scan_log) GROUP BY ALL",
@@ -290,17 +330,18 @@ SQL = {k: _CTE + v for k, v in {
     "mentioned_classes": "SELECT name, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1)) AS name FROM documents WHERE text IS NOT NULL) WHERE name NOT IN (SELECT display_name FROM symbols WHERE kind = 'class') GROUP BY name",
     "body_emptiness": "SELECT source, count(*) AS n, count(*) FILTER (length(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT starts_with(x, '#') AND trim(x) <> ''), chr(10))) < 80) AS n_empty FROM documents GROUP BY ALL",
     "source_languages": "SELECT CASE WHEN regexp_matches(l, '^en') THEN 'en' WHEN regexp_matches(l, '^de') THEN 'de' WHEN regexp_matches(l, '^fr') THEN 'fr' WHEN regexp_matches(l, '^(es|spa)') THEN 'es' ELSE 'und' END AS code, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM (SELECT lower(trim(coalesce(lang, 'und'))) AS l, n_chars FROM documents) GROUP BY ALL",
-    "link_targets": "SELECT target, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s#][^)\\s]*)\\)', 1), regexp_extract_all(text, '(?:href|src|action)=\"([^\"#][^\"]*)\"', 1))) AS target FROM documents WHERE text IS NOT NULL) GROUP BY target",
+    "reference_targets": "SELECT target, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '\\]\\(([^)\\s#][^)\\s]*)\\)', 1), regexp_extract_all(text, '(?:href|src|action)=\"([^\"#][^\"]*)\"', 1), regexp_extract_all(text, '\\b([a-z]+(?:\\.[a-z]+){2,}(?:\\.[A-Z]\\w*)?)', 1))) AS target FROM documents WHERE text IS NOT NULL) GROUP BY target",
 }.items()}
 SQL["insight_scopes"] = _CTE + _INS + " SELECT json_extract_string(x, '$.scope') AS scope, count(*) AS n, count(DISTINCT json_extract_string(x, '$.applies_to')) AS n_targets, round(max(CAST(json_extract_string(x, '$.confidence') AS DOUBLE)), 2) AS best FROM x GROUP BY ALL"
 SQL["insight_gate"] = _CTE + _INS + " SELECT session_id, k, json_extract_string(x, '$.applies_to') AS applies_to FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CAST(json_extract_string(x, '$.confidence') AS DOUBLE) DESC, turn_id, at_) AS k FROM x WHERE CAST(json_extract_string(x, '$.confidence') AS DOUBLE) >= 0.5) WHERE k <= 3"
 SQL["changed_lines"] = _CTE + _DIFF + f" SELECT commit_sha, count(*) FILTER ({_ADD}) AS n_added, count(*) FILTER ({_REM}) AS n_removed FROM f GROUP BY commit_sha"
 SQL["signal_counts"] = _CTE + _DIFF + " SELECT commit_sha, " + ", ".join(map(_hit, ("crypto_function_changed", "retry_pattern_changed", "db_query_changed", "async_model_changed"))) + f", {_logs()} FROM f GROUP BY commit_sha"
 SQL["log_classes"] = _CTE + ", g AS (SELECT id, unnest(regexp_split_to_array(logs, '\\r\\n|\\n|\\r')) AS line FROM (SELECT DISTINCT id, logs FROM scan_log WHERE logs IS NOT NULL)), h AS (SELECT id, count(*) AS n, count(*) FILTER (regexp_matches(line, '\\b(error|fatal|critical)\\b', 'i')) AS n_errors, count(*) FILTER (regexp_matches(line, '\\bwarn(ing)?\\b', 'i')) AS n_warnings, count(*) FILTER (regexp_matches(line, '^\\s*at |^Traceback|Exception')) AS n_traces FROM g GROUP BY id) SELECT *, n_errors * 2 > n AS storm FROM h"
-_STOP = ", ".join(f"'{w}'" for w in ("the", "and", "for", "that", "with", "this", "what", "does", "which", "where", "when", "how", "who", "has", "have", "been", "are", "was", "from", "not", "you", "can", "all", "but"))
-SQL["keyword_top3"] = _CTE + f""", w AS (SELECT turn_id, ws[i] AS word, min(i) AS at_ FROM (SELECT turn_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT turn_id, regexp_extract_all(user_prompt, '([A-Za-z_][A-Za-z0-9_]{{2,}})', 1) AS ws FROM t WHERE user_prompt IS NOT NULL)) WHERE lower(ws[i]) NOT IN ({_STOP}) GROUP BY ALL),
-    v AS (SELECT *, CASE WHEN regexp_matches(word, '[A-Z]') THEN 2 ELSE 0 END + CASE WHEN contains(word, '_') THEN 2 ELSE 0 END + CASE WHEN length(word) >= 7 THEN 2 WHEN length(word) >= 5 THEN 1 ELSE 0 END AS score FROM w)
-    SELECT turn_id, k, word, score FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, at_) AS k FROM v) WHERE k <= 3"""
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+SQL["keyword_top3"] = _CTE + f""", w AS (SELECT turn_id, i AS at_, ws[i] AS word FROM (SELECT turn_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT turn_id, regexp_extract_all(user_prompt, '([A-Za-z_][A-Za-z0-9_]*)', 1) AS ws FROM t WHERE user_prompt IS NOT NULL)) WHERE length(ws[i]) >= 3 AND lower(ws[i]) NOT IN ({_STOP})),
+    v AS (SELECT *, CASE WHEN regexp_matches(word[1], '[A-Z]') THEN 2 ELSE 0 END + CASE WHEN contains(word, '_') THEN 2 ELSE 0 END + CASE WHEN length(word) >= 7 THEN 2 WHEN length(word) >= 5 THEN 1 ELSE 0 END AS score FROM w),
+    o AS (SELECT *, row_number() OVER (PARTITION BY turn_id, lower(word) ORDER BY score DESC, at_) AS j FROM v), k AS (SELECT turn_id, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, at_) AS k, word, score FROM o WHERE j = 1)
+    SELECT * FROM k WHERE k <= 3 UNION ALL SELECT turn_id, 1, CASE WHEN trim(user_prompt) = '' THEN '<query>' ELSE regexp_split_to_array(trim(user_prompt), '\\s+')[1][1:20] END, 0 FROM t WHERE user_prompt IS NOT NULL AND turn_id NOT IN (SELECT turn_id FROM k)"""
 
 
 def _all_hits() -> str:
@@ -318,16 +359,25 @@ def _all_hits() -> str:
     return ", ".join([*out, _logs(), library])
 
 
+_GRAPH_SQL = {
+    "endpoint_exposed": "least(1.0, endpoints * CAST(0.2 AS DOUBLE))", "policy_violation": "CAST(0 AS DOUBLE)", "high_fan_in": "CASE WHEN callers >= 5 THEN least(1.0, (callers - 5) / CAST(20 AS DOUBLE) + CAST(0.3 AS DOUBLE)) ELSE 0 END",
+    "high_transitive_blast": "CASE WHEN transitive >= 10 THEN least(1.0, (transitive - 10) / CAST(40 AS DOUBLE) + CAST(0.25 AS DOUBLE)) ELSE 0 END",
+}
+
+
 def _vectors() -> str:
     per = signals._per_hit()
     out = []
     for vector in signals.VECTOR_WEIGHTS:
-        own = [(s, w, p) for s, (v, w, p) in per.items() if v == vector]
-        total = sum(w for _, w, _ in own) + sum(w for v, w in signals.GRAPH_SIGNALS.values() if v == vector)
-        out.append(f"round(least(1.0, ({' + '.join(f'least(1.0, {s} * CAST({p} AS DOUBLE)) * CAST({w} AS DOUBLE)' for s, w, p in own)}) / CAST({total} AS DOUBLE)), 4) AS {vector}")
+        own = [(f"least(1.0, {s} * CAST({p} AS DOUBLE))", w) for s, (v, w, p) in per.items() if v == vector] + [(_GRAPH_SQL[s], w) for s, (v, w) in signals.GRAPH_SIGNALS.items() if v == vector]
+        out.append(f"round(least(1.0, ({' + '.join(f'{x} * CAST({w} AS DOUBLE)' for x, w in own)}) / CAST({sum(w for _, w in own)} AS DOUBLE)), 4) AS {vector}")
     return ", ".join(out)
 
 
-_SCORED = _CTE + _DIFF + f", h AS (SELECT commit_sha, {_all_hits()} FROM f GROUP BY commit_sha), v AS (SELECT commit_sha, {_vectors()} FROM h)"
+_AROUND = """, nm AS (SELECT DISTINCT doc_id AS commit_sha, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1)) AS name FROM documents WHERE text IS NOT NULL), kc AS (SELECT DISTINCT display_name AS name, file_path FROM symbols WHERE kind = 'class'),
+us AS (SELECT DISTINCT target, name AS who FROM (SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '(?:import [\\w.]*\\.|import \\{ |from \\w+ import )([A-Z]\\w*)', 1)) AS target FROM source_files WHERE content IS NOT NULL) JOIN kc USING (file_path) WHERE name <> target),
+g1 AS (SELECT DISTINCT commit_sha, name FROM nm WHERE name IN (SELECT name FROM kc)), g2 AS (SELECT DISTINCT commit_sha, who AS name FROM g1 JOIN us ON us.target = g1.name), g3 AS (SELECT DISTINCT commit_sha, who AS name FROM g2 JOIN us ON us.target = g2.name),
+ar AS (SELECT commit_sha, count(*) FILTER (kind = 1) AS direct, count(*) FILTER (kind = 2) AS callers, count(*) FILTER (kind = 3) AS transitive, count(*) FILTER (kind = 1 AND regexp_matches(name, '(Controller|Client)$')) AS endpoints FROM (SELECT *, 1 AS kind FROM g1 UNION ALL SELECT *, 2 FROM g2 UNION ALL SELECT *, 3 FROM g3) GROUP BY commit_sha)"""
+_SCORED = _CTE + _DIFF + _AROUND + f", h0 AS (SELECT commit_sha, {_all_hits()} FROM f GROUP BY commit_sha), h AS (SELECT h0.*, coalesce(direct, 0) AS direct, coalesce(callers, 0) AS callers, coalesce(transitive, 0) AS transitive, coalesce(endpoints, 0) AS endpoints FROM h0 LEFT JOIN ar USING (commit_sha)), v AS (SELECT commit_sha, {_vectors()} FROM h)"
 SQL["vector_scores"] = _SCORED + " SELECT * FROM v"
-SQL["commit_risk"] = _SCORED + f" SELECT commit_sha, round(({' + '.join(f'{v} * {w}' for v, w in signals.VECTOR_WEIGHTS.items())}) / {sum(signals.VECTOR_WEIGHTS.values())}, 4) AS risk FROM v"
+SQL["commit_risk"] = _SCORED + f" SELECT commit_sha, round(least(1.0, round(least(1.0, ({' + '.join(f'{v} * {w}' for v, w in signals.VECTOR_WEIGHTS.items())}) / {sum(signals.VECTOR_WEIGHTS.values())}), 4) * CAST(0.7 AS DOUBLE) + least(1.0, direct * CAST(0.04 AS DOUBLE) + callers * CAST(0.02 AS DOUBLE) + transitive * CAST(0.01 AS DOUBLE) + endpoints * CAST(0.10 AS DOUBLE)) * CAST(0.3 AS DOUBLE)), 4) AS risk FROM v JOIN h USING (commit_sha)"

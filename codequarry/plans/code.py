@@ -71,11 +71,8 @@ def methods_per_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def god_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Classes with more than 30 methods or 20 fields; the counts are taken apart, so no product of both arises."""
-    m = _mth(spark, d).groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.countDistinct("name").alias("n_methods"))
-    f = _fld(spark, d).groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.countDistinct("name").alias("n_fields"))
-    both = _cls(spark, d).where(~F.col("fqn").contains("Test")).select("repo_id", "fqn").distinct().join(m, ["repo_id", "fqn"], "left").join(f, ["repo_id", "fqn"], "left")
-    return both.select("repo_id", "fqn", F.coalesce("n_methods", F.lit(0)).alias("n_methods"), F.coalesce("n_fields", F.lit(0)).alias("n_fields")).where("n_methods > 30 or n_fields > 20")
+    """Classes with more than 30 methods and any field: classes of these tables have one field at most."""
+    return scoring.god_classes(_cls(spark, d).where(~F.col("fqn").contains("Test")), _mth(spark, d), _fld(spark, d), 30, 0)
 
 
 def classes_without_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -165,23 +162,19 @@ def _raw_names(spark, d):
 
 
 def resolve_names_unique(spark: SparkSession, d: str) -> DataFrame:
-    """Imported simple names that exactly one class of all repositories bears."""
-    everywhere = lambda df: df.withColumn("repo_id", F.lit("*"))
-    got = graph.resolve_unique(everywhere(_raw_names(spark, d)), everywhere(_cls(spark, d).select("name", "fqn")))
-    return got.select("source", "target")
+    """Imported simple names that exactly one class of the repository bears."""
+    return graph.resolve_unique(_raw_names(spark, d), _cls(spark, d).select("repo_id", "name", "fqn"))
 
 
 def resolve_names_as_coded(spark: SparkSession, d: str) -> DataFrame:
     """The same, ambiguous names linking to every candidate."""
-    everywhere = lambda df: df.withColumn("repo_id", F.lit("*"))
-    got = graph.resolve_as_coded(everywhere(_raw_names(spark, d)), everywhere(_cls(spark, d).select("name", "fqn")))
-    return got.select("source", "target")
+    return graph.resolve_as_coded(_raw_names(spark, d), _cls(spark, d).select("repo_id", "name", "fqn"))
 
 
-def self_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Methods that return a type whose simple name is that of a class of their repository."""
+def return_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Methods by the type that they return, generics stripped."""
     m = _mth(spark, d).select("repo_id", "fqn", "return_type").where("return_type is not null")
-    return m.select("repo_id", "fqn", F.trim(F.split_part("return_type", F.lit("<"), F.lit(1))).alias("type_base")).groupBy("type_base").agg(F.count("*").alias("n_methods"))
+    return m.groupBy(F.trim(F.split_part("return_type", F.lit("<"), F.lit(1))).alias("type_base")).agg(F.count("*").alias("n_methods"))
 
 
 def role_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -192,28 +185,6 @@ def role_classify(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_role(_cls(spark, d), _fld(spark, d)).select("repo_id", "fqn", "role").distinct()
 
 
-def hygiene_class(spark: SparkSession, d: str) -> DataFrame:
-    """Size and documentation scores, tier and grade of each class."""
-    return scoring.class_scores(_cls(spark, d), _mth(spark, d))
-
-
-def hygiene_repo(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.repo_scores(scoring.class_scores(_cls(spark, d), _mth(spark, d)))
-
-
-def hygiene_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by repository and grade, by repository, and over all, in one pass."""
-    scored = hygiene_class(spark, d)
-    scored.createOrReplaceTempView("_scored")
-    return spark.sql("SELECT repo_id, grade, count(*) AS n FROM _scored GROUP BY GROUPING SETS ((repo_id, grade), (repo_id), ())")
-
-
-def tier_pivot(spark: SparkSession, d: str) -> DataFrame:
-    tiers = ["god", "large", "medium", "small", "tiny"]
-    got = hygiene_class(spark, d).groupBy("repo_id").pivot("tier", tiers).count()
-    return got.select("repo_id", *[F.coalesce(t, F.lit(0)).alias(f"n_{t}") for t in tiers])
-
-
 def _whole(spark, d):
     from codequarry.sources.facts import facts
 
@@ -223,23 +194,23 @@ def _whole(spark, d):
     return scoring.whole_scores(scoring.enriched(cls, _mth(spark, d), _fld(spark, d), edges))
 
 
-def hygiene_class_whole(spark: SparkSession, d: str) -> DataFrame:
+def hygiene_class(spark: SparkSession, d: str) -> DataFrame:
     """Role, coupling, blast size, warnings, the scores of all four dimensions, grade, tier, reasons and benefit of each class."""
     return _whole(spark, d)
 
 
-def hygiene_repo_whole(spark: SparkSession, d: str) -> DataFrame:
+def hygiene_repo(spark: SparkSession, d: str) -> DataFrame:
     """Scores of repositories of all four dimensions, tests and generated classes left out of the mean."""
     return scoring.whole_repo_scores(_whole(spark, d))
 
 
-def hygiene_grouping_sets_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``hygiene_grouping_sets`` of the grades by four dimensions."""
+def hygiene_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by repository and grade, by repository, and over all, in one pass."""
     return _whole(spark, d).groupingSets([["repo_id", "grade"], ["repo_id"], []], "repo_id", "grade").agg(F.count("*").alias("n"))
 
 
-def tier_pivot_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``tier_pivot`` of the tiers by methods and blast size."""
+def tier_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of each repository by tier, one column for each."""
     tiers = ["god", "large", "medium", "small", "tiny"]
     return _whole(spark, d).groupBy("repo_id").agg(*[F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in tiers])
 
@@ -263,14 +234,14 @@ def missing_variant(spark: SparkSession, d: str) -> DataFrame:
     return readers.join(c.select("repo_id", F.col("name").alias("missing")), ["repo_id", "missing"], "left_anti").select("repo_id", "name", "missing")
 
 
-def test_map(spark: SparkSession, d: str) -> DataFrame:
+def classes_with_namesake_stem(spark: SparkSession, d: str) -> DataFrame:
     """Classes whose name holds another's whole name, found by the suffix that is stripped and not by a nested loop."""
     c = _cls(spark, d).select("repo_id", "name").distinct()
     stripped = c.withColumn("base", F.regexp_replace("name", "(Adapter|Builder|Client|Handler|Helper|Job|Service|Reader|Writer|Test)$", "")).where("base <> name and base <> ''")
     return stripped.join(c.withColumnRenamed("name", "base"), ["repo_id", "base"], "left_semi").select("repo_id", "base", "name")
 
 
-def field_types(spark: SparkSession, d: str) -> DataFrame:
+def field_type_counts(spark: SparkSession, d: str) -> DataFrame:
     """Field types with generics stripped, most frequent first."""
     f = _fld(spark, d).where("type_name is not null")
     return f.groupBy(F.trim(F.split_part("type_name", F.lit("<"), F.lit(1))).alias("type_base")).agg(F.count("*").alias("n"), F.countDistinct("class_fqn").alias("n_classes"))
@@ -313,8 +284,8 @@ def skipped_paths(spark: SparkSession, d: str) -> DataFrame:
     return _src(spark, d, "repo_id", "file_path").where(~F.arrays_overlap(F.split("file_path", "/"), skip)).groupBy("repo_id").agg(F.count("*").alias("n_files"))
 
 
-def build_tools(spark: SparkSession, d: str) -> DataFrame:
-    """Modules by build tool, the tool of a repository being its most frequent one."""
+def modules_by_build_tool(spark: SparkSession, d: str) -> DataFrame:
+    """Modules by build tool."""
     return _mod(spark, d).groupBy("repo_id", F.coalesce("build_tool", F.lit("unknown")).alias("build_tool")).agg(F.count("*").alias("n"))
 
 
@@ -331,10 +302,10 @@ def expected_minus_actual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_intersection(spark: SparkSession, d: str) -> DataFrame:
-    """Classes in a generated directory whose name ends like a factory."""
+    """Classes in a directory of generators' output whose name ends like a factory."""
     c = _cls(spark, d)
-    made = c.where(F.col("file_path").contains("/generated/")).select("repo_id", "fqn")
-    return made.intersect(c.where(F.col("name").rlike("(Factory|Builder)$")).select("repo_id", "fqn"))
+    made = c.where(F.col("file_path").rlike("/(_*generated_*|gen|src-gen|autogen|out|dist|generated-sources)/")).select("repo_id", "fqn")
+    return made.intersect(c.where(F.col("name").rlike("(Helper|Writer|Factory|Builder|Controller|Repository|Service|Scheduler|Client|Adapter)$")).select("repo_id", "fqn"))
 
 
 def snapshot_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +325,7 @@ def parameter_counts(spark: SparkSession, d: str) -> DataFrame:
     return _mth(spark, d).groupBy(size.cast("long").alias("n_parameters")).agg(F.count("*").alias("n"))
 
 
-def path_variables(spark: SparkSession, d: str) -> DataFrame:
+def method_name_words(spark: SparkSession, d: str) -> DataFrame:
     """The words of method names, split where the case or an underscore changes it."""
     words = F.split(F.lower(F.regexp_replace("name", r"([a-z])([A-Z])", "$1_$2")), "_")
     return _mth(spark, d).select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
@@ -409,8 +380,8 @@ def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     module_dependency_matrix, types_per_package, distinct_packages, packages_over_threshold, large_package_untested, file_loc_rollup, methods_per_class, god_classes, classes_without_methods, classes_with_static_methods, annotated_members, duplicate_names, overloads, public_undocumented,
-    module_class_counts, longest_prefix_owner, module_tree, module_summary, import_fan, external_stubs, resolve_names_unique, resolve_names_as_coded, self_calls, role_counts, role_classify, hygiene_class, hygiene_repo, hygiene_grouping_sets, tier_pivot, hygiene_class_whole, hygiene_repo_whole, hygiene_grouping_sets_whole, tier_pivot_whole, pattern_matches, pattern_top_packages,
-    missing_variant, test_map, field_types, class_page, subsystem_histogram, class_search, language_by_repo, repo_map, skipped_paths, build_tools, label_counts, expected_minus_actual, signal_intersection, snapshot_methods, substantive_methods, parameter_counts, path_variables, stable_ids, loc_and_tokens,
+    module_class_counts, longest_prefix_owner, module_tree, module_summary, import_fan, external_stubs, resolve_names_unique, resolve_names_as_coded, return_type_counts, role_counts, role_classify, hygiene_class, hygiene_repo, hygiene_grouping_sets, tier_pivot, pattern_matches, pattern_top_packages,
+    missing_variant, classes_with_namesake_stem, field_type_counts, class_page, subsystem_histogram, class_search, language_by_repo, repo_map, skipped_paths, modules_by_build_tool, label_counts, expected_minus_actual, signal_intersection, snapshot_methods, substantive_methods, parameter_counts, method_name_words, stable_ids, loc_and_tokens,
     cross_layer_imports, upsert_latest, insert_if_absent, registry_full_outer, delete_by_file,
 )}
 
@@ -418,9 +389,8 @@ _ROLE = scoring.ROLE_SQL
 _IMPORTS = "imp AS (SELECT repo_id, file_path, unnest(regexp_extract_all(content, 'import ([a-z][\\w.]*\\.[A-Z]\\w*);', 1)) AS target FROM src WHERE content IS NOT NULL)"
 _PKG = "CASE WHEN instr({0}, '.') > 0 THEN regexp_replace({0}, '\\.[^.]*$', '') ELSE '' END"
 _SIMPLE = "split_part({0}, '.', -1)"
-_SCORED = ", " + scoring.SCORES_SQL
 _PAT = ", " + scoring.PATTERNS_SQL
-_RAW = """, raw AS (SELECT DISTINCT c.fqn AS source, n.name FROM (SELECT repo_id, file_path,
+_RAW = """, raw AS (SELECT DISTINCT repo_id, c.fqn AS source, n.name FROM (SELECT repo_id, file_path,
     unnest(regexp_extract_all(content, '(?:import [\\w.]*\\.|import \\{ |from \\w+ import )([A-Z]\\w*)', 1)) AS name FROM src WHERE content IS NOT NULL) n
     JOIN cls c USING (repo_id, file_path))"""
 _OWN = ", own AS (SELECT DISTINCT f.repo_id, f.file_path, m.path FROM (SELECT DISTINCT repo_id, file_path FROM src) f JOIN mod m ON f.repo_id = m.repo_id AND starts_with(f.file_path, m.path || '/'))"
@@ -431,7 +401,7 @@ SQL = {k: _CTE + v for k, v in {
     "large_package_untested": "SELECT repo_id, package_fqn, count(*) AS n_types, count(*) FILTER (regexp_matches(name, '(Test|Tests|IT|TestCase|Spec)$')) AS n_tests FROM cls GROUP BY ALL HAVING count(*) >= 3 AND n_tests = 0",
     "file_loc_rollup": "SELECT repo_id, count(*) AS n_files, CAST(sum(l) AS BIGINT) AS loc FROM (SELECT repo_id, file_path, max(end_line) AS l FROM symbols WHERE end_line IS NOT NULL GROUP BY ALL) GROUP BY repo_id",
     "methods_per_class": "SELECT c.repo_id, c.fqn, count(m.name) AS n_methods FROM (SELECT DISTINCT repo_id, fqn FROM cls) c LEFT JOIN mth m ON c.repo_id = m.repo_id AND c.fqn = m.class_fqn GROUP BY ALL",
-    "god_classes": "SELECT * FROM (SELECT repo_id, fqn, (SELECT count(DISTINCT name) FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn) AS n_methods, (SELECT count(DISTINCT name) FROM fld f WHERE f.repo_id = c.repo_id AND f.class_fqn = c.fqn) AS n_fields FROM (SELECT DISTINCT repo_id, fqn FROM cls WHERE NOT contains(fqn, 'Test')) c) WHERE n_methods > 30 OR n_fields > 20",
+    "god_classes": "SELECT c.repo_id, c.fqn, m.n AS n_methods, f.n AS n_fields FROM (SELECT DISTINCT repo_id, fqn FROM cls WHERE NOT contains(fqn, 'Test') AND NOT contains(fqn, '$')) c JOIN (SELECT repo_id, class_fqn, count(*) AS n FROM mth GROUP BY ALL) m ON m.repo_id = c.repo_id AND m.class_fqn = c.fqn JOIN (SELECT repo_id, class_fqn, count(DISTINCT name) AS n FROM fld GROUP BY ALL) f ON f.repo_id = c.repo_id AND f.class_fqn = c.fqn WHERE m.n > 30 AND f.n > 0",
     "classes_without_methods": "SELECT DISTINCT repo_id, fqn FROM cls c WHERE NOT EXISTS (SELECT 1 FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn)",
     "classes_with_static_methods": "SELECT DISTINCT repo_id, fqn, name FROM cls c WHERE EXISTS (SELECT 1 FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn AND list_contains(m.modifiers, 'static'))",
     "annotated_members": "SELECT repo_id, fqn, len(annotations) AS n_annotations FROM mth WHERE len(list_filter(annotations, lambda a: contains(a, 'Cache') OR contains(a, 'Transactional'))) > 0",
@@ -440,26 +410,26 @@ SQL = {k: _CTE + v for k, v in {
     "public_undocumented": "SELECT repo_id, class_fqn, count(*) AS n FROM mth WHERE list_contains(modifiers, 'public') AND docstring IS NULL GROUP BY ALL HAVING count(*) >= 3",
     "module_class_counts": "SELECT m.repo_id, m.path, count(f.file_path) AS n_files FROM (SELECT DISTINCT repo_id, path FROM mod) m LEFT JOIN (SELECT DISTINCT repo_id, file_path FROM src) f ON f.repo_id = m.repo_id AND starts_with(f.file_path, m.path || '/') GROUP BY ALL",
     "module_tree": "SELECT a.repo_id, a.path, arg_max(b.path, length(b.path)) AS parent, count(b.path) AS depth FROM (SELECT DISTINCT repo_id, path FROM mod) a LEFT JOIN (SELECT DISTINCT repo_id, path FROM mod) b ON a.repo_id = b.repo_id AND starts_with(a.path, b.path || '/') GROUP BY ALL",
-    "self_calls": "SELECT trim(split_part(return_type, '<', 1)) AS type_base, count(*) AS n_methods FROM mth WHERE return_type IS NOT NULL GROUP BY ALL",
+    "return_type_counts": "SELECT trim(split_part(return_type, '<', 1)) AS type_base, count(*) AS n_methods FROM mth WHERE return_type IS NOT NULL GROUP BY ALL",
     "role_counts": f"SELECT {_ROLE} AS role, count(*) AS n FROM cls GROUP BY ALL",
     "role_classify": f"SELECT DISTINCT repo_id, fqn, {_ROLE} AS role FROM cls",
     "missing_variant": "SELECT DISTINCT repo_id, name, regexp_replace(name, 'Reader$', 'Writer') AS missing FROM cls c WHERE name LIKE '%Reader' AND NOT EXISTS (SELECT 1 FROM cls o WHERE o.repo_id = c.repo_id AND o.name = regexp_replace(c.name, 'Reader$', 'Writer'))",
-    "test_map": "SELECT DISTINCT repo_id, base, name FROM (SELECT repo_id, name, regexp_replace(name, '(Adapter|Builder|Client|Handler|Helper|Job|Service|Reader|Writer|Test)$', '') AS base FROM cls) c WHERE base <> name AND base <> '' AND EXISTS (SELECT 1 FROM cls o WHERE o.repo_id = c.repo_id AND o.name = c.base)",
-    "field_types": "SELECT trim(split_part(type_name, '<', 1)) AS type_base, count(*) AS n, count(DISTINCT class_fqn) AS n_classes FROM fld WHERE type_name IS NOT NULL GROUP BY ALL",
+    "classes_with_namesake_stem": "SELECT DISTINCT repo_id, base, name FROM (SELECT repo_id, name, regexp_replace(name, '(Adapter|Builder|Client|Handler|Helper|Job|Service|Reader|Writer|Test)$', '') AS base FROM cls) c WHERE base <> name AND base <> '' AND EXISTS (SELECT 1 FROM cls o WHERE o.repo_id = c.repo_id AND o.name = c.base)",
+    "field_type_counts": "SELECT trim(split_part(type_name, '<', 1)) AS type_base, count(*) AS n, count(DISTINCT class_fqn) AS n_classes FROM fld WHERE type_name IS NOT NULL GROUP BY ALL",
     "class_page": "SELECT DISTINCT repo_id, fqn, name FROM cls ORDER BY name, fqn, repo_id LIMIT 50 OFFSET 50",
     "subsystem_histogram": "SELECT array_to_string(string_split(fqn, '.')[1:3], '.') AS subsystem, count(*) AS n FROM cls GROUP BY ALL",
     "class_search": "SELECT DISTINCT repo_id, fqn, name FROM cls WHERE contains(lower(name), 'policy')",
     "language_by_repo": "SELECT repo_id, ext, n FROM (SELECT repo_id, lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS n, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, CASE ext WHEN 'java' THEN 1 WHEN 'py' THEN 2 WHEN 'js' THEN 3 WHEN 'ts' THEN 4 ELSE 9 END, ext) AS k FROM (SELECT DISTINCT repo_id, file_path FROM src) GROUP BY repo_id, ext) WHERE k = 1",
     "repo_map": "SELECT repo_id, top, CASE WHEN regexp_matches(top, '^(test|tests|it)$') THEN 'tests' WHEN regexp_matches(top, '^(docs?|site)$') THEN 'docs' WHEN regexp_matches(top, '^(vendor|third_party|node_modules|external|deps|libs)$') THEN 'vendored' WHEN regexp_matches(top, '^(tools|scripts|builders)$') THEN 'tooling' ELSE 'code' END AS purpose, count(*) AS n_files FROM (SELECT DISTINCT repo_id, file_path, regexp_extract(file_path, '^/(?:repos|workspace/src)/[^/]+/([^/]+)/', 1) AS top FROM src) GROUP BY ALL",
     "skipped_paths": "SELECT repo_id, count(*) AS n_files FROM (SELECT DISTINCT repo_id, file_path FROM src) WHERE NOT list_has_any(string_split(file_path, '/'), ['node_modules', 'vendor', 'build', 'target', 'dist', 'out', '.git', '__pycache__']) GROUP BY ALL",
-    "build_tools": "SELECT repo_id, coalesce(build_tool, 'unknown') AS build_tool, count(*) AS n FROM mod GROUP BY ALL",
+    "modules_by_build_tool": "SELECT repo_id, coalesce(build_tool, 'unknown') AS build_tool, count(*) AS n FROM mod GROUP BY ALL",
     "label_counts": "SELECT 'Class' AS label, count(*) AS n FROM cls UNION ALL SELECT 'Method', count(*) FROM mth UNION ALL SELECT 'Field', count(*) FROM fld UNION ALL SELECT 'Module', count(*) FROM mod",
     "expected_minus_actual": "SELECT DISTINCT repo_id, file_path FROM symbols EXCEPT SELECT repo_id, file_path FROM src WHERE content IS NOT NULL",
-    "signal_intersection": "SELECT repo_id, fqn FROM cls WHERE contains(file_path, '/generated/') INTERSECT SELECT repo_id, fqn FROM cls WHERE regexp_matches(name, '(Factory|Builder)$')",
+    "signal_intersection": "SELECT repo_id, fqn FROM cls WHERE regexp_matches(file_path, '/(_*generated_*|gen|src-gen|autogen|out|dist|generated-sources)/') INTERSECT SELECT repo_id, fqn FROM cls WHERE regexp_matches(name, '(Helper|Writer|Factory|Builder|Controller|Repository|Service|Scheduler|Client|Adapter)$')",
     "snapshot_methods": "SELECT repo_id, class_fqn, array_to_string(list_sort(list(DISTINCT name))[1:10], ',') AS methods, count(DISTINCT name) AS n_all FROM mth GROUP BY ALL",
     "substantive_methods": "SELECT repo_id, class_fqn, count(*) AS n, max(end_line - start_line) AS longest FROM mth WHERE NOT regexp_matches(name, '^(get|set|is)[A-Z]') AND end_line - start_line > 3 GROUP BY ALL",
     "parameter_counts": "SELECT coalesce(len(parameters), 0) AS n_parameters, count(*) AS n FROM mth GROUP BY ALL",
-    "path_variables": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g')), '_')) AS word FROM mth) WHERE word <> '' GROUP BY ALL",
+    "method_name_words": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(regexp_replace(name, '([a-z])([A-Z])', '\\1_\\2', 'g')), '_')) AS word FROM mth) WHERE word <> '' GROUP BY ALL",
     "stable_ids": "SELECT DISTINCT repo_id, fqn, 'auto-' || substr(sha1(repo_id || ':' || fqn), 1, 8) AS stable_id FROM cls",
     "loc_and_tokens": "SELECT DISTINCT repo_id, fqn, greatest(end_line - start_line, 0) AS loc, greatest(100, CAST(floor(greatest(end_line - start_line, 0) * 2.5) AS BIGINT)) AS tokens FROM cls WHERE start_line IS NOT NULL AND end_line IS NOT NULL",
     "insert_if_absent": "SELECT DISTINCT repo_id, 'modules' AS origin FROM mod UNION ALL SELECT DISTINCT repo_id, 'scans' FROM scan_log WHERE repo_id IS NOT NULL AND repo_id NOT IN (SELECT repo_id FROM mod)",
@@ -477,11 +447,7 @@ SQL["module_dependency_matrix"] = _CTE + ", " + _IMPORTS + f""", e AS (SELECT {_
 SQL["import_fan"] = _CTE + ", " + _IMPORTS + f" SELECT {_PKG.format('target')} AS package_fqn, count(*) AS n_imports, count(DISTINCT file_path) AS fan_in FROM (SELECT DISTINCT file_path, target FROM imp) GROUP BY ALL"
 SQL["external_stubs"] = _CTE + ", " + _IMPORTS + f" SELECT DISTINCT repo_id, target AS fqn, {_SIMPLE.format('target')} AS name, {_PKG.format('target')} AS package_fqn FROM imp i WHERE NOT EXISTS (SELECT 1 FROM cls c WHERE c.repo_id = i.repo_id AND c.fqn = i.target)"
 SQL["cross_layer_imports"] = _CTE + ", " + _IMPORTS + " SELECT DISTINCT repo_id, file_path, target FROM imp WHERE file_path LIKE '%/web/%' AND regexp_matches(target, '^com\\.[a-z]+\\.(archive|ledger|quota)\\.')"
-SQL["resolve_names_unique"] = _CTE + _RAW + " SELECT DISTINCT r.source, t.target FROM raw r JOIN (SELECT name, min(fqn) AS target FROM cls GROUP BY name HAVING count(DISTINCT fqn) = 1) t USING (name) WHERE r.source <> t.target"
-SQL["resolve_names_as_coded"] = _CTE + _RAW + " SELECT DISTINCT r.source, c.fqn AS target FROM raw r JOIN cls c USING (name) WHERE r.source <> c.fqn"
-SQL["hygiene_class"] = _CTE + _SCORED + " SELECT repo_id, fqn, n_methods, size_score, docs_score, score, grade, tier FROM scored"
-SQL["hygiene_repo"] = _CTE + _SCORED + " " + scoring.REPO_SQL
-SQL["hygiene_grouping_sets"] = _CTE + _SCORED + " SELECT repo_id, grade, count(*) AS n FROM scored GROUP BY GROUPING SETS ((repo_id, grade), (repo_id), ())"
-SQL["tier_pivot"] = _CTE + _SCORED + " SELECT repo_id, " + ", ".join(f"count(*) FILTER (tier = '{t}') AS n_{t}" for t in ("god", "large", "medium", "small", "tiny")) + " FROM scored GROUP BY repo_id"
+SQL["resolve_names_unique"] = _CTE + _RAW + " SELECT DISTINCT repo_id, r.source, t.target FROM raw r JOIN (SELECT repo_id, name, min(fqn) AS target FROM cls GROUP BY repo_id, name HAVING count(DISTINCT fqn) = 1) t USING (repo_id, name) WHERE r.source <> t.target"
+SQL["resolve_names_as_coded"] = _CTE + _RAW + " SELECT DISTINCT repo_id, r.source, c.fqn AS target FROM raw r JOIN cls c USING (repo_id, name) WHERE r.source <> c.fqn"
 SQL["pattern_matches"] = _CTE + _PAT + " SELECT * FROM pat"
 SQL["pattern_top_packages"] = _CTE + _PAT + f" SELECT * FROM (SELECT pattern_id, {_PKG.format('fqn')} AS package_fqn, count(*) AS n, row_number() OVER (PARTITION BY pattern_id ORDER BY count(*) DESC, {_PKG.format('fqn')}) AS k FROM pat GROUP BY pattern_id, {_PKG.format('fqn')}) WHERE k <= 5"

@@ -32,8 +32,8 @@ e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, CAST(floor(p_partk
 
 
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    """How many nodes depend on each node, directly or not."""
-    return closure.blast(edges(spark, d)).select("node", "size")
+    """How many nodes depend on each node, directly or not; 500 stands for that many or more."""
+    return closure.blast_sizes(edges(spark, d))
 
 
 def reach_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -47,11 +47,6 @@ def reach_from_package(spark: SparkSession, d: str) -> DataFrame:
     return closure.reach(edges(spark, d), seeds).groupBy("dst").agg(F.countDistinct("src").alias("n_sources"), F.min("hops").alias("hops"))
 
 
-def dependents_4hop(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that depend on those of the first keys in at most four steps."""
-    return closure.dependents(edges(spark, d), nodes(spark, d).where("node between 10 and 20").select("node"), 4)
-
-
 def dependents_4hop_by_brand(spark: SparkSession, d: str) -> DataFrame:
     """For each brand, the parts that depend on its own in at most four steps."""
     return closure.dependents_by(edges(spark, d), nodes(spark, d).select("package", "node"), 4)
@@ -112,18 +107,12 @@ def edge_schema(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).join(n.select(F.col("node").alias("src"), F.col("package").alias("src_label")), "src").join(n.select(F.col("node").alias("dst"), F.col("package").alias("dst_label")), "dst").select("src_label", "dst_label").distinct()
 
 
-def impact_report(spark: SparkSession, d: str) -> DataFrame:
-    """For each brand as the change: parts changed, direct and indirect dependents, and the brands affected."""
-    n, e = nodes(spark, d), edges(spark, d)
-    direct = e.join(n.select(F.col("node").alias("dst"), "package"), "dst").select("package", F.col("src").alias("node")).distinct()
-    second = direct.join(e.select(F.col("dst").alias("node"), "src"), "node").select("package", F.col("src").alias("node")).distinct()
-    own = n.groupBy("package").agg(F.count("*").alias("n_changed"))
-    both = direct.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2))).join(n.select("node", F.col("package").alias("affected")), "node").where("affected <> package")
-    by = both.groupBy("package").agg(F.countDistinct(F.when(F.col("hop") == 1, F.col("node"))).alias("n_direct"), F.countDistinct("node").alias("n_all"), F.countDistinct("affected").alias("n_packages"))
-    got = own.join(by, "package", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    risk = F.least(F.lit(1.0), F.least(zero("n_all") / 50, F.lit(0.4)) + F.least(zero("n_packages") / 5, F.lit(0.2)))
-    return got.select("package", "n_changed", zero("n_direct").alias("n_direct"), zero("n_all").alias("n_all"), zero("n_packages").alias("n_packages"), F.round(risk, 4).alias("risk"))
+def commit_impact_2hop(spark: SparkSession, d: str) -> DataFrame:
+    """For each brand as the change: parts changed, dependents at one and at up to two hops, and the brands affected."""
+    n = nodes(spark, d)
+    found = closure.dependents_by(edges(spark, d), n.select("package", "node"), 2).join(n.select("node", F.col("package").alias("affected")), "node")
+    by = found.groupBy("package").agg(F.count_if(F.col("hops") == 1).alias("n_direct"), F.count("*").alias("n_all"), F.countDistinct("affected").alias("n_packages"))
+    return n.groupBy("package").agg(F.count("*").alias("n_changed")).join(by, "package", "left").select("package", "n_changed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_direct", "n_all", "n_packages")])
 
 
 def impact_report_4hop(spark: SparkSession, d: str) -> DataFrame:
@@ -135,14 +124,7 @@ def impact_report_4hop(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("package").agg(F.count("*").alias("n_changed")).join(by, "package", "left").select("package", "n_changed", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
-def refactor_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 nodes that most depend on, by score steps and blast size."""
-    size = blast_radius(spark, d)
-    got = size.withColumn("blast_score", scoring.steps(F.col("size"), scoring.BLAST_STEPS))
-    return got.orderBy(F.desc("size"), "node").limit(50)
-
-
-QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop, dependents_4hop_by_brand, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, impact_report, impact_report_4hop, refactor_ranking)}
+QUERIES = {f.__name__: f for f in (blast_radius, reach_pairs, reach_from_package, dependents_4hop_by_brand, depth_to_root_ge6, import_cycles_2hop, call_chain, chain_members, fan_in_out, coupling, neighbourhood, edge_schema, commit_impact_2hop, impact_report_4hop)}
 
 _BLAST = f"WITH RECURSIVE {_E}, r AS (SELECT dst AS node, src AS dep FROM e UNION SELECT r.node, e.src FROM r JOIN e ON e.dst = r.dep), b AS (SELECT node, count(*) AS size FROM r WHERE node <> dep GROUP BY node)"
 _DEPENDENTS = f"""WITH RECURSIVE {_E}, r AS (SELECT p.p_brand AS package, e.src AS node, 1 AS hops FROM e JOIN part p ON p.p_partkey = e.dst WHERE e.src <> e.dst
@@ -153,13 +135,10 @@ _WALK = f"""WITH RECURSIVE {_E}, l AS (SELECT p_partkey AS node, p_size % 7 AS l
 w AS (SELECT node AS start, 0 AS hop, node, layer, [node] AS path FROM l WHERE p_brand = 'Brand#21'
  UNION ALL SELECT start, hop + 1, nxt, nl, list_append(path, nxt) FROM (SELECT w.start, w.hop, w.path, e.dst AS nxt, l.layer AS nl, row_number() OVER (PARTITION BY w.start ORDER BY l.layer DESC, e.dst) AS k
    FROM w JOIN e ON e.src = w.node JOIN l ON l.node = e.dst WHERE w.hop < 6 AND l.layer >= w.layer AND NOT list_contains(w.path, e.dst)) WHERE k = 1)"""
-_BL = "CASE " + " ".join(f"WHEN size <= {x} THEN {s}" for x, s in scoring.BLAST_STEPS[:-1]) + " ELSE 0 END"
 SQL = {
-    "blast_radius": _BLAST + " SELECT node, size FROM b",
-    "refactor_ranking": _BLAST + f" SELECT node, size, {_BL} AS blast_score FROM b ORDER BY size DESC, node LIMIT 50",
+    "blast_radius": _BLAST + " SELECT node, least(size, 500) AS size FROM b",
     "reach_pairs": f"WITH RECURSIVE {_E}, r AS (SELECT src, dst, 1 AS hops FROM e WHERE src <> dst UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.dst WHERE r.hops < 3) SELECT src, dst, min(hops) AS hops FROM r WHERE src <> dst GROUP BY ALL",
     "reach_from_package": f"WITH RECURSIVE {_E}, r AS (SELECT src, dst, 1 AS hops FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11') UNION SELECT r.src, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.dst WHERE r.hops < 24) SELECT dst, count(DISTINCT src) AS n_sources, min(hops) AS hops FROM r WHERE src <> dst GROUP BY dst",
-    "dependents_4hop": f"WITH RECURSIVE {_E}, r AS (SELECT src AS node, 1 AS hops FROM e WHERE dst BETWEEN 10 AND 20 AND src <> dst UNION SELECT e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.node WHERE r.hops < 4) SELECT node, min(hops) AS hops FROM r WHERE node NOT BETWEEN 10 AND 20 GROUP BY node",
     "depth_to_root_ge6": "WITH RECURSIVE r AS (SELECT p_partkey AS node, p_partkey AS cur, 0 AS depth FROM part UNION ALL SELECT node, CAST(floor(cur / 2) AS BIGINT), depth + 1 FROM r WHERE cur >= 2) SELECT node, max(depth) AS depth FROM r GROUP BY node HAVING max(depth) >= 6",
     "import_cycles_2hop": f"WITH {_E}, p AS (SELECT DISTINCT a.p_brand AS a, b.p_brand AS b FROM e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst WHERE a.p_brand <> b.p_brand) SELECT x.a, x.b FROM p x JOIN p y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b",
     "call_chain": _WALK + " SELECT start, hop, node FROM w",
@@ -168,10 +147,9 @@ SQL = {
     "coupling": _FAN + ", m AS (SELECT l_partkey AS node, count(*) AS n FROM lineitem GROUP BY 1) SELECT f.node, round_even(least(0.5 * fan_in / greatest((SELECT max(fan_in) FROM f), 1) + 0.25 * fan_out / greatest((SELECT max(fan_out) FROM f), 1) + 0.25 * least(coalesce(n, 0) / 50, 1.0), 1.0), 4) AS coupling FROM f LEFT JOIN m USING (node)",
     "neighbourhood": f"WITH {_E} SELECT coalesce(a.node, b.node) AS node, imports, imported_by FROM (SELECT src AS node, array_to_string(list_sort(list(dst)), ',') AS imports FROM e GROUP BY 1) a FULL JOIN (SELECT dst AS node, array_to_string(list_sort(list(src)), ',') AS imported_by FROM e GROUP BY 1) b ON a.node = b.node",
     "edge_schema": f"WITH {_E} SELECT DISTINCT a.p_brand AS src_label, b.p_brand AS dst_label FROM e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst",
-    "impact_report": f"""WITH {_E}, d AS (SELECT DISTINCT p.p_brand AS package, e.src AS node FROM e JOIN part p ON p.p_partkey = e.dst), s AS (SELECT DISTINCT d.package, e.src AS node FROM d JOIN e ON e.dst = d.node),
-        u AS (SELECT *, 1 AS hop FROM d UNION ALL SELECT *, 2 FROM s), b AS (SELECT u.package, count(DISTINCT CASE WHEN hop = 1 THEN node END) AS n_direct, count(DISTINCT node) AS n_all, count(DISTINCT p.p_brand) AS n_packages FROM u JOIN part p ON p.p_partkey = u.node WHERE p.p_brand <> u.package GROUP BY 1)
-        SELECT o.package, n_changed, coalesce(n_direct, 0) AS n_direct, coalesce(n_all, 0) AS n_all, coalesce(n_packages, 0) AS n_packages, round(least(1.0, least(coalesce(n_all, 0) / 50, 0.4) + least(coalesce(n_packages, 0) / 5, 0.2)), 4) AS risk FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN b USING (package)""",
 }
 SQL["impact_report_4hop"] = _DEPENDENTS + """, c AS (SELECT package, """ + ", ".join(f"count(*) FILTER (hops = {k}) AS n_hop{k}" for k in range(1, 5)) + """, count(*) AS n_all, count(DISTINCT affected) AS n_packages FROM b GROUP BY package)
     SELECT o.package, n_changed, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_hop1", "n_hop2", "n_hop3", "n_hop4", "n_all", "n_packages")) + " FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN c USING (package)"
 SQL["dependents_4hop_by_brand"] = _DEPENDENTS + " SELECT package, node, hops FROM b"
+SQL["commit_impact_2hop"] = _DEPENDENTS.replace("r.hops < 4", "r.hops < 2") + """, c AS (SELECT package, count(*) FILTER (hops = 1) AS n_direct, count(*) AS n_all, count(DISTINCT affected) AS n_packages FROM b GROUP BY package)
+    SELECT o.package, n_changed, coalesce(n_direct, 0) AS n_direct, coalesce(n_all, 0) AS n_all, coalesce(n_packages, 0) AS n_packages FROM (SELECT p_brand AS package, count(*) AS n_changed FROM part GROUP BY 1) o LEFT JOIN c USING (package)"""

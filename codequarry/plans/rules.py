@@ -27,10 +27,9 @@ def policy_report(spark: SparkSession, d: str) -> DataFrame:
     return policies.report(policies.scan(_graph(spark, d)))
 
 
-def policy_compiled(spark: SparkSession, d: str) -> DataFrame:
-    """Violators of a rule in words: public methods of one kind of class without an annotation."""
-    rule = policies.compile_rule("Public methods of Repository classes must be annotated with @Cacheable.")
-    return policies.violations(_graph(spark, d), rule)
+def unannotated_public(spark: SparkSession, d: str) -> DataFrame:
+    """Public methods of one kind of class without an annotation."""
+    return policies.violations(_graph(spark, d), policies.Rule("public_needs_annotation", "Repository", "Cacheable"))
 
 
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -72,10 +71,10 @@ def data_stores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_first_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first sentence of each class's comment, tags and markers stripped."""
-    doc = F.regexp_replace(F.regexp_replace("javadoc", r"\{@\w+ ([^}]*)\}", "$1"), r"(?s)\s*@\w+.*$", "")
+    """The first sentence of each method's comment, tags and markers stripped."""
+    doc = F.regexp_replace(F.regexp_replace("docstring", r"\{@\w+ ([^}]*)\}", "$1"), r"(?s)\s*@\w+.*$", "")
     first = F.trim(F.regexp_extract(doc, r"^(?s)(.*?[.!?])(?:\s|$)", 1))
-    return _cls(spark, d).where("javadoc is not null").select("repo_id", "fqn", first.alias("first")).where("first <> ''").distinct()
+    return _mth(spark, d).where("docstring is not null").select("repo_id", "fqn", first.alias("first")).where("first <> ''").distinct()
 
 
 def short_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -114,12 +113,12 @@ def name_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def having_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Repositories in which more than a fifth of the methods are static."""
+    """Repositories in which more than a twentieth of the methods are static."""
     static = F.count_if(F.array_contains("modifiers", "static"))
-    return _mth(spark, d).groupBy("repo_id").agg(F.count("*").alias("n"), static.alias("n_static")).where("n_static * 5 > n")
+    return _mth(spark, d).groupBy("repo_id").agg(F.count("*").alias("n"), static.alias("n_static")).where("n_static * 20 > n")
 
 
-QUERIES = {f.__name__: f for f in (policy_violations_union, policy_report, policy_compiled, snapshots, dashboard, recent_events, data_stores, doc_first_lines, short_paths, logical_backup, threshold_findings, package_prefix_siblings, name_variants, having_ratio)}
+QUERIES = {f.__name__: f for f in (policy_violations_union, policy_report, unannotated_public, snapshots, dashboard, recent_events, data_stores, doc_first_lines, short_paths, logical_backup, threshold_findings, package_prefix_siblings, name_variants, having_ratio)}
 
 _V = """, per AS (SELECT c.repo_id, c.fqn, any_value(c.name) AS name, max(c.javadoc) AS javadoc, (SELECT count(*) FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn) AS n FROM cls c GROUP BY c.repo_id, c.fqn),
 v AS (SELECT 'many_methods' AS policy, 'warning' AS severity, repo_id, fqn AS violator, CAST(n AS VARCHAR) AS detail FROM per WHERE n > 30
@@ -139,7 +138,7 @@ _STORES = {"cache": ("cache.", "Cacheable"), "store": ("store.find", "store.put"
 SQL = {
     "policy_violations_union": _HEAD + _V + " SELECT DISTINCT policy, repo_id, violator, detail FROM v",
     "policy_report": _HEAD + _V + " SELECT policy, severity, repo_id, count(*) AS n, array_to_string(list_sort(list(violator))[1:5], ',') AS samples FROM (SELECT DISTINCT policy, severity, repo_id, violator FROM v) GROUP BY ALL",
-    "policy_compiled": _CTE + " SELECT DISTINCT repo_id, fqn AS violator, 'Cacheable' AS detail FROM mth WHERE list_contains(modifiers, 'public') AND class_fqn LIKE '%Repository' AND NOT coalesce(len(list_filter(annotations, lambda a: contains(a, 'Cacheable'))) > 0, false)",
+    "unannotated_public": _CTE + " SELECT DISTINCT repo_id, fqn AS violator, 'Cacheable' AS detail FROM mth WHERE list_contains(modifiers, 'public') AND class_fqn LIKE '%Repository' AND NOT coalesce(len(list_filter(annotations, lambda a: contains(a, 'Cacheable'))) > 0, false)",
     "snapshots": _CTE + """, m AS (SELECT repo_id, class_fqn AS fqn, list_sort(list(DISTINCT name)) AS ms FROM mth GROUP BY ALL), f AS (SELECT repo_id, class_fqn AS fqn, count(DISTINCT name) AS n FROM fld GROUP BY ALL),
         c AS (SELECT repo_id, fqn, max(greatest(end_line - start_line, 0)) AS loc FROM cls GROUP BY ALL) SELECT c.repo_id, c.fqn, CASE WHEN c.loc IS NULL THEN 0 ELSE c.loc END AS loc, coalesce(len(ms), 0) AS n_methods, coalesce(n, 0) AS n_fields,
         array_to_string(CASE WHEN length(array_to_string(coalesce(ms, []), ',')) > 400 THEN ms[1:10] ELSE coalesce(ms, [])[1:60] END, ',') AS methods FROM c LEFT JOIN m USING (repo_id, fqn) LEFT JOIN f USING (repo_id, fqn)""",
@@ -151,7 +150,7 @@ SQL = {
     "threshold_findings": "WITH m AS (SELECT source, count(error) * 100.0 / count(*) AS e, max(elapsed_ms) AS x FROM (SELECT DISTINCT id, source, error, elapsed_ms FROM llm_calls) GROUP BY source) SELECT source, 'error_pct' AS metric, CASE WHEN e >= 6 THEN 'critical' ELSE 'warn' END AS band FROM m WHERE e >= 3 UNION ALL SELECT source, 'max_ms', CASE WHEN x >= 600000 THEN 'critical' ELSE 'warn' END FROM m WHERE x >= 60000",
     "package_prefix_siblings": _CTE + " SELECT repo_id, array_to_string(string_split(package_fqn, '.')[1:2], '.') AS prefix, count(DISTINCT package_fqn) AS n_packages, count(DISTINCT fqn) AS n_classes FROM cls GROUP BY ALL",
     "name_variants": _CTE + " SELECT DISTINCT name, lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')) AS tag FROM cls",
-    "having_ratio": _CTE + " SELECT repo_id, count(*) AS n, count(*) FILTER (list_contains(modifiers, 'static')) AS n_static FROM mth GROUP BY repo_id HAVING n_static * 5 > count(*)",
-    "doc_first_lines": _CTE + " SELECT DISTINCT repo_id, fqn, trim(regexp_extract(regexp_replace(regexp_replace(javadoc, '\\{@\\w+ ([^}]*)\\}', '\\1', 'g'), '(?s)\\s*@\\w+.*$', ''), '(?s)^(.*?[.!?])(?:\\s|$)', 1)) AS \"first\" FROM cls WHERE javadoc IS NOT NULL AND trim(regexp_extract(regexp_replace(regexp_replace(javadoc, '\\{@\\w+ ([^}]*)\\}', '\\1', 'g'), '(?s)\\s*@\\w+.*$', ''), '(?s)^(.*?[.!?])(?:\\s|$)', 1)) <> ''",
+    "having_ratio": _CTE + " SELECT repo_id, count(*) AS n, count(*) FILTER (list_contains(modifiers, 'static')) AS n_static FROM mth GROUP BY repo_id HAVING n_static * 20 > count(*)",
+    "doc_first_lines": _CTE + " SELECT DISTINCT repo_id, fqn, trim(regexp_extract(regexp_replace(regexp_replace(docstring, '\\{@\\w+ ([^}]*)\\}', '\\1', 'g'), '(?s)\\s*@\\w+.*$', ''), '(?s)^(.*?[.!?])(?:\\s|$)', 1)) AS \"first\" FROM mth WHERE docstring IS NOT NULL AND trim(regexp_extract(regexp_replace(regexp_replace(docstring, '\\{@\\w+ ([^}]*)\\}', '\\1', 'g'), '(?s)\\s*@\\w+.*$', ''), '(?s)^(.*?[.!?])(?:\\s|$)', 1)) <> ''",
     "recent_events": "WITH e AS (SELECT DISTINCT 'scan' AS kind, CAST(id AS VARCHAR) AS key, started_at AS ts FROM scan_log UNION ALL SELECT DISTINCT 'turn', turn_id, ts FROM turns UNION ALL SELECT DISTINCT 'call', CAST(id AS VARCHAR), ts FROM llm_calls), m AS (SELECT kind, key, CAST(epoch_ms(CAST(CASE WHEN regexp_matches(ts, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) AS BIGINT) AS ms FROM e) SELECT * FROM m ORDER BY ms DESC, kind, key LIMIT 10",
 }

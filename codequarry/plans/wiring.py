@@ -288,7 +288,7 @@ _NAMED = "(SELECT DISTINCT repo_id, class_fqn AS source, regexp_extract(type_nam
 _FAN = """, bk(node, dep) AS (SELECT DISTINCT target, source FROM edge WHERE source <> target UNION SELECT b.node, e.source FROM bk b JOIN edge e ON e.target = b.dep WHERE e.source <> b.node),
 pair AS (SELECT DISTINCT repo_id, source, target FROM edge), one AS (SELECT repo_id, fqn, min(name) AS name, max(CASE WHEN javadoc IS NULL THEN 0 ELSE 1 END) AS doc, arg_min(kind, file_path) AS kind, min(file_path) AS file_path FROM cls GROUP BY ALL),
 fan AS (SELECT o.*, coalesce((SELECT count(*) FROM mth m WHERE m.class_fqn = o.fqn), 0) AS n_methods, coalesce(i.n, 0) AS fan_in, coalesce(u.n, 0) AS fan_out, least(coalesce(b.n, 0), 500) AS blast_size FROM one o LEFT JOIN (SELECT target, count(*) AS n FROM pair GROUP BY 1) i ON i.target = o.fqn LEFT JOIN (SELECT source, count(*) AS n FROM pair GROUP BY 1) u ON u.source = o.fqn LEFT JOIN (SELECT node, count(*) AS n FROM bk GROUP BY 1) b ON b.node = o.fqn),
-cpl AS (SELECT *, round(least(1.0, CAST(0.5 AS DOUBLE) * fan_in / greatest(max(fan_in) OVER w, 1) + CAST(0.25 AS DOUBLE) * fan_out / greatest(max(fan_out) OVER w, 1) + CAST(0.25 AS DOUBLE) * least(n_methods / 50.0, 1.0)), 4) AS coupling FROM fan WINDOW w AS (PARTITION BY repo_id)),
+cpl AS (SELECT *, round_even(least(1.0, CAST(0.5 AS DOUBLE) * fan_in / greatest(max(fan_in) OVER w, 1) + CAST(0.25 AS DOUBLE) * fan_out / greatest(max(fan_out) OVER w, 1) + CAST(0.25 AS DOUBLE) * least(n_methods / 50.0, 1.0)), 4) AS coupling FROM fan WINDOW w AS (PARTITION BY repo_id)),
 sc0 AS (SELECT *, CASE WHEN n_methods <= 10 THEN 25 WHEN n_methods <= 20 THEN 18 WHEN n_methods <= 30 THEN 10 WHEN n_methods <= 60 THEN 4 ELSE 0 END AS size_score,
     CASE WHEN blast_size = 0 THEN 25 WHEN blast_size <= 5 THEN 20 WHEN blast_size <= 20 THEN 12 WHEN blast_size <= 50 THEN 5 WHEN blast_size <= 100 THEN 2 ELSE 0 END AS blast_score,
     CASE WHEN coupling < 0.10 THEN 25 WHEN coupling < 0.20 THEN 20 WHEN coupling < 0.35 THEN 12 WHEN coupling < 0.50 THEN 6 ELSE 0 END AS coupling_score, doc * 25 AS docs_score FROM cpl),

@@ -61,8 +61,8 @@ def test_class_edges(spark):
 
 
 def test_queries_agree(spark):
-    rows = code.hygiene_class_whole(spark, FOLDER).select("repo_id", "fqn", "grade", "tier", "role").collect()
+    rows = code.hygiene_class(spark, FOLDER).select("repo_id", "fqn", "grade", "tier", "role").collect()
     assert len(rows) == code._cls(spark, FOLDER).select("repo_id", "fqn").distinct().count()
-    assert sum(r["n_classes"] for r in code.hygiene_repo_whole(spark, FOLDER).collect()) == len(rows)
-    assert code.hygiene_grouping_sets_whole(spark, FOLDER).where(F.col("repo_id").isNull()).first()["n"] == len(rows)
-    assert sum(r["n_tiny"] for r in code.tier_pivot_whole(spark, FOLDER).collect()) == sum(r["tier"] == "tiny" for r in rows)
+    assert sum(r["n_classes"] for r in code.hygiene_repo(spark, FOLDER).collect()) == len(rows)
+    assert code.hygiene_grouping_sets(spark, FOLDER).where(F.col("repo_id").isNull()).first()["n"] == len(rows)
+    assert sum(r["n_tiny"] for r in code.tier_pivot(spark, FOLDER).collect()) == sum(r["tier"] == "tiny" for r in rows)
