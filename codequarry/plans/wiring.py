@@ -244,7 +244,7 @@ def _scored(spark, d):
 
 def hygiene_scores(spark: SparkSession, d: str) -> DataFrame:
     """The four scores of each class of the derived graph, their sum, grade, tier and warnings."""
-    return _scored(spark, d).select("repo_id", "fqn", "n_methods", "fan_in", "fan_out", "coupling", "blast_size", "size_score", "blast_score", "coupling_score", "docs_score", "score", "grade", "tier", F.size("warnings").cast("long").alias("n_warnings"))
+    return _scored(spark, d).select("repo_id", "fqn", "n_methods", "fan_in", "fan_out", "blast_size", "size_score", "blast_score", "coupling_score", "docs_score", "score", "grade", "tier", F.size("warnings").cast("long").alias("n_warnings"))
 
 
 def hygiene_scores_repo(spark: SparkSession, d: str) -> DataFrame:
@@ -324,6 +324,6 @@ SQL |= {
     "text_search": _C + " SELECT repo_id, kind, count(*) AS n FROM cls WHERE contains(lower(name), 'ring') OR contains(lower(package_fqn), 'ring') OR contains(lower(coalesce(javadoc, '')), 'ring') GROUP BY ALL",
     "entry_points": _C + " SELECT repo_id, regexp_matches(file_path, '\\.(js|ts)$') AS script, count(*) AS n, min(fqn) AS first FROM cls WHERE CASE WHEN regexp_matches(file_path, '\\.(js|ts)$') THEN regexp_matches(name, '(Controller|Client|Job)$') ELSE regexp_matches(name, '(Controller|Handler)$') END GROUP BY ALL",
     "class_pages": _C + ", x AS (SELECT fqn, (SELECT count(*) FROM mth m WHERE m.class_fqn = c.fqn) AS n_methods FROM cls c WHERE kind IN ('class', 'enum') AND contains(lower(name), 'ring')) SELECT *, (SELECT count(*) FROM x) AS total, (SELECT CAST(greatest(1, ceil(count(*) / 10.0)) AS BIGINT) FROM x) AS pages FROM x ORDER BY n_methods DESC, fqn LIMIT 10",
-    "hygiene_scores": _C + _FAN + " SELECT repo_id, fqn, n_methods, fan_in, fan_out, coupling, blast_size, size_score, blast_score, coupling_score, docs_score, score, grade, tier, n_warnings FROM sc",
+    "hygiene_scores": _C + _FAN + " SELECT repo_id, fqn, n_methods, fan_in, fan_out, blast_size, size_score, blast_score, coupling_score, docs_score, score, grade, tier, n_warnings FROM sc",
     "hygiene_scores_repo": _C + _FAN + ", r AS (SELECT repo_id, count(*) AS n_classes, count(*) FILTER (NOT is_test) AS n_scored, count(*) FILTER (tier = 'god') AS n_god, sum(score) FILTER (NOT is_test) AS s, sum(tok) FILTER (NOT is_test) AS tokens, " + ", ".join(f"count(*) FILTER (NOT is_test AND grade = '{g}') AS n_{g.lower()}" for g in "ABCDF") + " FROM sc GROUP BY repo_id), q AS (SELECT *, least(20, 2 * greatest(0, n_god - greatest(1, round_even(n_classes * 0.01, 0)))) AS penalty FROM r), z AS (SELECT *, round_even(greatest(0.0, s / greatest(n_scored, 1) - penalty), 1) AS score FROM q) SELECT repo_id, n_classes, n_scored, n_god, CAST(penalty AS BIGINT) AS penalty, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade, n_a, n_b, n_c, n_d, n_f, CAST(tokens AS BIGINT) AS tokens FROM z",
 }

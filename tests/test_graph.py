@@ -29,7 +29,9 @@ def test_reach_with_cycles_and_diamonds(spark):
     sizes = {}
     for s, x, _ in want:
         sizes[x] = sizes.get(x, 0) + 1
-    assert {(r["node"], r["size"]) for r in closure.blast(edges(spark, pairs)).collect()} == set(sizes.items())
+    assert {(r["node"], r["size"]) for r in closure.blast_sizes(edges(spark, pairs)).collect()} == set(sizes.items())
+    assert {(r["node"], r["size"]) for r in closure.blast_sizes(edges(spark, pairs), 5).collect()} == {(k, min(n, 5)) for k, n in sizes.items()}
+    assert closure.blast_sizes(edges(spark, [])).count() == 0
 
 
 def test_reach_empty(spark):
