@@ -107,11 +107,12 @@ def java(text: str) -> Iterator[Fact]:
         if m.group("name") not in _WORDS and (not word or word.group(1) in ("return", "throw", "else", "case", "assert", "yield", "do")):
             yield Fact("edge", "CALLS", around(m.start()), f"{m.group('obj') or '?'}#{m.group('name')}", line=_line_of(starts, m.start()))
     yield from endpoints(text, bare, starts, around)
+    yield from resources(text, bare, starts, around)
     yield from concurrency(bare, starts, around)
 
 
 def endpoints(text: str, bare: str, starts: list[int], around: Callable[[int], str]) -> Iterator[Fact]:
-    """HTTP endpoints of mapping annotations, the class's prefix joined with the method's path."""
+    """HTTP endpoints of mapping annotations and of paths with verbs, the class's prefix joined with the method's path."""
     prefix = {}
     mapping = re.compile(r"@(?P<verb>Get|Post|Put|Delete|Patch|Request)Mapping\b(?:\s*\((?P<args>[^)]*)\))?")
     for m in mapping.finditer(text):
@@ -132,6 +133,34 @@ def endpoints(text: str, bare: str, starts: list[int], around: Callable[[int], s
         yield Fact("endpoint", f"{verb.group(1) if verb else 'GET' if m.group('verb') == 'Request' else m.group('verb').upper()} {full}", owner, method.group(1) if method else "", variables, _line_of(starts, m.start()))
 
 
+_VERB = re.compile(r"@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b")
+_PATH = re.compile(r"@Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\"")
+_NAME = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
+
+
+def resources(text: str, bare: str, starts: list[int], around: Callable[[int], str]) -> Iterator[Fact]:
+    """HTTP endpoints of methods with a verb's annotation; paths stand on the class and, in any order with the verb, on the method."""
+    prefix, own = {}, []
+    for m in _PATH.finditer(text):
+        if bare[m.start()] != "@":
+            continue
+        if around(m.start()):
+            own.append((m.start(), m.group(1)))
+        elif after := _JAVA_TYPE.search(bare, m.end()):
+            prefix[after.group("name")] = m.group(1)
+    for m in _VERB.finditer(bare):
+        owner = around(m.start())
+        if not owner:
+            continue
+        begins = max(bare.rfind(c, 0, m.start()) for c in ";{}")
+        ends = min((x for x in (bare.find("{", m.end()), bare.find(";", m.end())) if x >= 0), default=len(bare))
+        path = next((p for at, p in own if begins < at < ends), "")
+        plain = re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", lambda x: " " * len(x.group()), bare[m.start() : ends])
+        method = _NAME.search(plain)
+        full = "/" + "/".join(x.strip("/") for x in (prefix.get(owner, ""), path) if x.strip("/"))
+        yield Fact("endpoint", f"{m.group(1)} {full}", owner, method.group(1) if method else "", ",".join(re.findall(r"\{(\w+)(?::[^}]*)?\}", full)), _line_of(starts, m.start()))
+
+
 _POOLS = r"ExecutorService|ScheduledExecutorService|ThreadPoolExecutor|ForkJoinPool|Executor"
 _LOCKS = r"ReentrantLock|ReadWriteLock|ReentrantReadWriteLock|StampedLock|Lock|Semaphore|CountDownLatch"
 
@@ -255,8 +284,11 @@ def cpp(text: str) -> Iterator[Fact]:
             scope, _, name = m.group("name").rpartition("::")
             yield Fact("method", name, scope or around(m.start("name")) or "<module>", m.group("type").strip(), m.group("params").strip(), _line_of(starts, m.start("name")))
     for fact, pattern in (("thread", r"\bstd::j?thread\b"), ("mutex", r"\bstd::(?:\w*mutex|lock_guard|unique_lock|scoped_lock)\b"), ("atomic", r"\bstd::atomic\b"), ("async", r"\bstd::(?:async|future|promise)\b")):
-        for m in list(re.finditer(pattern, bare))[:1]:
-            yield Fact("concurrency", m.group(), detail=fact, line=_line_of(starts, m.start()))
+        seen = set()
+        for m in re.finditer(pattern, bare):
+            if fact != "async" or m.group() not in seen:  # of each asynchronous type the first place tells enough
+                seen.add(m.group())
+                yield Fact("concurrency", m.group(), detail=fact, line=_line_of(starts, m.start()))
 
 
 _APEX_TYPE = re.compile(r"\b(?P<kind>class|interface|enum|trigger)\s+(?P<name>[A-Za-z_]\w*)", re.I)
@@ -279,6 +311,9 @@ def apex(text: str) -> Iterator[Fact]:
     for m in _JAVA_METHOD.finditer(bare):
         if m.group("type") not in _WORDS and around(m.start("name")):
             yield Fact("method", m.group("name"), around(m.start("name")), m.group("type"), m.group("params").strip(), _line_of(starts, m.start("name")))
+    for m in _JAVA_FIELD.finditer(bare):
+        if around(m.start("name")):
+            yield Fact("field", m.group("name"), around(m.start("name")), m.group("type"), m.group("mods").strip(), _line_of(starts, m.start("name")))
     for m in re.finditer(r"\[\s*SELECT\b[^\]]*?\bFROM\s+(\w+)", text, re.I):
         yield Fact("edge", "QUERIES", around(m.start()), m.group(1), line=_line_of(starts, m.start()))
 
@@ -396,7 +431,11 @@ def read_facts(path: str, text: str | None) -> list[Fact]:
     if reader is None or not text:
         return []
     try:
-        return list(reader(text))
+        found = list(reader(text))
+        if path.endswith(".field-meta.xml"):  # a field by itself belongs to the object that its grandparent folder is named after
+            above = path.split("/")[-3:-2]
+            found = [f._replace(owner=above[0]) if above and f.kind == "field" else f._replace(owner=f"{above[0]}.{f.owner}") if above and f.name == "REFERENCES" else f for f in found]
+        return found
     except Exception as e:  # noqa: BLE001 - one broken file must not end the job
         return [Fact("error", type(e).__name__)]
 

@@ -93,3 +93,39 @@ def test_discover_and_transcripts(spark, tmp_path):
 def test_build_system(spark):
     rows = [("a", "/a/pom.xml"), ("a", "/a/build.gradle"), ("b", "/b/setup.py"), ("c", "/c/x.c")]
     assert {tuple(r) for r in build_system(spark.createDataFrame(rows, "repo_id string, path string")).collect()} == {("a", "gradle"), ("b", "python"), ("c", "unknown")}
+
+
+def test_resource_endpoints():
+    from codequarry.sources.facts import read_facts
+
+    text = '@Path("/orders")\npublic class A {\n  @GET @Path("{id}/items/{item: \\\\d+}")\n  public Item one(@PathParam("id") int id) { return null; }\n  @Path("x") @POST\n  Item two();\n  // @DELETE void no() {}\n  @PUT\n  public void three() { }\n}\n'
+    got = [(f.name, f.owner, f.target, f.detail) for f in read_facts("A.java", text) if f.kind == "endpoint"]
+    assert [x[0].split()[0] for x in got] == ["GET", "POST", "PUT"] and [x[2] for x in got] == ["one", "two", "three"] and got[0][0].startswith("GET /orders/{id}/items/") and got[0][3].startswith("id,item") and got[1][0] == "POST /orders/x" and got[2][0] == "PUT /orders"
+
+
+def test_fields_by_themselves_and_of_trigger_code():
+    from codequarry.sources.facts import read_facts
+
+    text = '<CustomField xmlns="x"><fullName>Owner__c</fullName><type>Lookup</type><referenceTo>User</referenceTo></CustomField>'
+    got = read_facts("objects/Account/fields/Owner__c.field-meta.xml", text)
+    assert [(f.kind, f.name, f.owner, f.target) for f in got] == [("field", "Owner__c", "Account", "Lookup"), ("edge", "REFERENCES", "Account.Owner__c", "User")]
+    assert ("field", "total", "A", "Integer") in [(f.kind, f.name, f.owner, f.target) for f in read_facts("A.cls", "public with sharing class A { private Integer total = 0; void f() { } }")]
+    found = [(f.name, f.detail) for f in read_facts("a.cpp", "#include <x>\nstd::mutex a;\nstd::mutex b;\nstd::async(f);\nstd::async(g);\n") if f.kind == "concurrency"]
+    assert found == [("std::mutex", "mutex"), ("std::mutex", "mutex"), ("std::async", "async")]
+
+
+def test_modules_by_the_first_stage(spark):
+    from codequarry.sources import layout
+
+    rows = [("a", "/a/x/build.gradle"), ("a", "/a/y/pom.xml"), ("b", "/b/p/__init__.py"), ("b", "/b/p/q/__init__.py"), ("b", "/b/services/s/f.py"), ("c", "/c/apps/web/src/i.js"), ("c", "/c/readme.md"), ("c", None), ("d", "/d/f.py")]
+    df = spark.createDataFrame(rows * 2, "repo_id string, path string")
+    assert {tuple(r) for r in layout.modules(df).collect()} == {("a", "/a/x", "gradle"), ("b", "/b/p", "python"), ("c", "/c/apps/web", "services")}
+    assert layout.modules(df.limit(0)).count() == 0
+
+
+def test_routes(spark):
+    from codequarry.sources import layout
+
+    text = "import x\n\n@app.get('/a/{id}')\ndef one(id):\n    return render('pages/one.html', id=id)\n\n@bp.route('/b/<int:k>')\ndef two(k):\n    pass\n"
+    df = spark.createDataFrame([("a.py", text), ("b.py", None), ("c.py", "")], "path string, content string")
+    assert [tuple(r) for r in layout.routes(df).collect()] == [("a.py", "GET", "/a/{id}", "one", ["id"], "pages/one.html"), ("a.py", "GET", "/b/<int:k>", "two", ["k"], "")]
