@@ -2,7 +2,8 @@
 
 The sweep of one entity may be long, so it never runs in one task. Boundaries fall into buckets of time. A small table holds
 the net count of each (entity, bucket); its running sum is what a bucket starts with, and the running sum within a bucket is
-taken on top of that. A hot entity is thereby split over all its buckets.
+taken on top of that. A hot entity is thereby split over all its buckets, and since instants are counted before they meet, a
+bucket holds no more rows than it has milliseconds.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.tables import cut
+
 #: Width of a time bucket: 6 hours.
 BUCKET_MS = 6 * 3600 * 1000
 
@@ -38,7 +41,7 @@ def sweep(df: DataFrame, entity: Column, start_ms: Column, end_ms: Column, bucke
         F.struct(F.col("_e").alias("_t"), F.lit(-1).cast("long").alias("_d")),
     )))
     events = events.groupBy("_k", F.floor(F.col("_t") / bucket_ms).alias("_b"), "_t").agg(F.sum("_d").alias("_d"))
-    events = events.where("_d <> 0")
+    events = cut(events.where("_d <> 0"))  # the buckets' sums and the sweep within them both read it
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = events.groupBy("_k", "_b").agg(F.sum("_d").alias("_net"), F.min("_t").alias("_first"))
     sums = sums.select("_k", "_b", F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_carry"), F.lead("_first").over(Window.partitionBy("_k").orderBy("_b")).alias("_beyond"))

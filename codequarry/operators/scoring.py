@@ -263,3 +263,44 @@ def _signal_sql(signal: str, values: tuple) -> str:
 
 
 PATTERNS_SQL = "hits AS (" + " UNION ALL ".join(f"SELECT '{p}' AS pattern_id, repo_id, fqn, '{s}' AS signal FROM cls WHERE {_signal_sql(s, v)}" for p, signals in CATALOGUE.items() for s, v in signals.items()) + "), pat AS (SELECT pattern_id, repo_id, fqn, array_to_string(list_sort(list(DISTINCT signal)), ',') AS signals FROM hits WHERE NOT contains(fqn, '$') GROUP BY ALL)"
+
+
+#: Signals of a catalogue that are lists of words, and those that are bounds.
+WORD_SIGNALS = ("name_suffix", "name_prefix", "base_class_contains", "annotation_contains", "method_name_contains", "generated_path")
+BOUND_SIGNALS = ("method_count_gt", "field_count_gt")
+
+
+def detected_patterns(cls: DataFrame, mth: DataFrame, fld: DataFrame, edges: DataFrame, languages: DataFrame, catalogue: dict[str, dict]) -> DataFrame:
+    """(repo_id, pattern_id, fqn, signals): classes of each pattern of a catalogue, with the names of the signals that hit.
+
+    catalogue: by pattern its signals and, as ``language``, the one that it is for (any without). A list hits with any of its words;
+    ``generated_path`` counts only with a hit of ``name_suffix`` where the pattern has both; the bounds of methods and fields hit
+    together. languages: repo_id, language. edges: repo_id, type, source, target. Inner classes ($) are left out.
+    """
+    base = edges.where("type in ('EXTENDS', 'IMPLEMENTS')").select("repo_id", F.col("source").alias("fqn"), F.substring_index("target", ".", -1).alias("base")).groupBy("repo_id", "fqn").agg(F.collect_set("base").alias("bases"))
+    m = mth.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.collect_set("name").alias("methods"), F.count("*").alias("n_methods"))
+    f = fld.groupBy("repo_id", F.col("class_fqn").alias("fqn")).agg(F.countDistinct("name").alias("n_fields"))
+    own = cls.where(~F.col("fqn").contains("$")).select("repo_id", "fqn", "name", "file_path", "annotations").join(base, ["repo_id", "fqn"], "left").join(m, ["repo_id", "fqn"], "left").join(f, ["repo_id", "fqn"], "left").join(languages, "repo_id", "left")
+    within = lambda c, v: F.coalesce(F.exists(c, lambda x: x.contains(v)), F.lit(False))
+    word = {
+        "name_suffix": lambda v: F.col("name").endswith(v), "name_prefix": lambda v: F.col("name").startswith(v), "generated_path": lambda v: F.col("file_path").contains(v),
+        "base_class_contains": lambda v: within("bases", v), "annotation_contains": lambda v: within("annotations", v), "method_name_contains": lambda v: within("methods", v),
+    }
+    counts = {"method_count_gt": F.coalesce("n_methods", F.lit(0)), "field_count_gt": F.coalesce("n_fields", F.lit(0))}
+    hits = []
+    for pattern, signals in catalogue.items():
+        here = F.lit(True) if signals.get("language", "any") == "any" else F.coalesce(F.col("language") == signals["language"], F.lit(False))
+        test = {}
+        for s in (s for s in WORD_SIGNALS if s in signals):
+            test[s] = F.lit(False)
+            for v in signals[s]:
+                test[s] = test[s] | word[s](v)
+        if "generated_path" in test and "name_suffix" in test:
+            both = test.pop("generated_path") & test.pop("name_suffix")
+            test["generated_path"] = both
+        bounds = [counts[s] > signals[s] for s in BOUND_SIGNALS if s in signals]
+        if bounds:
+            test["counts"] = bounds[0] if len(bounds) == 1 else bounds[0] & bounds[1]
+        hits += [F.when(here & t, F.struct(F.lit(pattern).alias("pattern_id"), F.lit(s).alias("signal"))) for s, t in test.items()]
+    found = own.select("repo_id", "fqn", F.explode(F.array_compact(F.array(*hits))).alias("x"))
+    return found.groupBy("repo_id", "x.pattern_id", "fqn").agg(F.array_join(F.sort_array(F.collect_set("x.signal")), ",").alias("signals"))

@@ -35,7 +35,20 @@ def god_class_pattern(spark: SparkSession, d: str) -> DataFrame:
     return scoring.god_classes(g.cls, g.mth, g.fld, 30, 3)
 
 
-QUERIES = {f.__name__: f for f in (detected, detected_report, god_class_pattern)}
+CATALOGUE = {
+    "service": {"name_suffix": ("Service", "Manager")}, "controller": {"name_suffix": ("Controller",), "annotation_contains": ("Service",), "language": "java"}, "handler": {"name_suffix": ("Handler",), "method_name_contains": ("handle",)}, "inheritor": {"base_class_contains": ("Config", "Factory"), "language": "script"},
+    "written_config": {"generated_path": ("/core/",), "name_suffix": ("Config", "Dto")}, "red": {"name_prefix": ("Red",)}, "god_class": {"method_count_gt": 30, "field_count_gt": 3},
+}
+
+
+def patterns_by_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of each pattern of a catalogue with signals of every kind; a repository's language is r0's java, the others' script."""
+    cls = model.classes(spark, d)
+    languages = cls.select("repo_id").distinct().withColumn("language", F.when(F.col("repo_id") == "r0", "java").otherwise("script"))
+    return scoring.detected_patterns(cls, model.methods(spark, d), model.fields(spark, d), model.edges(spark, d), languages, CATALOGUE)
+
+
+QUERIES = {f.__name__: f for f in (detected, detected_report, god_class_pattern, patterns_by_signals)}
 
 _NT = "NOT contains({0}, 'Test') AND NOT contains({0}, 'test')"
 _NATIVE = "kind IN ('class', 'struct', 'template_class')"
@@ -78,3 +91,10 @@ SQL = {
     "detected_report": _FOUND + " SELECT policy, severity, repo_id, count(DISTINCT violator) AS n, array_to_string(list_sort(list(DISTINCT violator))[1:5], ',') AS samples FROM found GROUP BY policy, severity, repo_id",
     "god_class_pattern": model.CTE + " " + _GOD.format(30, 3),
 }
+_BASES = "fqn IN (SELECT source FROM edge WHERE type <> 'IMPORTS' AND (contains(split_part(target, '.', -1), 'Config') OR contains(split_part(target, '.', -1), 'Factory')))"
+_SIGNAL = (
+    ("service", "name_suffix", "name LIKE '%Service' OR name LIKE '%Manager'"), ("controller", "name_suffix", "repo_id = 'r0' AND name LIKE '%Controller'"), ("controller", "annotation_contains", "repo_id = 'r0' AND len(list_filter(coalesce(annotations, []), lambda a: contains(a, 'Service'))) > 0"), ("handler", "name_suffix", "name LIKE '%Handler'"),
+    ("handler", "method_name_contains", "fqn IN (SELECT class_fqn FROM mth WHERE contains(name, 'handle'))"), ("inheritor", "base_class_contains", f"repo_id <> 'r0' AND {_BASES}"), ("written_config", "generated_path", "contains(file_path, '/core/') AND (name LIKE '%Config' OR name LIKE '%Dto')"), ("red", "name_prefix", "starts_with(name, 'Red')"),
+    ("god_class", "counts", "fqn IN (SELECT class_fqn FROM mth GROUP BY 1 HAVING count(*) > 30) AND fqn IN (SELECT class_fqn FROM fld GROUP BY 1 HAVING count(DISTINCT name) > 3)"),
+)
+SQL["patterns_by_signals"] = model.CTE + ", h AS (" + " UNION ALL ".join(f"SELECT repo_id, '{p}' AS pattern_id, fqn, '{s}' AS s FROM cls WHERE {t}" for p, s, t in _SIGNAL) + ") SELECT repo_id, pattern_id, fqn, array_to_string(list_sort(list(DISTINCT s)), ',') AS signals FROM h GROUP BY ALL"

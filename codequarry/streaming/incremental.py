@@ -54,31 +54,62 @@ def once(rows: DataFrame, keys: list[str], late: str = "1 hour", at: str = "ts")
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the newest row of each key below ``path``, one version a batch.
+#: Parts by key into which an upserted table is cut; a batch writes those anew that it has rows of.
+BUCKETS = 64
 
-    A batch that is run again after a failure writes the same version, so its effect is had once.
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The batches that wrote each bucket below ``path``, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/n=*/b=*")
+    found: dict[int, list[int]] = {}
+    for status in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or ():
+        at = status.getPath()
+        found.setdefault(int(at.getName()[2:]), []).append(int(at.getParent().getName()[2:]))
+    return {b: sorted(n) for b, n in found.items()}
+
+
+def _held(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> list[str]:
+    """The folders of the newest version of each bucket, of those that batches earlier than ``before`` wrote."""
+    out = []
+    for b, numbers in _versions(spark, path).items():
+        numbers = [n for n in numbers if before is None or n < before]
+        if numbers and (buckets is None or b in buckets):
+            out.append(f"{path}/n={numbers[-1]}/b={b}")
+    return out
+
+
+def upsert_into(path: str, keys: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the newest row of each key below ``path``.
+
+    The table lies in buckets by key. A batch reads and writes only the buckets that it has keys of, as its own version of them;
+    older versions go, but for the one before. A batch that is run again after a failure reads the same earlier versions and
+    writes the same, so its effect is had once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = graph.upsert(batch.limit(0), batch, keys, order)
-        if number:
-            new = graph.upsert(spark.read.parquet(f"{path}/v={number - 1}"), batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = graph.upsert(batch.limit(0), batch, keys, order).withColumn("b", bucket).persist()
+        touched = {r["b"] for r in new.select("b").distinct().collect()}  # at most ``buckets``
+        held = _held(spark, path, number, touched)
+        both = graph.upsert(spark.read.schema(batch.schema).parquet(*held), new.drop("b"), keys, order).withColumn("b", bucket) if held else new
+        both.repartition("b").write.partitionBy("b").mode("overwrite").parquet(f"{path}/n={number}")
+        new.unpersist()
+        for b, numbers in _versions(spark, path).items():
+            for n in [n for n in numbers if n < number][:-1]:
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/n={n}/b={b}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return apply
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key of a stream, by upserts batch after batch."""
+    """The newest row of each key of a stream, by upserts batch after batch. A stream without rows gives none."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    query = df.writeStream.foreachBatch(upsert_into(f"{base}/out", keys, order)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress
-    number = last["batchId"] if last and last["numInputRows"] else (last["batchId"] - 1 if last else 0)
-    return spark.read.parquet(f"{base}/out/v={max(number, 0)}")
+    df.writeStream.foreachBatch(upsert_into(f"{base}/out", keys, order)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    held = _held(spark, f"{base}/out")
+    return spark.read.schema(df.schema).parquet(*held) if held else spark.createDataFrame([], df.schema)
 
 
 def _moves(key: tuple, batches: Iterator, state) -> Iterator:
