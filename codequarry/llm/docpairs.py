@@ -63,7 +63,15 @@ class _Own:
 
 def sentences(doc: str) -> list[str]:
     """The sentences of a comment, those of its tags without the tag; author, version and inheritance marks are left out."""
-    doc = re.sub(r"\{@\w+\s*([^}]*)\}", r"\1", re.sub(r"(?i)\{?@inheritdoc\}?|\(non-javadoc\)", " ", re.sub(r"\r\n?", "\n", doc)))
+    if "\r" in doc:
+        doc = re.sub(r"\r\n?", "\n", doc)
+    low = doc.lower()
+    if "inheritdoc" in low or "non-javadoc" in low:
+        doc = re.sub(r"(?i)\{?@inheritdoc\}?|\(non-javadoc\)", " ", doc)
+    if "{@" in doc:
+        doc = re.sub(r"\{@\w+\s*([^}]*)\}", r"\1", doc)
+    if not any(c in doc for c in "@:\\"):
+        return [s.strip() for s in _SENTENCE.split(doc) if s.strip()]
     out = []
     for m in _TAG.finditer(doc):
         if m.group(1) in _SKIPPED_TAGS:
@@ -86,6 +94,12 @@ def residue(sentence: str, own: _Own) -> list[str]:
     return [w for w in _words(sentence) if len(w) > 1 and w not in GENERIC and w not in PLACEHOLDER and not own.has(w)]
 
 
+def _in_order(named: list[str], words: list[str]) -> bool:
+    """Whether words restate all of a name's words in their order."""
+    spots = iter(words)
+    return all(any(one.has(w) for w in spots) for one in [_Own({n}) for n in named])
+
+
 def judge(doc: str | None, name: str, parameters: list[str] | None, return_type: str | None) -> list[tuple[str, bool]]:
     """(template, named) of each sentence that says something by itself, ``named`` if it holds the method's whole name.
 
@@ -99,9 +113,9 @@ def judge(doc: str | None, name: str, parameters: list[str] | None, return_type:
     for s in sentences(doc):
         if residue(s, own):
             words = parts(s)
-            spots = iter(words)
-            whole = len(named) > 1 and all(any(_Own({n}).has(w) for w in spots) for n in named)
-            out.append((" ".join("_" if own.has(w) else w for w in words), whole))
+            held = [own.has(w) for w in words]
+            whole = len(named) > 1 and sum(held) >= len(named) and _in_order(named, [w for w, h in zip(words, held) if h])
+            out.append((" ".join("_" if h else w for w, h in zip(words, held)), whole))
     return out
 
 

@@ -34,6 +34,10 @@ _PY_TOKEN = re.compile(
 )
 
 
+#: The same patterns for texts of plain letters alone, whose classes are quicker to test.
+_PLAIN = {p: re.compile(p.pattern, (p.flags & ~re.UNICODE) | re.ASCII) for p in (_TOKEN, _PY_TOKEN)}
+
+
 class Token(NamedTuple):
     kind: str
     text: str
@@ -136,35 +140,43 @@ class _Stream:
     """Tokens without white space, made as far as they are asked for, and for each index the comment that comes last before it."""
 
     def __init__(self, text: str, pattern: re.Pattern, pos: int = 0, line: int = 1, bol: int = 0):
-        self.text, self.pattern, self.tokens, self.comments = text, pattern, [], {}
-        self.line, self.bol, self.pos = line, bol, pos
-        self._found = pattern.finditer(text, pos)
+        self.text, self.python, self.tokens, self.comments = text, pattern is _PY_TOKEN, [], {}
+        self.line, self.bol = line, bol
+        self.pattern = _PLAIN[pattern] if text.isascii() else pattern
+        self._found = self.pattern.finditer(text, pos)
 
     def more(self) -> bool:
         """Add tokens up to the next brace or semicolon, in Python up to the next line end; False at the end of the text."""
-        add, new, text, python = self.tokens.append, tuple.__new__, self.text, self.pattern is _PY_TOKEN
+        add, new, text, python = self.tokens.append, tuple.__new__, self.text, self.python
         before = len(self.tokens)
+        line, bol = self.line, self.bol
         for m in self._found:
             kind = m.lastgroup
             start, end = m.span(kind)
-            self.pos = end
             if kind == "nl":
-                self.line, self.bol = self.line + 1, end
+                line, bol = line + 1, end
                 if python:
-                    add(new(Token, ("nl", "\n", self.line - 1, start, end, start - self.bol)))
+                    add(new(Token, ("nl", "\n", line - 1, start, end, start - bol)))
                     break
                 continue
             s = text[start:end]
-            token = new(Token, (kind, s, self.line, start, end, start - self.bol))
+            if kind == "id":
+                add(new(Token, (kind, s, line, start, end, start - bol)))
+                continue
+            token = new(Token, (kind, s, line, start, end, start - bol))
+            if kind == "op":
+                add(token)
+                if s in _BREAKS and not python:
+                    break
+                continue
             if kind in _COMMENTS:
                 self.comments[len(self.tokens)] = token
             else:
                 add(token)
             if kind in _LONG and ("\n" in s or "\r" in s):
-                self.line += len(_LINE_END.findall(s))
-                self.bol = start + max(s.rfind("\n"), s.rfind("\r")) + 1
-            if s in _BREAKS and not python:
-                break
+                line += len(_LINE_END.findall(s))
+                bol = start + max(s.rfind("\n"), s.rfind("\r")) + 1
+        self.line, self.bol = line, bol
         return len(self.tokens) > before
 
     def go(self, keep: int, pos: int) -> None:
@@ -176,7 +188,6 @@ class _Stream:
         passed = self.text[from_:pos]
         self.line = line + (len(_LINE_END.findall(passed)) if "\r" in passed else passed.count("\n"))
         self.bol = max(self.text.rfind("\n", 0, pos), self.text.rfind("\r", 0, pos)) + 1
-        self.pos = pos
         self._found = self.pattern.finditer(self.text, pos)
 
 
