@@ -310,5 +310,13 @@ def p7_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag(_calls(spark, sf_dir), every=True)
 
 
-QUERIES = {"p7_found": p7_found, "p7_triggered": p7_triggered}
-SQL: dict[str, str] = {}
+def p7_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls without an answer, or with a stand-in for one."""
+    return flag(_calls(spark, sf_dir), every=True).where("defect = 'empty'").select("call_id")
+
+
+_BARE = "lower(trim(trim(regexp_replace(output_text, '[\\s\u200b\u200c\u200d\u2060\ufeff\u00ad`\\x00-\\x1f]+', ' ', 'g')), '\"''`<>[](){} '))"
+QUERIES = {"p7_found": p7_found, "p7_triggered": p7_triggered, "p7_empty": p7_empty}
+SQL = {
+    "p7_empty": f"SELECT DISTINCT id AS call_id FROM (SELECT *, {_BARE} AS b FROM llm_calls) WHERE regexp_matches(input_text, '\\S') AND id IS NOT NULL AND (output_text IS NULL OR NOT regexp_matches(b, '[\\p{{L}}\\p{{N}}]') OR rtrim(b, '.!') IN ({', '.join(repr(x) for x in sorted(STAND_INS))}) OR regexp_matches(b, '^(answer|output|response|result)\\s*:\\s*$'))",
+}

@@ -186,5 +186,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.where("kind is not null").select("repo_id", "path")
 
 
-QUERIES = {"p5_found": p5_found, "p5_kinds": p5_kinds}
-SQL: dict[str, str] = {}
+def p5_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and modules whose path alone tells their kind."""
+    files = read(spark, sf_dir, "source_files", "repo_id", F.col("file_path").alias("path"))
+    both = files.unionByName(read(spark, sf_dir, "modules", "repo_id", "path")).where("path is not null").distinct()
+    return both.select("repo_id", "path", path_kind(F.col("path")).alias("kind")).where("kind is not null")
+
+
+def _names_sql(names) -> str:
+    return "|".join(re.escape(x.lower()) for x in names)
+
+
+_OUTSIDE = "regexp_replace(lower(path), '((?:^|/)src/(?:main|test)/(?:java|kotlin|scala|groovy)/).*(/[^/]*)$', '\\1\\2')"
+_DIR_SQL = "(regexp_matches(lower(path), '(^|/)({0})(/|$)') OR regexp_matches({2}, '(^|/)({1})(/|$)'))"
+_DIRS = [_DIR_SQL.format(_names_sql(x for x in dirs if x not in PLAIN_DIRS), _names_sql(x for x in dirs if x in PLAIN_DIRS), _OUTSIDE) for dirs in (VENDORED_DIRS, GENERATED_DIRS)]
+QUERIES = {"p5_found": p5_found, "p5_kinds": p5_kinds, "p5_by_path": p5_by_path}
+SQL = {
+    "p5_by_path": f"SELECT * FROM (SELECT repo_id, path, CASE WHEN {_DIRS[0]} OR regexp_matches(lower(path), '(^|/)libs?/[^/]+-[0-9]+\\.[0-9]+(\\.[0-9]+)?(/|$)') THEN 'vendored' WHEN regexp_matches(lower(path), '({_names_sql(MINIFIED_SUFFIXES)})$') THEN 'minified' "
+    f"WHEN {_DIRS[1]} OR regexp_matches(path, '({'|'.join(re.escape(x) for x in GENERATED_SUFFIXES)})$') OR regexp_matches(lower(path), '(^|/)({_names_sql(LOCK_FILES)})$') THEN 'generated' END AS kind FROM (SELECT repo_id, file_path AS path FROM source_files UNION SELECT repo_id, path FROM modules) WHERE path IS NOT NULL) WHERE kind IS NOT NULL",
+}
