@@ -48,4 +48,15 @@ SQL = {
         OVER (PARTITION BY repo_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
         SELECT repo_id, min(a) AS period_start_ms, max(b) AS period_end_ms FROM g GROUP BY repo_id, island""",
 }
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p4_found": p4_found, "p4_entries": p4_entries}
+
+
+def p4_logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of one layout, whose lines begin with time=, and their levels, by scan."""
+    e = logparse.entries(read(spark, sf_dir, "scan_log", "id", "started_at", "finished_at", "logs")).where("layout = 'logfmt'")
+    return e.groupBy("scan_id", "log_level").agg(F.count("*").alias("n"))
+
+
+_ONE = f"(SELECT id, logs FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finished_at IS NOT NULL DESC, length(logs) DESC, {_MS.format('started_at')} DESC NULLS LAST, logs DESC) AS k FROM scan_log WHERE logs <> '') WHERE k = 1)"
+SQL["p4_logfmt"] = f"""SELECT scan_id, CASE l WHEN 'warning' THEN 'WARN' WHEN 'warn' THEN 'WARN' WHEN 'err' THEN 'ERROR' WHEN 'crit' THEN 'FATAL' WHEN 'critical' THEN 'FATAL' WHEN 'fatal' THEN 'FATAL' ELSE upper(l) END AS log_level, count(*) AS n
+    FROM (SELECT id AS scan_id, lower(regexp_extract(line, 'level=(\\w+)', 1)) AS l FROM (SELECT id, regexp_replace(unnest(regexp_split_to_array(logs, '\\r\\n|\\n|\\r')), '\\x1b\\[[0-9;]*m', '', 'g') AS line FROM {_ONE}) WHERE regexp_matches(line, '^time=[0-9]{{4}}-')) GROUP BY ALL"""
+QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p4_found": p4_found, "p4_entries": p4_entries, "p4_logfmt": p4_logfmt}
