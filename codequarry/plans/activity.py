@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.times import iso_ms
 from codequarry.operators import paths, signals
+from codequarry.plans.code import imported
 from codequarry.tables import read
 
 _MS = "CAST(epoch_ms(CAST(CASE WHEN regexp_matches({0}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN {0} ELSE {0} || 'Z' END AS TIMESTAMPTZ)) AS BIGINT)"
@@ -188,17 +189,18 @@ def question_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def log_classes(spark: SparkSession, d: str) -> DataFrame:
     """Lines of scan logs by what they tell, and whether a scan is a storm of errors."""
-    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null").distinct()
-    lines = s.select("id", F.explode(F.split("logs", r"\r\n|\n|\r")).alias("line"))
-    got = lines.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("line").rlike("(?i)\\b(error|fatal|critical)\\b")).alias("n_errors"), F.count_if(F.col("line").rlike("(?i)\\bwarn(ing)?\\b")).alias("n_warnings"), F.count_if(F.col("line").rlike("^\\s*at |^Traceback|Exception")).alias("n_traces"))
+    lines = F.split("logs", r"\r\n|\n|\r")
+    holds = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))).cast("long")
+    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null").select("id", F.xxhash64("logs").alias("h"), F.size(lines).cast("long").alias("n"), holds("(?i)\\b(error|fatal|critical)\\b").alias("n_errors"), holds("(?i)\\bwarn(ing)?\\b").alias("n_warnings"), holds("^\\s*at |^Traceback|Exception").alias("n_traces")).distinct()
+    got = s.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", "n_errors", "n_warnings", "n_traces")])  # different logs of one scan add up
     return got.withColumn("storm", F.col("n_errors") * 2 > F.col("n"))
 
 
 def scan_progress(spark: SparkSession, d: str) -> DataFrame:
     """The last number of parsed files that a log tells."""
-    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null").distinct()
     found = F.regexp_extract_all("logs", F.lit(r"Parsed (\d+) files"), F.lit(1))
-    return s.select("id", F.size(found).cast("long").alias("n_steps"), F.try_element_at(found, F.lit(-1)).cast("long").alias("last_parsed")).where("n_steps > 0")
+    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null")
+    return s.select("id", F.size(found).cast("long").alias("n_steps"), F.try_element_at(found, F.lit(-1)).cast("long").alias("last_parsed")).where("n_steps > 0").distinct()
 
 
 def scan_status(spark: SparkSession, d: str) -> DataFrame:
@@ -218,9 +220,8 @@ def _around(spark, d):
     docs = read(spark, d, "documents", F.col("doc_id").alias("commit_sha"), "text").where("text is not null")
     names = docs.select("commit_sha", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1)))).alias("name"))
     cls = read(spark, d, "symbols", "display_name", "kind", "file_path").where("kind = 'class'").select(F.col("display_name").alias("name"), "file_path").distinct()
-    files = read(spark, d, "source_files", "file_path", "content").where("content is not null").distinct()
-    imported = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:import [\w.]*\.|import \{ |from \w+ import )([A-Z]\w*)"), F.lit(1)))).alias("target"))
-    uses = imported.join(cls, "file_path").where("name <> target").select("target", F.col("name").alias("by")).distinct()
+    found = imported(spark, d, True).select("file_path", "target").distinct()
+    uses = found.join(cls, "file_path").where("name <> target").select("target", F.col("name").alias("by")).distinct()
     direct = names.join(cls.select("name").distinct(), "name").distinct()
     hop = lambda df: df.join(uses, df["name"] == uses["target"]).select("commit_sha", F.col("by").alias("name")).distinct()
     callers = hop(direct)

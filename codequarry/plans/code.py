@@ -41,6 +41,16 @@ def _src(spark, d, *columns):
     return read(spark, d, "source_files", *(columns or ("repo_id", "file_path", "language", "content"))).distinct()
 
 
+def imported(spark: SparkSession, d: str, simple: bool = False) -> DataFrame:
+    """(repo_id, file_path, target): the imports of each file, each place a row; with ``simple`` the last names of imports of any language.
+
+    The texts end here: what repeated rows are told apart by, and what is shuffled for it, are the names.
+    """
+    pattern = r"(?:import [\w.]*\.|import \{ |from \w+ import )([A-Z]\w*)" if simple else r"import ([a-z][\w.]*\.[A-Z]\w*);"
+    found = read(spark, d, "source_files", "repo_id", "file_path", "content").where("content is not null").select("repo_id", "file_path", F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("targets"))
+    return found.where(F.size("targets") > 0).distinct().select("repo_id", "file_path", F.explode("targets").alias("target"))
+
+
 def types_per_package(spark: SparkSession, d: str) -> DataFrame:
     return _cls(spark, d).groupBy("repo_id", "package_fqn").agg(F.count("*").alias("n_types"))
 
@@ -90,9 +100,10 @@ def annotated_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of classes of one repository with one simple name, the smaller fqn first."""
+    """Classes that share their simple name with others of their repository: each with the first of them and their number."""
     c = _cls(spark, d).select("repo_id", "name", "fqn").distinct()
-    return c.withColumnRenamed("fqn", "a").join(c.withColumnRenamed("fqn", "b"), ["repo_id", "name"]).where("a < b").select("repo_id", "name", "a", "b")
+    groups = c.groupBy("repo_id", "name").agg(F.min("fqn").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return c.join(groups, ["repo_id", "name"]).select("repo_id", "name", "fqn", "first", "n")
 
 
 def overloads(spark: SparkSession, d: str) -> DataFrame:
@@ -132,8 +143,7 @@ def module_dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
 
     A class depends on the package that an import of its file names; groups are the last parts of packages.
     """
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null")
-    imports = files.select("repo_id", "file_path", F.explode(F.regexp_extract_all("content", F.lit(r"import ([a-z][\w.]*\.[A-Z]\w*);"), F.lit(1))).alias("target"))
+    imports = imported(spark, d)
     own = _cls(spark, d).select("repo_id", "file_path", "package_fqn").distinct()
     edges = imports.join(own, ["repo_id", "file_path"]).select(graph.simple_name(F.col("package_fqn")).alias("from_group"), graph.simple_name(graph.package_of(F.col("target"))).alias("to_group"))
     return edges.where("from_group <> to_group").groupBy("from_group", "to_group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_group", "to_group").limit(40)
@@ -141,22 +151,19 @@ def module_dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def import_fan(spark: SparkSession, d: str) -> DataFrame:
     """Fan-out of files and fan-in of imported packages, from one distinct scan of imports."""
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null")
-    imports = files.select("file_path", F.explode(F.regexp_extract_all("content", F.lit(r"import ([a-z][\w.]*\.[A-Z]\w*);"), F.lit(1))).alias("target")).distinct()
+    imports = imported(spark, d).select("file_path", "target").distinct()
     package = imports.select("file_path", graph.package_of(F.col("target")).alias("package_fqn"))
     return package.groupBy("package_fqn").agg(F.count("*").alias("n_imports"), F.countDistinct("file_path").alias("fan_in"))
 
 
 def external_stubs(spark: SparkSession, d: str) -> DataFrame:
     """Imported names that no class of the repository bears: they become stub nodes, each once."""
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null")
-    targets = files.select("repo_id", F.explode(F.regexp_extract_all("content", F.lit(r"import ([a-z][\w.]*\.[A-Z]\w*);"), F.lit(1))).alias("fqn")).distinct()
+    targets = imported(spark, d).select("repo_id", F.col("target").alias("fqn")).distinct()
     return targets.join(_cls(spark, d).select("repo_id", "fqn"), ["repo_id", "fqn"], "left_anti").select("repo_id", "fqn", graph.simple_name(F.col("fqn")).alias("name"), graph.package_of(F.col("fqn")).alias("package_fqn"))
 
 
 def _raw_names(spark, d):
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null")
-    names = files.select("repo_id", "file_path", F.explode(F.regexp_extract_all("content", F.lit(r"(?:import [\w.]*\.|import \{ |from \w+ import )([A-Z]\w*)"), F.lit(1))).alias("name"))
+    names = imported(spark, d, True).withColumnRenamed("target", "name")
     own = _cls(spark, d).select("repo_id", "file_path", F.col("fqn").alias("source")).distinct()
     return names.join(own, ["repo_id", "file_path"]).select("repo_id", "source", "name").distinct()
 
@@ -344,8 +351,7 @@ def loc_and_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def cross_layer_imports(spark: SparkSession, d: str) -> DataFrame:
     """Imports from a web package into a store package, which layers forbid."""
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null and file_path like '%/web/%'")
-    targets = files.select("repo_id", "file_path", F.explode(F.regexp_extract_all("content", F.lit(r"import ([a-z][\w.]*\.[A-Z]\w*);"), F.lit(1))).alias("target"))
+    targets = imported(spark, d).where("file_path like '%/web/%'")
     return targets.where(F.col("target").rlike(r"^com\.[a-z]+\.(archive|ledger|quota)\.")).select("repo_id", "file_path", "target").distinct()
 
 
@@ -405,7 +411,7 @@ SQL = {k: _CTE + v for k, v in {
     "classes_without_methods": "SELECT DISTINCT repo_id, fqn FROM cls c WHERE NOT EXISTS (SELECT 1 FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn)",
     "classes_with_static_methods": "SELECT DISTINCT repo_id, fqn, name FROM cls c WHERE EXISTS (SELECT 1 FROM mth m WHERE m.repo_id = c.repo_id AND m.class_fqn = c.fqn AND list_contains(m.modifiers, 'static'))",
     "annotated_members": "SELECT repo_id, fqn, len(annotations) AS n_annotations FROM mth WHERE len(list_filter(annotations, lambda a: contains(a, 'Cache') OR contains(a, 'Transactional'))) > 0",
-    "duplicate_names": "SELECT DISTINCT a.repo_id, a.name, a.fqn AS a, b.fqn AS b FROM cls a JOIN cls b ON a.repo_id = b.repo_id AND a.name = b.name AND a.fqn < b.fqn",
+    "duplicate_names": "SELECT repo_id, name, fqn, first, n FROM (SELECT *, min(fqn) OVER w AS first, count(*) OVER w AS n FROM (SELECT DISTINCT repo_id, name, fqn FROM cls) WINDOW w AS (PARTITION BY repo_id, name)) WHERE n > 1",
     "overloads": "SELECT repo_id, fqn, count(*) AS n FROM mth GROUP BY ALL HAVING count(*) > 1",
     "public_undocumented": "SELECT repo_id, class_fqn, count(*) AS n FROM mth WHERE list_contains(modifiers, 'public') AND docstring IS NULL GROUP BY ALL HAVING count(*) >= 3",
     "module_class_counts": "SELECT m.repo_id, m.path, count(f.file_path) AS n_files FROM (SELECT DISTINCT repo_id, path FROM mod) m LEFT JOIN (SELECT DISTINCT repo_id, file_path FROM src) f ON f.repo_id = m.repo_id AND starts_with(f.file_path, m.path || '/') GROUP BY ALL",

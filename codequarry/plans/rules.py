@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from codequarry import graph
 from codequarry.operators import policies
-from codequarry.plans.code import _CTE, _IMPORTS, _cls, _fld, _mod, _mth, _src
+from codequarry.plans.code import _CTE, _IMPORTS, _cls, _fld, _mod, _mth, _src, imported
 from codequarry.tables import read
 
 
 def _graph(spark: SparkSession, d: str) -> policies.Graph:
-    files = _src(spark, d, "repo_id", "file_path", "content").where("content is not null")
-    imports = files.select("repo_id", "file_path", F.explode(F.regexp_extract_all("content", F.lit(r"import ([a-z][\w.]*\.[A-Z]\w*);"), F.lit(1))).alias("target"))
-    return policies.Graph(_cls(spark, d), _mth(spark, d), _fld(spark, d), imports)
+    return policies.Graph(_cls(spark, d), _mth(spark, d), _fld(spark, d), imported(spark, d))
 
 
 def policy_violations_union(spark: SparkSession, d: str) -> DataFrame:

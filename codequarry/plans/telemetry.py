@@ -90,10 +90,10 @@ def insights_of_modules(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_stages(spark: SparkSession, d: str) -> DataFrame:
     """State of each stage of a scan by what its log tells: done if a later one began, running if it is the last, else waiting."""
-    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null").distinct()
+    s = read(spark, d, "scan_log", "id", "logs").where("logs is not null")
     low = F.lower("logs")
     rows = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("stage"), (F.instr(low, word) > 0).alias("begun")) for k, (name, word) in enumerate(STAGES)])
-    each = s.select("id", F.inline(rows))
+    each = s.select("id", rows.alias("rows")).distinct().select("id", F.inline("rows"))  # repeated rows are told apart by the stages
     last = F.max(F.when(F.col("begun"), F.col("place"))).over(Window.partitionBy("id"))
     return each.withColumn("last", last).select("id", "stage", F.when(F.col("begun") & (F.col("place") < F.col("last")), "done").when(F.col("begun"), "running").otherwise("waiting").alias("state"))
 
