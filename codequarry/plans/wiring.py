@@ -257,9 +257,14 @@ def refactor_order(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).orderBy(F.desc("benefit"), "fqn").limit(50).select("fqn", "benefit", F.array_join("reasons", ",").alias("reasons"))
 
 
+def refactor_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every class with the reasons to refactor it, by rank."""
+    return _scored(spark, d).where(F.size("reasons") > 0).select("fqn", "tier", F.array_join("reasons", ",").alias("reasons"))
+
+
 QUERIES = {f.__name__: f for f in (
     rules_in_words, change_components, change_summary, supertypes_resolved, calls_resolved, tests_by_name, field_types_resolved, path_parameters, patterns_replaced, pattern_catalogue, insights_aged, insight_links, policy_targets, module_pairs, enriched_list, changed_with_importers, packages_by_relation, edge_upsert,
-    annotations_appended, text_search, entry_points, class_pages, hygiene_scores, hygiene_scores_repo, refactor_order,
+    annotations_appended, text_search, entry_points, class_pages, hygiene_scores, hygiene_scores_repo, refactor_order, refactor_reasons,
 )}
 
 _C = model.CTE
@@ -327,3 +332,6 @@ SQL |= {
     "hygiene_scores": _C + _FAN + " SELECT repo_id, fqn, n_methods, fan_in, fan_out, blast_size, size_score, blast_score, coupling_score, docs_score, score, grade, tier, n_warnings FROM sc",
     "hygiene_scores_repo": _C + _FAN + ", r AS (SELECT repo_id, count(*) AS n_classes, count(*) FILTER (NOT is_test) AS n_scored, count(*) FILTER (tier = 'god') AS n_god, sum(score) FILTER (NOT is_test) AS s, sum(tok) FILTER (NOT is_test) AS tokens, " + ", ".join(f"count(*) FILTER (NOT is_test AND grade = '{g}') AS n_{g.lower()}" for g in "ABCDF") + " FROM sc GROUP BY repo_id), q AS (SELECT *, least(20, 2 * greatest(0, n_god - greatest(1, round_even(n_classes * 0.01, 0)))) AS penalty FROM r), z AS (SELECT *, round_even(greatest(0.0, s / greatest(n_scored, 1) - penalty), 1) AS score FROM q) SELECT repo_id, n_classes, n_scored, n_god, CAST(penalty AS BIGINT) AS penalty, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade, n_a, n_b, n_c, n_d, n_f, CAST(tokens AS BIGINT) AS tokens FROM z",
 }
+_REASONS = (("tier = 'god'", "0", "god_class"), ("tier = 'large'", "1", "large_class"), ("coupling > 0.35", "CASE WHEN coupling > 0.6 THEN 0 ELSE 1 END", "high_coupling"), ("blast_size > 50", "0", "high_blast"), ("blast_size > 20 AND blast_size <= 50", "1", "medium_blast"), ("doc = 0", "1", "missing_docs"), ("n_methods > 20 AND tier <> 'god'", "2", "too_many_methods"))
+_LISTED = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {t} THEN CAST(({r}) AS VARCHAR) || '{k}' || ['high', 'medium', 'low'][({r}) + 1] || ':{name}' END" for k, (t, r, name) in enumerate(_REASONS)) + "], lambda x: x IS NOT NULL))"
+SQL["refactor_reasons"] = _C + _FAN + f" SELECT fqn, tier, array_to_string(list_transform({_LISTED}, lambda x: x[3:]), ',') AS reasons FROM sc WHERE len({_LISTED}) > 0"
