@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.tables import cut
+from codequarry.tables import cut, release
 
 #: Rounds between two checkpoints.
 CUT_EVERY = 4
@@ -57,9 +57,11 @@ def blast_sizes(edges: DataFrame, stop: int = 500) -> DataFrame:
             return sizes.select("node", F.least("size", F.lit(stop)).alias("size"))
         found.append(front)
         if len(found) > CUT_EVERY:
-            found = [cut(reduce(DataFrame.unionByName, found))]
+            found, old = [cut(reduce(DataFrame.unionByName, found))], found
+            release(*[x for x in old if x is not back and x is not front])
         heirs = front.join(full.withColumnRenamed("node", "by"), "by", "left_semi").select("node", F.lit(stop).cast("long").alias("size")).distinct()
-        sizes = cut(sizes.unionByName(count(front)).unionByName(heirs).groupBy("node").agg(F.sum("size").alias("size")))
+        sizes, old_sizes = cut(sizes.unionByName(count(front)).unionByName(heirs).groupBy("node").agg(F.sum("size").alias("size"))), sizes
+        release(old_sizes)
 
 
 def dependents(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:

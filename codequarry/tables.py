@@ -77,7 +77,23 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(forget)
     _CUTS.append(path)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._cut = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that no plan will read any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path in _CUTS:
+            _CUTS.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget() -> None:
@@ -85,10 +101,8 @@ def forget() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _CUTS:
-        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _CUTS.pop())
 
 
 #: Bytes of a table up to which it may be sent to all executors.
