@@ -45,13 +45,15 @@ def _dependents(g: CodeGraph, direct: DataFrame) -> DataFrame:
 def _tests(g: CodeGraph, direct: DataFrame, modules: DataFrame) -> DataFrame:
     """(change_id, repo_id, fqn, reason): tests whose name holds a changed class's, then those of touched modules.
 
-    A test is found by all pieces of its name, so that no test is held against every class.
+    A test is found by all pieces of its name, so that no test is held against every class. Names that many tests bear are cut into
+    pieces once.
     """
     ends = reduce(lambda a, b: a | b, (F.col("name").endswith(x) for x in TEST_SUFFIXES))
     test = g.cls.where(ends).select("repo_id", "fqn", "name", "module").distinct()
     pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda a: F.transform(F.sequence(F.lit(1), F.length("name") - a + 1), lambda n: F.substring("name", a, n)))))
     names = direct.select("change_id", "repo_id", F.substring_index("fqn", ".", -1).alias("piece")).distinct()
-    by_name = test.select("repo_id", "fqn", F.explode(pieces).alias("piece")).join(names, ["repo_id", "piece"]).select("change_id", "repo_id", "fqn", F.lit(0).alias("rank"))
+    held = test.select("repo_id", "name").distinct().select("repo_id", "name", F.explode(pieces).alias("piece")).join(names, ["repo_id", "piece"]).select("change_id", "repo_id", "name").distinct()
+    by_name = test.join(held, ["repo_id", "name"]).select("change_id", "repo_id", "fqn", F.lit(0).alias("rank"))
     by_module = test.join(modules, ["repo_id", "module"]).select("change_id", "repo_id", "fqn", F.lit(1).alias("rank"))
     first = by_name.unionByName(by_module).groupBy("change_id", "repo_id", "fqn").agg(F.min("rank").alias("rank"))
     return first.select("change_id", "repo_id", "fqn", F.when(F.col("rank") == 0, "name-match").otherwise("same-module").alias("reason"))
@@ -62,15 +64,16 @@ def components(g: CodeGraph, around: Surroundings, changed: DataFrame) -> DataFr
 
     changed: change_id, repo_id, file_path. component is direct, caller, dependent, endpoint, module, policy or test; key its
     class, path, module or policy; detail the severity and state of a policy, the reason of a test. hops and confidence are null
-    where they mean nothing. Changes of files without classes have no rows.
+    where they mean nothing. Changes of files without classes have no rows. What several components follow from is written once, so
+    that the plan, and what the driver holds of it, stays small.
     """
-    direct = changed.select("change_id", "repo_id", "file_path").distinct().join(g.cls.select("repo_id", "file_path", "fqn").distinct(), ["repo_id", "file_path"]).select("change_id", "repo_id", "fqn").distinct()
+    direct = cut(changed.select("change_id", "repo_id", "file_path").distinct().join(g.cls.select("repo_id", "file_path", "fqn").distinct(), ["repo_id", "file_path"]).select("change_id", "repo_id", "fqn").distinct())
     owner = lambda c: F.substring_index(c, "#", 1)
     calls = g.calls.select("repo_id", owner("callee").alias("fqn"), owner("caller").alias("caller")).distinct()
-    callers = direct.join(calls, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("caller").alias("fqn")).distinct().join(direct, ["change_id", "repo_id", "fqn"], "left_anti")
-    dependents = _dependents(g, direct)
+    callers = cut(direct.join(calls, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("caller").alias("fqn")).distinct().join(direct, ["change_id", "repo_id", "fqn"], "left_anti"))
+    dependents = cut(_dependents(g, direct))
     touched = direct.unionByName(callers).unionByName(dependents.drop("hops")).distinct()
-    modules = touched.join(g.cls.where("module is not null").select("repo_id", "fqn", "module").distinct(), ["repo_id", "fqn"]).select("change_id", "repo_id", "module").distinct()
+    modules = cut(touched.join(g.cls.where("module is not null").select("repo_id", "fqn", "module").distinct(), ["repo_id", "fqn"]).select("change_id", "repo_id", "module").distinct())
     violated = around.violates.select("policy_id").distinct().withColumn("violated", F.lit(True))
     policies = modules.join(around.policies.where("status = 'active'"), "module").join(violated, "policy_id", "left").select("change_id", "policy_id", F.concat_ws(":", "severity", F.when(F.col("violated"), "violated").otherwise("kept")).alias("detail")).distinct()
     endpoints = direct.join(around.endpoints, ["repo_id", "fqn"]).select("change_id", F.concat_ws(" ", "verb", "path").alias("key")).distinct()

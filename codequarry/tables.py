@@ -76,7 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not _CUTS:
         atexit.register(forget)
     _CUTS.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = spark.read.parquet(path)
     out._cut = path
     return out

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codequarry.operators import closure, scoring
+from codequarry.plans import wiring
 
 
 def test_hops_three_and_four_by_package(spark):
@@ -16,3 +17,9 @@ def test_risk_has_four_terms(spark):
     rows = [(0, 0, 0, 0), (10, 0, 0, 0), (99, 99, 0, 0), (99, 99, 1, 0), (99, 99, 99, 99), (0, 0, 0, 1)]
     df = spark.createDataFrame(rows, "n int, m int, e int, p int").select(F.round(scoring.impact_risk(F.col("n"), F.col("m"), F.col("e"), F.col("p")), 4).alias("risk"))
     assert [r["risk"] for r in df.collect()] == [0.0, 0.2, 0.6, 0.7, 1.0, 0.2]
+
+
+def test_components_share_what_they_follow_from(spark):
+    """Each component reads what was written of the changed classes; none plans it anew."""
+    found = wiring.change_components(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 15
