@@ -1,8 +1,10 @@
 """Dependents to four hops for each package apart, and the risk with all of its terms."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from codequarry.operators import closure, scoring
+from codequarry.operators import closure, impact, scoring
 from codequarry.plans import wiring
 
 
@@ -23,3 +25,13 @@ def test_components_share_what_they_follow_from(spark):
     """Each component reads what was written of the changed classes; none plans it anew."""
     found = wiring.change_components(spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 15
+
+
+def test_tests_of_one_name(spark):
+    """Tests that share a name are each found by the class whose name it holds."""
+    cls = spark.createDataFrame([("r", f"p.k{k}.RingTest", "RingTest", f"m{k}", "/t") for k in range(3)] + [("s", "p.RingTest", "RingTest", "m0", "/t"), ("r", "p.Other", "Other", "m9", "/o")], "repo_id string, fqn string, name string, module string, file_path string")
+    g = SimpleNamespace(cls=cls)
+    direct = spark.createDataFrame([("c", "r", "p.Ring"), ("d", "r", "p.R")], "change_id string, repo_id string, fqn string")
+    modules = spark.createDataFrame([("c", "r", "m1"), ("e", "s", "m0")], "change_id string, repo_id string, module string")
+    want = {(c, "r", f"p.k{k}.RingTest", "name-match") for c in "cd" for k in range(3)} | {("e", "s", "p.RingTest", "same-module")}
+    assert {tuple(r) for r in impact._tests(g, direct, modules).collect()} == want
