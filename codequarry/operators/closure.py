@@ -6,12 +6,13 @@ by a table in the shared checkpoint folder, so a lost executor costs one round.
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.tables import cut, release
+from codequarry.tables import BROADCAST_BYTES, cut, release
 
 #: Rounds between two checkpoints.
 CUT_EVERY = 4
@@ -39,13 +40,65 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, max_hops: int | None
     return reduce(DataFrame.unionByName, found)
 
 
-def blast_sizes(edges: DataFrame, stop: int = 500) -> DataFrame:
+def blast_sizes(edges: DataFrame, stop: int = 500, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(node, size): how many nodes depend on each node, directly or not; ``stop`` stands for that many or more.
 
+    Nodes go by numbers. Edges of up to ``limit`` bytes, counted, are sent to all workers, which follow each node by itself, so that
+    no pairs are held at all; larger graphs go by rounds of joins, with the same rows. Nodes that none depends on have no row.
+    """
+    own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    ids = cut(own.select(F.col("src").alias("key")).unionByName(own.select(F.col("dst").alias("key"))).distinct().withColumn("id", F.monotonically_increasing_id()))
+    end = lambda c, to: ids.select(F.col("key").alias(c), F.col("id").alias(to))
+    back = cut(own.join(end("dst", "node"), "dst").join(end("src", "by"), "src").select("node", "by"))
+    small = back.count() * 4 + ids.count() * 12 <= limit
+    sizes = _sizes_by_workers(back, stop) if small else _sizes_by_joins(back, stop)
+    return ids.join(sizes.withColumnRenamed("node", "id"), "id").select(F.col("key").alias("node"), "size")
+
+
+def _sizes_by_workers(back: DataFrame, stop: int) -> DataFrame:
+    """``blast_sizes`` of a graph that each worker can hold, back: node, by."""
+    import numpy as np
+
+    spark, rows = back.sparkSession, back.toArrow()
+    node, by = rows["node"].to_numpy(), rows["by"].to_numpy()
+    ids = np.unique(np.concatenate([node, by]))
+    node, by = np.searchsorted(ids, node), np.searchsorted(ids, by)
+    starts = np.searchsorted(node[order := np.argsort(node, kind="stable")], np.arange(len(ids) + 1))
+    shared = spark.sparkContext.broadcast((ids, starts.astype(np.int32), by[order].astype(np.int32)))
+    deal = spark.range(0, len(ids), 1, 4 * spark.sparkContext.defaultParallelism)
+    return deal.mapInArrow(functools.partial(_follow, shared=shared, stop=stop), "node long, size long")
+
+
+def _follow(batches, shared, stop: int):
+    """The sizes of nodes by place. A node that a full one depends on is full, and isn't followed further."""
+    import pyarrow as pa
+
+    ids, starts, by = shared.value
+    starts, by, full = starts.tolist(), by.tolist(), set()
+    for batch in batches:
+        places, sizes = [], []
+        for v in batch.column(0).to_pylist():
+            if starts[v] == starts[v + 1]:
+                continue
+            seen, queue = {v}, [v]
+            for u in queue:
+                more = [w for w in by[starts[u] : starts[u + 1]] if w not in seen]
+                seen.update(more)
+                queue += more
+                if len(seen) > stop or not full.isdisjoint(more):
+                    full.add(v)
+                    break
+            places.append(v)
+            sizes.append(stop if v in full else len(seen) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[places], pa.int64()), pa.array(sizes, pa.int64())], ["node", "size"])
+
+
+def _sizes_by_joins(back: DataFrame, stop: int) -> DataFrame:
+    """``blast_sizes`` of a graph of any size, back: node, by, written.
+
     A node that reached ``stop``, or that a node with so many depends on, isn't followed further: no more than the bound and one
-    round's growth is held of any node, however large the graph. Nodes that none depends on have no row.
+    round's growth is held of any node, however large the graph.
     """
-    back = cut(edges.where("src is not null and dst is not null and src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("by")).distinct())
     step = back.select(F.col("node").alias("by"), F.col("by").alias("next"))
     count = lambda df: df.groupBy("node").agg(F.count("*").alias("size"))
     front, found, sizes = back, [back], cut(count(back))

@@ -49,10 +49,13 @@ def _items(spark, d):
 
 def methods(spark: SparkSession, d: str) -> DataFrame:
     """repo_id, class_fqn, fqn, name, modifiers, annotations, docstring, file_path, start_line, end_line."""
+    n, flag = F.col("n"), F.col("flag")
+    access = F.when(flag == "A", "public").when(flag == "N", "private").otherwise("protected")
+    # What repeated rows are told apart by are short columns, dealt out as the join needs them: one shuffle, without the words.
+    own = _items(spark, d).select("k", "n", "q", access.alias("access"), F.coalesce((F.col("status") == "F") & (n == 1), F.lit(False)).alias("first")).repartition("k").distinct()
     name = _pick(VERBS, F.col("q") % 20)
-    access = F.when(F.col("flag") == "A", "public").when(F.col("flag") == "N", "private").otherwise("protected")
-    modifiers = F.array_compact(F.array(access, F.when((F.col("status") == "F") & (F.col("n") == 1), "async"), F.when(F.col("n") == 2, "virtual"), F.when(name == "destroy", "destructor")))
-    own = _items(spark, d).select("k", "n", "q", name.alias("name"), modifiers.alias("modifiers"), F.when(F.col("n") == 3, F.array(F.lit("Audited"))).otherwise(F.array().cast("array<string>")).alias("annotations"), F.when(F.col("n") % 2 == 1, F.concat(F.lit("Does "), name)).alias("docstring")).distinct()
+    modifiers = F.array_compact(F.array("access", F.when(F.col("first"), "async"), F.when(n == 2, "virtual"), F.when(name == "destroy", "destructor")))
+    own = own.select("k", "n", "q", name.alias("name"), modifiers.alias("modifiers"), F.when(n == 3, F.array(F.lit("Audited"))).otherwise(F.array().cast("array<string>")).alias("annotations"), F.when(n % 2 == 1, F.concat(F.lit("Does "), name)).alias("docstring"))
     c = classes(spark, d).select("k", "repo_id", F.col("fqn").alias("class_fqn"), "file_path")
     return own.join(c, "k").select("repo_id", "class_fqn", F.concat("class_fqn", F.lit("#"), "name").alias("fqn"), "name", "modifiers", "annotations", "docstring", "file_path", F.lit(1).alias("start_line"), (F.col("q") + 1).alias("end_line"))
 

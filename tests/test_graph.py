@@ -122,3 +122,20 @@ def test_signals_count_each_side_and_cap(spark):
     scored = signals.vectors(signals.hits(spark.createDataFrame([("f", "+os.getenv('SECRET_KEY')")] * 9, "commit_sha string, line string")).withColumn("callers", F.lit(25))).first()
     assert scored["security"] == round(1.5 / 8.5, 4) and scored["availability"] == round(1.5 / 6.5, 4)
     assert signals.risk(signals.vectors(signals.hits(spark.createDataFrame([], "commit_sha string, line string")))).count() == 0
+
+
+def test_blast_sizes_hold_no_pairs(spark, monkeypatch):
+    """A giant component: nothing as large as its pairs is written, and workers and joins give the same sizes."""
+    pairs = [(k, (k + d) % 300) for k in range(300) for d in (1, 7)] + [(300 + k, 301 + k) for k in range(6)] + [(306, 0), (5, None), (9, 9)]
+    rows, write = [], closure.cut
+
+    def counted(df):
+        out = write(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "cut", counted)
+    got = {(r["node"], r["size"]) for r in closure.blast_sizes(edges(spark, pairs), 50).collect()}
+    assert max(rows) <= len(pairs)
+    assert got == {(r["node"], r["size"]) for r in closure.blast_sizes(edges(spark, pairs), 50, 0).collect()}
+    assert got == {(k, 50) for k in range(300)} | {(301 + k, k + 1) for k in range(6)}
