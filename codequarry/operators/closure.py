@@ -7,10 +7,12 @@ by a table in the shared checkpoint folder, so a lost executor costs one round.
 from __future__ import annotations
 
 import functools
+import operator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codequarry.tables import BROADCAST_BYTES, cut, release
 
@@ -55,17 +57,22 @@ def blast_sizes(edges: DataFrame, stop: int = 500, limit: int = BROADCAST_BYTES)
     return ids.join(sizes.withColumnRenamed("node", "id"), "id").select(F.col("key").alias("node"), "size")
 
 
-def _sizes_by_workers(back: DataFrame, stop: int) -> DataFrame:
-    """``blast_sizes`` of a graph that each worker can hold, back: node, by."""
+def _shared(back: DataFrame):
+    """The edges back (node, by) at the workers: the nodes' numbers, where each one's edges start, and the places that these lead to."""
     import numpy as np
 
-    spark, rows = back.sparkSession, back.toArrow()
+    rows = back.toArrow()
     node, by = rows["node"].to_numpy(), rows["by"].to_numpy()
     ids = np.unique(np.concatenate([node, by]))
     node, by = np.searchsorted(ids, node), np.searchsorted(ids, by)
     starts = np.searchsorted(node[order := np.argsort(node, kind="stable")], np.arange(len(ids) + 1))
-    shared = spark.sparkContext.broadcast((ids, starts.astype(np.int32), by[order].astype(np.int32)))
-    deal = spark.range(0, len(ids), 1, 4 * spark.sparkContext.defaultParallelism)
+    return back.sparkSession.sparkContext.broadcast((ids, starts.astype(np.int32), by[order].astype(np.int32)))
+
+
+def _sizes_by_workers(back: DataFrame, stop: int) -> DataFrame:
+    """``blast_sizes`` of a graph that each worker can hold, back: node, by."""
+    spark, shared = back.sparkSession, _shared(back)
+    deal = spark.range(0, len(shared.value[0]), 1, 4 * spark.sparkContext.defaultParallelism)
     return deal.mapInArrow(functools.partial(_follow, shared=shared, stop=stop), "node long, size long")
 
 
@@ -117,6 +124,75 @@ def _sizes_by_joins(back: DataFrame, stop: int) -> DataFrame:
         release(old_sizes)
 
 
+def importers(edges: DataFrame, named: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, callers, transitive): how many nodes have an edge to a node of each key, and how many have one to those.
+
+    edges: src, dst; named: key, node. Nodes go by numbers. Edges of up to ``limit`` bytes, counted, are sent to all workers, which
+    unite the nodes of each key by bits, so that no pairs of key and node are written; larger graphs go by joins, with the same rows.
+    Keys whose nodes have no edge have no row.
+    """
+    own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    ids = cut(own.select(F.col("src").alias("name")).unionByName(own.select(F.col("dst").alias("name"))).distinct().withColumn("id", F.monotonically_increasing_id()))
+    end = lambda c, to: ids.select(F.col("name").alias(c), F.col("id").alias(to))
+    back = cut(own.join(end("dst", "node"), "dst").join(end("src", "by"), "src").select("node", "by"))
+    found = named.withColumnRenamed("node", "name").join(ids, "name").select("key", F.col("id").alias("node"))
+    if back.count() * 4 + ids.count() * 12 <= limit:
+        return _importers_by_workers(back, found.groupBy("key").agg(F.collect_set("node").alias("nodes")))
+    step = lambda df: df.join(back, "node").select("key", F.col("by").alias("node")).distinct()
+    first = cut(step(found))
+    count = lambda df, c: df.groupBy("key").agg(F.count("*").alias(c))
+    return count(first, "callers").join(count(step(first), "transitive"), "key", "left").select("key", "callers", F.coalesce("transitive", F.lit(0)).alias("transitive"))
+
+
+def _importers_by_workers(back: DataFrame, named: DataFrame) -> DataFrame:
+    """``importers`` of a graph that each worker can hold, back: node, by; named: key, nodes."""
+    key = named.schema["key"]
+    return named.mapInArrow(functools.partial(_unite, shared=_shared(back)), StructType([key, StructField("callers", LongType()), StructField("transitive", LongType())]))
+
+
+#: Bytes of united nodes that a worker keeps; what goes beyond is made anew.
+UNITED_BYTES = 64 << 20
+
+
+def _unite(batches, shared):
+    """The counts of each key, by bits of places; what one node and two hops give is kept while there is room."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids, starts, by = shared.value
+    starts, flags, near, far = starts.tolist(), np.zeros(len(ids), bool), {}, {}
+    room = UNITED_BYTES // (len(ids) // 8 + 64)
+
+    def bits(v: int) -> int:
+        if v not in near:
+            if len(near) >= room:
+                near.clear()
+            flags[:] = False
+            flags[by[starts[v] : starts[v + 1]]] = True
+            near[v] = int.from_bytes(np.packbits(flags).tobytes(), "big")
+        return near[v]
+
+    def further(v: int) -> int:
+        if v not in far:
+            if len(far) >= room:
+                far.clear()
+            flags[:] = False
+            for u in by[starts[v] : starts[v + 1]].tolist():
+                flags[by[starts[u] : starts[u + 1]]] = True
+            far[v] = int.from_bytes(np.packbits(flags).tobytes(), "big")
+        return far[v]
+
+    for batch in batches:
+        rows = []
+        for nodes in batch.column(1).to_pylist():
+            places = np.searchsorted(ids, nodes).tolist()
+            rows.append((reduce(operator.or_, map(bits, places)).bit_count(), reduce(operator.or_, map(further, places)).bit_count()))
+        counts = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+        out = pa.RecordBatch.from_arrays([batch.column(0), *counts], ["key", "callers", "transitive"])
+        yield out.filter(pc.greater(counts[0], 0))
+
+
 def dependents(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:
     """(node, hops): nodes that depend on one of ``changed`` (node) in at most max_hops steps, the changed ones left out.
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.times import iso_ms
-from codequarry.operators import paths, signals
+from codequarry.operators import closure, paths, signals
 from codequarry.plans.code import imported
-from codequarry.tables import read
+from codequarry.tables import cut, read
 
 _MS = "CAST(epoch_ms(CAST(CASE WHEN regexp_matches({0}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN {0} ELSE {0} || 'Z' END AS TIMESTAMPTZ)) AS BIGINT)"
 _CTE = f"""WITH t AS (SELECT DISTINCT *, {_MS.format("ts")} AS ms FROM turns), s AS (SELECT DISTINCT *, {_MS.format("started_at")} AS a, {_MS.format("last_seen")} AS b FROM sessions),
@@ -216,19 +214,16 @@ def _diff(spark, d):
 
 
 def _around(spark, d):
-    """(commit_sha, direct, callers, transitive, endpoints, total): of the classes that a document names, those, their importers and theirs."""
+    """(commit_sha, direct, callers, transitive, endpoints): of the classes that a document names, how many these, their importers and theirs are."""
     docs = read(spark, d, "documents", F.col("doc_id").alias("commit_sha"), "text").where("text is not null")
     names = docs.select("commit_sha", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1)))).alias("name"))
     cls = read(spark, d, "symbols", "display_name", "kind", "file_path").where("kind = 'class'").select(F.col("display_name").alias("name"), "file_path").distinct()
     found = imported(spark, d, True).select("file_path", "target").distinct()
-    uses = found.join(cls, "file_path").where("name <> target").select("target", F.col("name").alias("by")).distinct()
-    direct = names.join(cls.select("name").distinct(), "name").distinct()
-    hop = lambda df: df.join(uses, df["name"] == uses["target"]).select("commit_sha", F.col("by").alias("name")).distinct()
-    callers = hop(direct)
-    further = hop(callers)
-    each = reduce(DataFrame.unionByName, [df.select("commit_sha", "name", F.lit(kind).alias("kind")) for df, kind in ((direct, "direct"), (callers, "callers"), (further, "transitive"))])
-    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("direct", "callers", "transitive")]
-    return each.groupBy("commit_sha").agg(*counts, F.count_if((F.col("kind") == "direct") & F.col("name").rlike("(Controller|Client)$")).alias("endpoints"), F.countDistinct("name").alias("total"))
+    uses = found.join(cls, "file_path").where("name <> target").select(F.col("target").alias("dst"), F.col("name").alias("src")).distinct()
+    direct = cut(names.join(cls.select("name").distinct(), "name").distinct())
+    counted = direct.groupBy("commit_sha").agg(F.count("*").alias("direct"), F.count_if(F.col("name").rlike("(Controller|Client)$")).alias("endpoints"))
+    further = closure.importers(uses, direct.select(F.col("commit_sha").alias("key"), F.col("name").alias("node"))).withColumnRenamed("key", "commit_sha")
+    return counted.join(further, "commit_sha", "left")
 
 
 def _graphed(spark, d):

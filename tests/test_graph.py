@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codequarry import graph
 from codequarry.operators import closure, paths, scoring, signals
+from codequarry.plans import activity
 
 
 def edges(spark, pairs):
@@ -139,3 +140,35 @@ def test_blast_sizes_hold_no_pairs(spark, monkeypatch):
     assert max(rows) <= len(pairs)
     assert got == {(r["node"], r["size"]) for r in closure.blast_sizes(edges(spark, pairs), 50, 0).collect()}
     assert got == {(k, 50) for k in range(300)} | {(301 + k, k + 1) for k in range(6)}
+
+
+def test_importers_by_workers_and_by_joins(spark):
+    """Importers and theirs of each key count once, however many paths lead to them; both ways give the same rows."""
+    rows = [(f"n{a}", f"n{b}") for a in range(90) for b in range(90) if (a * 7 + b * 3) % 11 == 0] + [("n1", "n1"), ("x", "n0"), ("y", "x"), (None, "n0")]
+    named = [(k, f"n{k * j % 90}") for k in range(40) for j in range(1, 4)] + [(40, "y"), (41, "unknown"), (42, "x")]
+    by = {}
+    for a, b in rows:
+        if a is not None and a != b:
+            by.setdefault(b, set()).add(a)
+    want = set()
+    for k in range(43):
+        first = set().union(*[by.get(n, set()) for key, n in named if key == k])
+        if first:
+            want.add((k, len(first), len(set().union(*[by.get(n, set()) for n in first]))))
+    edges, keys = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame(named, "key long, node string").distinct()
+    for limit in (1 << 20, 0):
+        assert {tuple(r) for r in closure.importers(edges, keys, limit).collect()} == want
+
+
+def test_scores_write_no_pairs_of_documents(spark):
+    """The graph around the documents' classes is counted by workers: no join of what each document leads to is left."""
+    plan = activity.vector_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
+
+
+def test_hits_of_odd_lines(spark):
+    """Lines of CRLF, of file headers, without a sign or null; packages count once a commit, and known ones don't."""
+    lines = ["+import numpy as np\r", "+import numpy", "-import pandas", "+from os import path", "+  requests>=2.0\r", "+++ import torch", "--- a", None, "", "import scipy", "diff --git a/x b/db/V1__a.sql\r", "diff --git a/x b/pom.xml", "-  log.info('x')", "- logger.warn(1)", "+log.error(2)", "+\tfor x in y:", "+F\u00fcr sha256(x)", "-hmac"]
+    got = signals.hits(spark.createDataFrame([("a", x) for x in lines] + [("b", None)], "commit_sha string, line string")).collect()
+    counted = {r["commit_sha"]: {k: v for k, v in r.asDict().items() if v and k != "commit_sha"} for r in got}
+    assert counted == {"a": {"crypto_function_changed": 1, "loop_pattern_changed": 1, "heavy_lib_imported": 2, "new_migration": 1, "heavy_package_added": 2, "net_log_decrease": 1, "new_third_party_lib": 2}, "b": {}}
