@@ -131,7 +131,7 @@ def importers(edges: DataFrame, named: DataFrame, limit: int = BROADCAST_BYTES)
     unite the nodes of each key by bits, so that no pairs of key and node are written; larger graphs go by joins, with the same rows.
     Keys whose nodes have no edge have no row.
     """
-    own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    own = cut(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
     ids = cut(own.select(F.col("src").alias("name")).unionByName(own.select(F.col("dst").alias("name"))).distinct().withColumn("id", F.monotonically_increasing_id()))
     end = lambda c, to: ids.select(F.col("name").alias(c), F.col("id").alias(to))
     back = cut(own.join(end("dst", "node"), "dst").join(end("src", "by"), "src").select("node", "by"))

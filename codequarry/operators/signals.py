@@ -120,11 +120,11 @@ def _per_hit() -> dict[str, tuple[str, float, float]]:
     return table | {"net_log_decrease": LOG_SIGNAL[:3], "new_third_party_lib": LIBRARY_SIGNAL}
 
 
-def vectors(counted: DataFrame, overrides: dict[str, dict] | None = None) -> DataFrame:
+def vectors(counted: DataFrame, overrides: dict[str, dict] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """commit_sha and one score per vector: the weighted mean of its enabled signals, each capped at 1, 4 decimals.
 
     counted: as ``hits`` gives it, with the columns callers, transitive, endpoints and policies where the graph is known.
-    overrides: by signal, enabled and weight.
+    overrides: by signal, enabled and weight; keep: columns of ``counted`` that go along, as far as there are any.
     """
     overrides = overrides or {}
     value = {s: F.least(F.lit(1.0), F.col(s) * per) for s, (_, _, per) in _per_hit().items()}
@@ -140,7 +140,7 @@ def vectors(counted: DataFrame, overrides: dict[str, dict] | None = None) -> Dat
         total = sum(w for _, w in own)
         score = reduce(lambda a, b: a + b, (value[s] * w for s, w in own)) / total if total else F.lit(0.0)
         out.append(F.round(F.least(F.lit(1.0), score), 4).alias(vector))
-    return counted.select("commit_sha", *out)
+    return counted.select("commit_sha", *out, *[c for c in keep if c in counted.columns])
 
 
 # What each touched node adds to the risk of the graph, and the shares of vectors and graph.
@@ -151,11 +151,13 @@ VECTOR_SHARE, GRAPH_SHARE = 0.7, 0.3
 def risk(scored: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """commit_sha and risk: the weighted mean of the vectors and the size of the touched graph by their shares; 1 at most, 4 decimals.
 
-    scored: as of ``vectors``; graph: commit_sha and those columns of ``GRAPH_RISK`` that are known. What isn't known counts as 0.
+    scored: as of ``vectors``; graph: commit_sha and those columns of ``GRAPH_RISK`` that are known and that ``scored`` doesn't hold
+    itself. What isn't known counts as 0.
     """
     total = sum(VECTOR_WEIGHTS.values())
     mean = F.round(F.least(F.lit(1.0), reduce(lambda a, b: a + b, (F.col(v) * w for v, w in VECTOR_WEIGHTS.items())) / total), 4)
-    known = [c for c in GRAPH_RISK if graph is not None and c in graph.columns]
-    both = scored.join(graph.select("commit_sha", *known), "commit_sha", "left") if known else scored
+    joined = [c for c in GRAPH_RISK if graph is not None and c in graph.columns and c not in scored.columns]
+    both = scored.join(graph.select("commit_sha", *joined), "commit_sha", "left") if joined else scored
+    known = [c for c in GRAPH_RISK if c in both.columns]
     size = reduce(lambda a, b: a + b, (F.coalesce(F.col(c), F.lit(0)) * GRAPH_RISK[c] for c in known), F.lit(0.0))
     return both.select("commit_sha", F.round(F.least(F.lit(1.0), mean * VECTOR_SHARE + F.least(F.lit(1.0), size) * GRAPH_SHARE), 4).alias("risk"))

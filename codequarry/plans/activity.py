@@ -242,8 +242,7 @@ def vector_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def commit_risk(spark: SparkSession, d: str) -> DataFrame:
     """The risk of each such commit: seven tenths by its vectors, three by the size of the graph that it touches."""
-    found = _graphed(spark, d)
-    return signals.risk(signals.vectors(found), found)
+    return signals.risk(signals.vectors(_graphed(spark, d), keep=tuple(signals.GRAPH_RISK)))
 
 
 def changed_lines(spark: SparkSession, d: str) -> DataFrame:

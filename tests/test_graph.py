@@ -166,6 +166,16 @@ def test_scores_write_no_pairs_of_documents(spark):
     assert plan.count("Join ") <= 3
 
 
+def test_risk_searches_documents_once(spark):
+    """The risk goes on from the scores' own rows; the lines aren't searched a second time for the graph's columns."""
+    plan = activity.commit_risk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and plan.count("Join ") <= 3
+    scored = spark.createDataFrame([("c", *[0.5] * 6)], "commit_sha string, " + ", ".join(f"{v} double" for v in signals.VECTOR_WEIGHTS))
+    apart = signals.risk(scored, spark.createDataFrame([("c", 4, 2)], "commit_sha string, direct long, endpoints long"))
+    along = signals.risk(scored.withColumns({"direct": F.lit(4), "endpoints": F.lit(2)}))
+    assert apart.collect() == along.collect() == [("c", round(0.5 * 0.7 + 0.36 * 0.3, 4))]
+
+
 def test_hits_of_odd_lines(spark):
     """Lines of CRLF, of file headers, without a sign or null; packages count once a commit, and known ones don't."""
     lines = ["+import numpy as np\r", "+import numpy", "-import pandas", "+from os import path", "+  requests>=2.0\r", "+++ import torch", "--- a", None, "", "import scipy", "diff --git a/x b/db/V1__a.sql\r", "diff --git a/x b/pom.xml", "-  log.info('x')", "- logger.warn(1)", "+log.error(2)", "+\tfor x in y:", "+F\u00fcr sha256(x)", "-hmac"]
