@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.detectors import CodeGraph
 from codequarry.operators.scoring import impact_risk
-from codequarry.tables import cut
+from codequarry.tables import cut, release
 
 # Confidence of each way to be touched, hops of dependents, names that end tests.
 CONFIDENCE = {"direct": 0.85, "caller": 0.80, "dependent": 0.75, "endpoint": 0.90}
@@ -31,15 +31,22 @@ class Surroundings:
     violates: DataFrame
 
 
-def _dependents(g: CodeGraph, direct: DataFrame) -> DataFrame:
-    """(change_id, repo_id, fqn, hops) of what imports the changed classes in at most ``HOPS`` steps, at the least hops."""
-    back = g.of("IMPORTS").select("repo_id", F.col("target").alias("fqn"), F.col("source").alias("next"))
-    front, levels = direct.select("change_id", "repo_id", "fqn").distinct(), []
-    for hop in range(1, HOPS + 1):
-        front = cut(front.join(back, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("next").alias("fqn")).distinct())  # read by the next hop and the union
-        levels.append(front.withColumn("hops", F.lit(hop)))
-    found = reduce(DataFrame.unionByName, levels).groupBy("change_id", "repo_id", "fqn").agg(F.min("hops").alias("hops"))
-    return found.join(direct.select("change_id", "repo_id", "fqn"), ["change_id", "repo_id", "fqn"], "left_anti")
+def _hits(g: CodeGraph, direct: DataFrame) -> DataFrame:
+    """(change_id, repo_id, fqn, hops, calls), written once: the changed classes, what imports them in at most ``HOPS`` steps and what calls them.
+
+    hops are the least steps, 0 of the changed classes and null of what only calls; calls tells what calls a changed class. One
+    aggregation makes all of these, so no part is held against another by a join.
+    """
+    back = g.edges.where("type = 'IMPORTS'").select("repo_id", F.col("target").alias("fqn"), F.col("source").alias("next"))
+    levels = [direct]
+    for _ in range(HOPS):  # each is read by the next hop and the union
+        levels.append(cut(levels[-1].join(back, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("next").alias("fqn")).distinct()))
+    owner = lambda c: F.substring_index(c, "#", 1)
+    callers = direct.join(g.calls.select("repo_id", owner("callee").alias("fqn"), owner("caller").alias("caller")), ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("caller").alias("fqn"))
+    parts = [df.withColumns({"hops": F.lit(hops), "calls": F.lit(False)}) for hops, df in enumerate(levels)] + [callers.withColumns({"hops": F.lit(None).cast("int"), "calls": F.lit(True)})]
+    found = cut(reduce(DataFrame.unionByName, parts).groupBy("change_id", "repo_id", "fqn").agg(F.min("hops").alias("hops"), F.max("calls").alias("calls")))
+    release(*levels[1:])
+    return found
 
 
 def _tests(g: CodeGraph, direct: DataFrame, modules: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def _tests(g: CodeGraph, direct: DataFrame, modules: DataFrame) -> DataFrame:
     pieces once.
     """
     ends = reduce(lambda a, b: a | b, (F.col("name").endswith(x) for x in TEST_SUFFIXES))
-    test = g.cls.where(ends).select("repo_id", "fqn", "name", "module").distinct()
+    test = g.cls.where(ends).select("repo_id", "fqn", "name", "module")
     pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda a: F.transform(F.sequence(F.lit(1), F.length("name") - a + 1), lambda n: F.substring("name", a, n)))))
     names = direct.select("change_id", "repo_id", F.substring_index("fqn", ".", -1).alias("piece")).distinct()
     held = test.select("repo_id", "name").distinct().select("repo_id", "name", F.explode(pieces).alias("piece")).join(names, ["repo_id", "piece"]).select("change_id", "repo_id", "name").distinct()
@@ -64,16 +71,13 @@ def components(g: CodeGraph, around: Surroundings, changed: DataFrame) -> DataFr
 
     changed: change_id, repo_id, file_path. component is direct, caller, dependent, endpoint, module, policy or test; key its
     class, path, module or policy; detail the severity and state of a policy, the reason of a test. hops and confidence are null
-    where they mean nothing. Changes of files without classes have no rows. What several components follow from is written once, so
-    that the plan, and what the driver holds of it, stays small.
+    where they mean nothing. Changes of files without classes have no rows. The driver's memory follows the size of plans and of what
+    runs at once, not the tables; so steps are written one after the other, and the last plan is little more than their union.
     """
-    direct = cut(changed.select("change_id", "repo_id", "file_path").distinct().join(g.cls.select("repo_id", "file_path", "fqn").distinct(), ["repo_id", "file_path"]).select("change_id", "repo_id", "fqn").distinct())
-    owner = lambda c: F.substring_index(c, "#", 1)
-    calls = g.calls.select("repo_id", owner("callee").alias("fqn"), owner("caller").alias("caller")).distinct()
-    callers = cut(direct.join(calls, ["repo_id", "fqn"]).select("change_id", "repo_id", F.col("caller").alias("fqn")).distinct().join(direct, ["change_id", "repo_id", "fqn"], "left_anti"))
-    dependents = cut(_dependents(g, direct))
-    touched = direct.unionByName(callers).unionByName(dependents.drop("hops")).distinct()
-    modules = cut(touched.join(g.cls.where("module is not null").select("repo_id", "fqn", "module").distinct(), ["repo_id", "fqn"]).select("change_id", "repo_id", "module").distinct())
+    direct = cut(changed.select("change_id", "repo_id", "file_path").distinct().join(g.cls.select("repo_id", "file_path", "fqn"), ["repo_id", "file_path"]).select("change_id", "repo_id", "fqn").distinct())
+    hits = _hits(g, direct)
+    modules = cut(hits.join(g.cls.where("module is not null").select("repo_id", "fqn", "module"), ["repo_id", "fqn"]).select("change_id", "repo_id", "module").distinct())
+    tests = cut(_tests(g, direct, modules))
     violated = around.violates.select("policy_id").distinct().withColumn("violated", F.lit(True))
     policies = modules.join(around.policies.where("status = 'active'"), "module").join(violated, "policy_id", "left").select("change_id", "policy_id", F.concat_ws(":", "severity", F.when(F.col("violated"), "violated").otherwise("kept")).alias("detail")).distinct()
     endpoints = direct.join(around.endpoints, ["repo_id", "fqn"]).select("change_id", F.concat_ws(" ", "verb", "path").alias("key")).distinct()
@@ -83,8 +87,8 @@ def components(g: CodeGraph, around: Surroundings, changed: DataFrame) -> DataFr
         return df.select("change_id", F.lit(component).alias("component"), F.col(key).alias("key"), (F.lit(None) if hops is None else hops).cast("int").alias("hops"), confidence.alias("confidence"), (F.lit("") if detail is None else F.col(detail)).alias("detail"))
 
     parts = (
-        rows(direct, "direct", "fqn", F.lit(0)), rows(callers, "caller", "fqn", F.lit(1)), rows(dependents, "dependent", "fqn", F.col("hops")), rows(endpoints, "endpoint", "key"), rows(modules, "module", "module"),
-        rows(policies, "policy", "policy_id", detail="detail"), rows(_tests(g, direct, modules), "test", "fqn", detail="reason"),
+        rows(direct, "direct", "fqn", F.lit(0)), rows(hits.where("calls and (hops is null or hops > 0)"), "caller", "fqn", F.lit(1)), rows(hits.where("hops > 0"), "dependent", "fqn", F.col("hops")),
+        rows(endpoints, "endpoint", "key"), rows(modules, "module", "module"), rows(policies, "policy", "policy_id", detail="detail"), rows(tests, "test", "fqn", detail="reason"),
     )
     return reduce(DataFrame.unionByName, parts)
 

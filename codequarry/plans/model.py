@@ -75,25 +75,30 @@ def _neighbours(spark, d, low: int, high: int):
     return a.join(b, ["o", "n"]).where("k <> k2 and k % 3 = k2 % 3")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """(repo_id, type, source, target): IMPORTS, EXTENDS and IMPLEMENTS between classes of one repository, each once."""
+def edges(spark: SparkSession, d: str, near: DataFrame | None = None, cls: DataFrame | None = None) -> DataFrame:
+    """(repo_id, type, source, target): IMPORTS, EXTENDS and IMPLEMENTS between classes of one repository, each once.
+
+    near: neighbouring items of all that ``edges`` and ``calls`` ask for, cls: the classes, where these were written.
+    """
     k = F.col("k")
     j = F.floor(k / 3)
     own = read(spark, d, "part", F.col("p_partkey").cast("long").alias("k"))
-    imports = _neighbours(spark, d, 1, 9).select(F.lit("IMPORTS").alias("type"), "k", "k2").distinct()
+    met = _neighbours(spark, d, 1, 9) if near is None else near.where("q between 1 and 9")
+    imports = met.select(F.lit("IMPORTS").alias("type"), "k", "k2").distinct()
     extends = own.where((j >= 1) & (j % 5 != 0)).select(F.lit("EXTENDS").alias("type"), "k", (F.floor(j / 2) * 3 + k % 3).alias("k2"))
     implements = own.where("k % 7 = 3 and k % 3 = 0 and k % 9 <> 0").select(F.lit("IMPLEMENTS").alias("type"), "k", (F.floor(k / 9) * 9).alias("k2"))
     pairs = own.where("k % 27 = 3").select(F.lit("IMPORTS").alias("type"), "k", (k + 9).alias("k2"))
     imports = imports.unionByName(pairs).unionByName(pairs.select("type", F.col("k2").alias("k"), F.col("k").alias("k2"))).distinct()
-    c = classes(spark, d)
+    c = classes(spark, d) if cls is None else cls
     ends = c.select("k", "repo_id", F.col("fqn").alias("source")), c.select(F.col("k").alias("k2"), F.col("fqn").alias("target"))
     return imports.unionByName(extends).unionByName(implements).join(ends[0], "k").join(ends[1], "k2").select("repo_id", "type", "source", "target")
 
 
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    """(repo_id, caller, callee): calls between methods of different classes."""
-    c = classes(spark, d)
-    pairs = _neighbours(spark, d, 10, 15).select("k", "k2", _pick(VERBS, F.col("q") % 20).alias("a"), _pick(VERBS, F.col("q2") % 20).alias("b")).distinct()
+def calls(spark: SparkSession, d: str, near: DataFrame | None = None, cls: DataFrame | None = None) -> DataFrame:
+    """(repo_id, caller, callee): calls between methods of different classes; near and cls as of ``edges``."""
+    c = classes(spark, d) if cls is None else cls
+    met = _neighbours(spark, d, 10, 15) if near is None else near.where("q between 10 and 15")
+    pairs = met.select("k", "k2", _pick(VERBS, F.col("q") % 20).alias("a"), _pick(VERBS, F.col("q2") % 20).alias("b")).distinct()
     got = pairs.join(c.select("k", "repo_id", F.col("fqn").alias("s")), "k").join(c.select(F.col("k").alias("k2"), F.col("fqn").alias("t")), "k2")
     return got.select("repo_id", F.concat("s", F.lit("#"), "a").alias("caller"), F.concat("t", F.lit("#"), "b").alias("callee"))
 
@@ -104,9 +109,9 @@ def queried(spark: SparkSession, d: str) -> DataFrame:
     return own.join(classes(spark, d).select("k", "repo_id", "fqn"), "k").select("repo_id", F.concat("fqn", F.lit("#"), "name").alias("source"), "target")
 
 
-def endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """(repo_id, fqn, verb, path) of controllers."""
-    return classes(spark, d).where("k % 16 = 4").select("repo_id", "fqn", F.when(F.col("k") % 3 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/"), F.lower("name"), F.when(F.col("k") % 32 == 4, "/{id}/items/{itemId:[0-9]+}").otherwise("")).alias("path"))
+def endpoints(spark: SparkSession, d: str, cls: DataFrame | None = None) -> DataFrame:
+    """(repo_id, fqn, verb, path) of controllers; cls as of ``edges``."""
+    return (classes(spark, d) if cls is None else cls).where("k % 16 = 4").select("repo_id", "fqn", F.when(F.col("k") % 3 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/"), F.lower("name"), F.when(F.col("k") % 32 == 4, "/{id}/items/{itemId:[0-9]+}").otherwise("")).alias("path"))
 
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
@@ -115,10 +120,11 @@ def policies(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation", "n_nationkey", "n_regionkey").select(F.concat(F.lit("p"), n.cast("string")).alias("policy_id"), F.concat(F.lit("mod"), (n % 7).cast("string")).alias("module"), F.when(F.col("n_regionkey") == 0, "error").when(F.col("n_regionkey") == 1, "warning").otherwise("info").alias("severity"), F.when(n % 4 == 0, "draft").otherwise("active").alias("status"))
 
 
-def violates(spark: SparkSession, d: str) -> DataFrame:
-    """(fqn, policy_id): what breaks a policy."""
+def violates(spark: SparkSession, d: str, cls: DataFrame | None = None) -> DataFrame:
+    """(fqn, policy_id): what breaks a policy; cls as of ``edges``."""
     s = read(spark, d, "supplier", F.col("s_suppkey").cast("long").alias("k"), "s_nationkey")
-    return s.join(classes(spark, d).select("k", "fqn"), "k").select("fqn", F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("policy_id"))
+    c = classes(spark, d) if cls is None else cls
+    return s.join(c.select("k", "fqn"), "k").select("fqn", F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("policy_id"))
 
 
 def graph(spark: SparkSession, d: str) -> CodeGraph:
@@ -126,6 +132,16 @@ def graph(spark: SparkSession, d: str) -> CodeGraph:
     return CodeGraph(classes(spark, d), methods(spark, d), fields(spark, d), cut(edges(spark, d)), calls(spark, d), queried(spark, d))
 
 
+def import_graph(spark: SparkSession, d: str) -> CodeGraph:
+    """What ``impact`` reads of ``graph``: classes, imports and calls; the rest isn't planned.
+
+    Neighbouring items meet once, for imports and calls. Classes are written once, so that plans that read them stay short.
+    """
+    near = cut(_neighbours(spark, d, 1, 15).select("k", "k2", "q", "q2"))
+    cls = cut(classes(spark, d).select("repo_id", "k", "fqn", "name", "module", "file_path", "annotations"))
+    return CodeGraph(cls, None, None, cut(edges(spark, d, near, cls).where("type = 'IMPORTS'")), calls(spark, d, near, cls), None)
+
+
 def _case(values: tuple, index: str) -> str:
     return "(ARRAY[" + ", ".join(f"'{v}'" for v in values) + f"])[{index} + 1]"
 

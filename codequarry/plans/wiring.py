@@ -30,8 +30,8 @@ def _deprecated(cls):
 
 
 def _touched(spark, d):
-    g = model.graph(spark, d)
-    return impact.components(g, impact.Surroundings(model.endpoints(spark, d), model.policies(spark, d), model.violates(spark, d)), _deprecated(g.cls))
+    g = model.import_graph(spark, d)
+    return impact.components(g, impact.Surroundings(model.endpoints(spark, d, g.cls), model.policies(spark, d), model.violates(spark, d, g.cls)), _deprecated(g.cls))
 
 
 def change_components(spark: SparkSession, d: str) -> DataFrame:

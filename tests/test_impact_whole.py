@@ -5,7 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from codequarry.operators import closure, impact, scoring
-from codequarry.plans import wiring
+from codequarry.plans import model, wiring
 
 
 def test_hops_three_and_four_by_package(spark):
@@ -35,3 +35,29 @@ def test_tests_of_one_name(spark):
     modules = spark.createDataFrame([("c", "r", "m1"), ("e", "s", "m0")], "change_id string, repo_id string, module string")
     want = {(c, "r", f"p.k{k}.RingTest", "name-match") for c in "cd" for k in range(3)} | {("e", "s", "p.RingTest", "same-module")}
     assert {tuple(r) for r in impact._tests(g, direct, modules).collect()} == want
+
+
+def test_items_meet_once_and_the_last_plan_is_small(spark, monkeypatch):
+    """Neighbouring items are joined once for imports and calls, and what is written by steps leaves few joins to the last plan."""
+    met = []
+    own = model._neighbours
+    monkeypatch.setattr(model, "_neighbours", lambda *a: met.append(a) or own(*a))
+    found = wiring.change_components(spark, "/root/testdata/sf0.001")
+    assert len(met) == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
+
+
+def test_who_calls_and_imports(spark):
+    """A class that imports and calls a changed one comes as both, at the least hops; changed ones only as such, repeated rows once."""
+    cls = spark.createDataFrame([("r", f"p.{n}", n, "m", f"/{n}") for n in "ABCDE"] * 2, "repo_id string, fqn string, name string, module string, file_path string")
+    edges = spark.createDataFrame([("r", "IMPORTS", "p.B", "p.A"), ("r", "IMPORTS", "p.B", "p.A"), ("r", "IMPORTS", "p.C", "p.B"), ("r", "IMPORTS", "p.A", "p.C"), ("r", "IMPORTS", "p.C", "p.A"), ("r", "EXTENDS", "p.E", "p.A")], "repo_id string, type string, source string, target string")
+    calls = spark.createDataFrame([("r", "p.B#f", "p.A#f"), ("r", "p.B#g", "p.A#f"), ("r", "p.D#f", "p.A#g"), ("r", "p.A#g", "p.A#f")], "repo_id string, caller string, callee string")
+    none = impact.Surroundings(spark.createDataFrame([], "repo_id string, fqn string, verb string, path string"), spark.createDataFrame([], "policy_id string, module string, severity string, status string"), spark.createDataFrame([], "fqn string, policy_id string"))
+    changed = spark.createDataFrame([("c", "r", "/A")] * 2, "change_id string, repo_id string, file_path string")
+    got = sorted((r["component"], r["key"], r["hops"]) for r in impact.components(SimpleNamespace(cls=cls, edges=edges, calls=calls), none, changed).collect())
+    assert got == [("caller", "p.B", 1), ("caller", "p.D", 1), ("dependent", "p.B", 1), ("dependent", "p.C", 1), ("direct", "p.A", 0), ("module", "m", None)]
+
+
+def test_classes_are_planned_once(spark):
+    """What reads the classes reads those that were written: the last plan names no part's columns."""
+    assert "p_name" not in wiring.change_components(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
